@@ -30,12 +30,16 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(length > NORM_FLOOR, x.cast("double") / length).otherwise(x.cast("double")))
 
 
+def _scaler(weight: float):
+    return lambda x: x * F.lit(weight)
+
+
 def weighted_blocks(v: Column, sizes: Sequence[int], weights: Sequence[float]) -> Column:
     """Normalise consecutive blocks of ``v``, scale each by its weight, join them and normalise the whole."""
     parts, start = [], 1
     for size, weight in zip(sizes, weights, strict=True):
         block = l2_normalize(F.slice(v, start, size))
-        parts.append(F.transform(block, lambda x, w=weight: x * F.lit(float(w))))
+        parts.append(F.transform(block, _scaler(float(weight))))
         start += size
     return l2_normalize(F.concat(*parts))
 

@@ -21,6 +21,7 @@ def build_session(app: str = "cairnfield", master: str | None = None, partitions
         builder = (
             builder.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", os.environ.get("CAIRNFIELD_DRIVER_MEMORY", "8g"))
         )
     if partitions:
