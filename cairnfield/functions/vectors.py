@@ -20,14 +20,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), dot(a, b))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row; a repeated sub-expression would run per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
 def l2_normalize(v: Column) -> Column:
     """Divide by the norm; vectors of (almost) zero length are left as they are."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.when(length > NORM_FLOOR, x.cast("double") / length).otherwise(x.cast("double")))
+
+    def scaled(vec: Column) -> Column:
+        divisor = F.when(norm(vec) > NORM_FLOOR, norm(vec)).otherwise(1.0)
+        return _let(divisor, lambda d: F.transform(vec, lambda x: x.cast("double") / d))
+
+    return _let(v, scaled)
 
 
 def _scaler(weight: float):

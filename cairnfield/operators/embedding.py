@@ -79,7 +79,8 @@ def embed_text(df: DataFrame, dim: int = 256, key: str = "doc_id", text: str = "
 
     Words are counted per document and slot before the shuffle; the idf table has at most ``dim`` rows.
     """
-    words = df.select(key, F.explode(tokens(F.col(text))).alias("word"))
+    words = df.select(key, F.explode_outer(tokens(F.col(text))).alias("word"))
+    words = words.filter(F.col("word").isNotNull())
     slots = words.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(dim)).cast("int"))
     counts = slots.groupBy(key, "slot").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     n_docs = df.select(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_one"))
