@@ -150,3 +150,26 @@ def sessionize(
     linked = neighbours(sliced, keys, order, back={"_prev": (position, 1)})
     fresh = (F.col("_prev").isNull() | (F.col(position) - F.col("_prev") >= gap)).cast("long")
     return running(linked, keys, order, sums={"session_no": fresh}).drop("_prev", SLICE)
+
+
+def exact_quantile(
+    df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "quantile", target_rows: int = TARGET_ROWS
+) -> DataFrame:
+    """Interpolated quantile of ``value`` per key, exact, from running counts of the distinct values."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    sliced = slice_keys(counts, keys, F.col(value), target_rows)
+    upto = running(sliced, keys, [value], sums={"_upto": F.col("_n")}).drop(SLICE)
+    totals = counts.groupBy(*keys).agg((F.lit(p) * (F.sum("_n") - 1)).alias("_at"))
+    if keys:
+        placed = upto.join(totals, list(keys))
+    else:  # one row
+        placed = upto.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one")
+
+    def value_at(rank: Column) -> Column:
+        here = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+        return F.max(F.when(here, F.col(value)))
+
+    low, high = F.floor("_at"), F.ceil("_at")
+    picked = placed.groupBy(*keys).agg(value_at(low).alias("_l"), value_at(high).alias("_h"), F.max("_at").alias("_at"))
+    between = F.col("_l") + (F.col("_h") - F.col("_l")) * (F.col("_at") - F.floor("_at"))
+    return picked.select(*keys, between.alias(name))

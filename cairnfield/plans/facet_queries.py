@@ -31,7 +31,7 @@ _SPACE = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}
 _IN = rf"[\t\x0B\f\r {_SPACE}]*"
 _MARKS = " + ".join(f"CAST(contains(content, '{m}') AS INTEGER)" for m in P.CODE_MARKERS)
 
-SIGNALS = f"""{FILES},
+SIGNALS_OF = f"""
 signals AS (
   SELECT path, ext, content,
     CASE WHEN starts_with(content, 'BM') THEN 'bmp' WHEN starts_with(content, '%PDF-') THEN 'pdf' END AS magic,
@@ -49,6 +49,8 @@ signals AS (
         lambda x: regexp_matches(x, '[^\\s\\x0B{_SPACE}]'))][1:5] AS commas
   FROM files)"""
 
+SIGNALS = f"{FILES},{SIGNALS_OF}"
+
 
 def _csvy() -> str:
     return "(len(commas) >= 2 AND list_min(commas) >= 1 AND list_min(commas) = list_max(commas))"
@@ -64,7 +66,7 @@ _BY_EXT = " UNION ALL ".join(
     ["", *[f"SELECT '{e}', 'code', 0.85, '{lang}'" for e, lang in (("py", "python"), ("rs", "rust"), ("html", "html"))]]
 )
 
-RESOLVED = f"""{SIGNALS},
+RESOLVED_OF = f"""{SIGNALS_OF},
 by_ext AS ({_BY_EXT}),
 lang AS (SELECT * FROM (VALUES ('py', 'python'), ('rs', 'rust'), ('html', 'html')) AS t(ext, language)),
 readable AS (SELECT s.*, l.language,
@@ -89,6 +91,8 @@ merged AS (SELECT path, kind, max(confidence) AS confidence, arg_min(detail, ord
 resolved AS (SELECT * FROM merged UNION ALL
   SELECT path, 'binary', 0.5, NULL FROM files WHERE path NOT IN (SELECT path FROM merged))"""
 
+RESOLVED = f"{FILES},{RESOLVED_OF}"
+
 
 def _files(spark, sf):
     """Documents under many extensions, some opened like scripts, lists, tables or binary files, and all pages."""

@@ -33,9 +33,9 @@ def journal_sequence(spark, sf):
     return journal(spark, sf).select("ord", "seq")
 
 
-@query("journal_read", f"{WITH} SELECT seq, ts, actor, capability, subject, kind, engine FROM journal WHERE seq >= 100")
+@query("journal_read", f"{WITH} SELECT seq, ts, actor, capability, subject, kind, engine FROM journal WHERE seq >= 0")
 def journal_read(spark, sf):
-    return L.read_range(journal(spark, sf), 100).select("seq", "ts", "actor", "capability", "subject", "kind", "engine")
+    return L.read_range(journal(spark, sf), 0).select("seq", "ts", "actor", "capability", "subject", "kind", "engine")
 
 
 @query("journal_tail", f"{WITH} SELECT max(seq) + 1 AS next_seq FROM journal")
