@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
+NOT_ASCII = r"[^\x00-\x7F]"
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 
 
@@ -28,14 +29,16 @@ def _accent_map() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
+    """Lower case without diacritics; pure ASCII skips the letter map."""
     accented, plain = _accent_map()
-    return F.regexp_replace(F.translate(F.lower(text), accented, plain), r"\p{Mn}", "")
+    lowered = F.lower(text)
+    stripped = F.regexp_replace(F.translate(lowered, accented, plain), r"\p{Mn}", "")
+    return F.when(lowered.rlike(NOT_ASCII), stripped).otherwise(lowered)
 
 
 def tokens(text: Column) -> Column:
     """Folded runs of letters and digits, in text order."""
-    return F.filter(F.split(fold(text), WORD_BREAK), lambda t: t != "")
+    return F.array_remove(F.split(fold(text), WORD_BREAK), "")
 
 
 def words_of(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.functions.text import tokens
+from cairnfield.operators.skew import lookup_join
 
 WILDCARD = "*"
 COUNT_RULE = r"^(==|>=)([0-9]+)$"
@@ -46,11 +47,12 @@ def eligible(facets: DataFrame, manifests: DataFrame) -> DataFrame:
     ``facets`` has ``selection, item, kind, confidence``, one row per item and kind. A predicate counts the items that
     show its facet (``*`` for any) with at least its confidence; a manifest applies when one of its predicates holds.
     """
-    best = facets.groupBy("selection", "item").agg(F.max("confidence").alias("confidence"))
-    readings = facets.select("selection", "item", "kind", "confidence").unionByName(best.withColumn("kind", F.lit(WILDCARD)))
+    # Every reading also counts for the wildcard, so the facets are read once.
+    readings = facets.select("selection", "item", "confidence", F.explode(F.array("kind", F.lit(WILDCARD))).alias("kind"))
     wanted = manifests.select(F.col("id").alias("capability"), F.posexplode("appliesTo").alias("_no", "_p"))
     wanted = wanted.select("capability", "_no", F.col("_p.facet").alias("kind"), F.col("_p.min").alias("_min"), F.col("_p.count").alias("_rule"))
-    matched = readings.join(wanted, "kind").filter(F.col("confidence") >= F.col("_min"))
+    matched = lookup_join(readings, wanted, ["kind"]).filter(F.col("confidence") >= F.col("_min"))
+    matched = matched.select("selection", "item", "capability", "_no", "_rule").distinct()
     counted = matched.groupBy("selection", "capability", "_no", "_rule").agg(F.count(F.lit(1)).alias("n_items"))
     holding = counted.filter(_holds(F.col("n_items"), F.col("_rule")))
     return holding.groupBy("selection", "capability").agg(F.max("n_items").alias("n_items"))
@@ -73,7 +75,7 @@ def match_triggers(utterances: DataFrame, manifests: DataFrame, key: str = "utte
         for n in lengths
     ])
     phrases = words.select(key, F.explode_outer(F.array_distinct(runs)).alias("phrase")).filter(F.col("phrase").isNotNull())
-    hits = phrases.join(triggers, "phrase").groupBy(key, "capability").agg(
+    hits = lookup_join(phrases, triggers, ["phrase"]).groupBy(key, "capability").agg(
         F.max(F.length("phrase")).alias("longest"), F.count(F.lit(1)).alias("n_triggers")
     )
     # An utterance has at most as many rows as there are manifests.

@@ -11,7 +11,7 @@ from cairnfield.functions.text import tokens
 from cairnfield.functions.time import decayed, epoch_micros, epoch_seconds
 from cairnfield.functions.vectors import cosine
 from cairnfield.operators.ordered import TARGET_ROWS, neighbours, sessionize, slice_keys
-from cairnfield.operators.skew import salted_join
+from cairnfield.operators.skew import lookup_join, salted_join
 from cairnfield.session import cut_lineage
 
 
@@ -101,18 +101,21 @@ def mentions(docs: DataFrame, entities: DataFrame, key: str = "doc_id", text: st
     names = entities.select("entity", tokens(F.col("name")).alias("_w"))
     names = names.select("entity", F.array_join("_w", " ").alias("_gram"), F.size("_w").alias("_n")).filter(F.col("_n") > 0)
     lengths = sorted(r[0] for r in names.select("_n").distinct().collect())  # a few small numbers
+    runs = F.concat(*[_runs(F.col("_t"), n) for n in lengths])
     words = docs.select(key, tokens(F.col(text)).alias("_t"))
-    grams = None
-    for n in lengths:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1))), _gram(n))
-        one = words.filter(F.size("_t") >= n).select(key, F.posexplode_outer(runs).alias("pos", "_gram"))
-        grams = one if grams is None else grams.unionByName(one)
-    found = salted_join(grams, names.select("entity", "_gram"), ["_gram"], "inner", spread=[key, "pos"])
+    grams = words.select(key, F.inline_outer(runs)).filter(F.col("_gram").isNotNull())
+    found = lookup_join(grams, names.select("entity", "_gram"), ["_gram"], "inner", spread=[key, "pos"])
     return found.select(key, "entity", "pos")
 
 
-def _gram(n: int):
-    return lambda i: F.array_join(F.slice(F.col("_t"), i, n), " ")
+def _runs(words: Column, n: int) -> Column:
+    """Every run of ``n`` words with its position."""
+
+    def run(word: Column, i: Column) -> Column:
+        gram = word if n == 1 else F.array_join(F.slice(words, i + 1, n), " ")
+        return F.struct(i.alias("pos"), gram.alias("_gram"))
+
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))), run)
 
 
 def mention_edges(found: DataFrame, key: str = "doc_id", span: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions.text import tokens
-from cairnfield.operators.skew import salted_join
+from cairnfield.operators.skew import lookup_join
 
 # Thresholds, dial positions, confidences and defaults of the routing rules.
 CONFIDENCE_FLOOR = 0.6
@@ -110,10 +110,9 @@ def detect_spans(
     spans = df.select(key, F.inline_outer(F.concat(*found))).filter(F.col("kind").isNotNull())
     if entities is None:
         return spans
-    words = df.select(key, F.explode_outer(tokens(F.col(text))).alias("name")).groupBy(key, "name").agg(F.count(F.lit(1)).alias("_n"))
-    flagged = salted_join(words, entities.select("name").distinct(), ["name"], "inner", spread=[key])
-    repeated = flagged.select(key, F.lit("entity").alias("kind"), F.explode(F.array_repeat("name", F.col("_n").cast("int"))).alias("span"))
-    return spans.unionByName(repeated)
+    words = df.select(key, F.posexplode_outer(tokens(F.col(text))).alias("_at", "name"))
+    flagged = lookup_join(words, entities.select("name").distinct(), ["name"], "inner", spread=[key, "_at"])
+    return spans.unionByName(flagged.select(key, F.lit("entity").alias("kind"), F.col("name").alias("span")))
 
 
 def _tagger(kind: str):
@@ -165,8 +164,8 @@ def resolve_dial(
         ).alias("claim"))
 
     own = claims(by_item, 3, F.lit(0), "item")
-    folder = claims(salted_join(climbs, by_folder, ["folder"], "inner", spread=["path"]), 2, F.col("depth"), "folder")
-    entity = claims(salted_join(members, by_entity, ["entity"], "inner", spread=["path"]), 1, F.lit(0), "entity")
+    folder = claims(lookup_join(climbs, by_folder, ["folder"], "inner", spread=["path"]), 2, F.col("depth"), "folder")
+    entity = claims(lookup_join(members, by_entity, ["entity"], "inner", spread=["path"]), 1, F.lit(0), "entity")
     best = own.unionByName(folder).unionByName(entity).groupBy("path").agg(F.min("claim").alias("claim"))
     return items.join(best, "path", "left").select(
         *items.columns,

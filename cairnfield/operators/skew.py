@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TARGET_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
 
 
 def salted_join(
@@ -36,3 +37,17 @@ def salted_join(
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     right = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def lookup_join(
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    spread: Sequence[str] | None = None,
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join to a dictionary: broadcast when counting finds at most ``max_rows`` entries, else a salted join."""
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small), list(on), how)
+    return salted_join(big, small, on, how, spread)

@@ -55,8 +55,8 @@ def graph_edges(spark, sf):
 @query(
     "used_with_pairs",
     """
-WITH firsts AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS at FROM lineitem GROUP BY 1, 2),
-placed AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY at, l_partkey) AS no FROM firsts)
+WITH firsts AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS spot FROM lineitem GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY spot, l_partkey) AS no FROM firsts)
 SELECT least(x.l_partkey, y.l_partkey) AS a, greatest(x.l_partkey, y.l_partkey) AS b, count(*) AS weight
 FROM placed x JOIN placed y ON y.l_orderkey = x.l_orderkey AND y.no > x.no AND y.no <= x.no + 6 GROUP BY 1, 2""",
 )
@@ -170,8 +170,8 @@ def entity_mentions(spark, sf):
     "entity_cooccurrence",
     f"""
 WITH {NAMES},
-firsts AS (SELECT doc_id, entity, min(pos) AS at FROM found GROUP BY 1, 2),
-placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at, entity) AS no FROM firsts)
+firsts AS (SELECT doc_id, entity, min(pos) AS spot FROM found GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot, entity) AS no FROM firsts)
 SELECT least(x.entity, y.entity) AS a, greatest(x.entity, y.entity) AS b, count(*) AS weight
 FROM placed x JOIN placed y ON y.doc_id = x.doc_id AND y.no > x.no AND y.no <= x.no + 3 GROUP BY 1, 2""",
 )

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "cairnfield", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """A session with the settings the jobs rely on; on a cluster leave ``master`` to spark-submit."""
+    """A session with the settings the jobs rely on; on a cluster leave ``master`` to spark-submit.
+
+    A local session gets a checkpoint folder of its own; on a cluster ``spark.checkpoint.dir`` names the shared one.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -28,6 +32,8 @@ def build_session(app: str = "cairnfield", master: str | None = None, partitions
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if master and master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", ""):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark
 
 
