@@ -53,20 +53,22 @@ def attention_balance(
     return summed.select(key, tie, (F.lit(start) + F.col("_sum")).cast("long").alias("balance"))
 
 
-def attention_clamped(
-    feedback: DataFrame, start: int, lo: int, hi: int, key: str = "user_id", tie: str = "event_id",
+def attention_maps(
+    feedback: DataFrame, lo: int, hi: int, key: str = "user_id", tie: str = "event_id",
     reactions: Mapping[str, int] = REACTIONS, target_rows: int = 100_000,
 ) -> DataFrame:
-    """Final budget per key when every step is clamped to ``lo..hi``.
+    """What a key's reactions do to any budget x in ``lo..hi``: ``key, a, b, c`` with x becoming min(b, max(a, x + c)).
 
-    A run of clamped steps acts on the budget x as min(b, max(a, x + c)), and such maps compose into one another.
-    Each slice of a key (at most about ``target_rows`` reactions) folds to its three numbers, then the slices of a key
-    fold in order.
+    Clamped steps compose into such maps, and maps into one another. Each slice of a key (at most about
+    ``target_rows`` reactions) folds to its three numbers, then the slices of a key fold in order.
     """
 
     def clamp(x: Column) -> Column:
         return F.least(F.lit(hi).cast("long"), F.greatest(F.lit(lo).cast("long"), x))
 
+    def through(x: Column, m: Column) -> Column:
+        return F.least(m["b"], F.greatest(m["a"], x + m["c"]))
+
     placed = feedback.select(key, tie, epoch_micros(F.col("ts")).alias("_us"), _deltas(reactions).alias("_d"))
     placed = placed.filter(F.col("_d") != 0)
     sliced = slice_keys(placed, [key], F.col("_us"), target_rows)
@@ -80,15 +82,34 @@ def attention_clamped(
         ),
     )
     maps = steps.select(key, SLICE, folded.alias("_m"))
+    # One entry per slice of the key.
     ordered = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(SLICE, "_m"))).alias("_maps"))
-    final = F.aggregate(
+    whole = F.aggregate(
         "_maps",
-        F.lit(start).cast("long"),
-        lambda x, s: F.least(s["_m"]["b"], F.greatest(s["_m"]["a"], x + s["_m"]["c"])),
+        same,
+        lambda m, s: F.struct(
+            through(m["a"], s["_m"]).alias("a"), through(m["b"], s["_m"]).alias("b"), (m["c"] + s["_m"]["c"]).alias("c")
+        ),
     )
-    moved = ordered.select(key, final.alias("_final"))
-    everyone = feedback.select(key).distinct()
-    return everyone.join(moved, key, "left").select(key, F.coalesce("_final", F.lit(start).cast("long")).alias("balance"))
+    return ordered.select(key, whole.alias("_w")).select(key, "_w.*")
+
+
+def applied(balances: DataFrame, maps: DataFrame, start: int, key: str = "user_id") -> DataFrame:
+    """Balances (``key, balance``) after the given maps; keys met for the first time begin at ``start``."""
+    joined = balances.join(maps, key, "full")
+    before = F.coalesce("balance", F.lit(start).cast("long"))
+    after = F.when(F.col("c").isNull(), before).otherwise(F.least("b", F.greatest(F.col("a"), before + F.col("c"))))
+    return joined.select(key, after.alias("balance"))
+
+
+def attention_clamped(
+    feedback: DataFrame, start: int, lo: int, hi: int, key: str = "user_id", tie: str = "event_id",
+    reactions: Mapping[str, int] = REACTIONS, target_rows: int = 100_000,
+) -> DataFrame:
+    """Final budget per key when it starts at ``start`` and every step is clamped to ``lo..hi``."""
+    maps = attention_maps(feedback, lo, hi, key, tie, reactions, target_rows)
+    fresh = feedback.select(key).distinct().withColumn("balance", F.lit(start).cast("long"))
+    return applied(fresh, maps, start, key)
 
 
 def salience(events: DataFrame, owner: str, thread: str, tau_seconds: float, now: Column) -> DataFrame:
