@@ -143,13 +143,16 @@ def orphans(items: DataFrame, files: DataFrame) -> DataFrame:
     return items.join(files.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
-def merge_quarantine(old: DataFrame, failures: DataFrame, listing: DataFrame) -> DataFrame:
+def merge_quarantine(old: DataFrame, failures: DataFrame, listing: DataFrame, full: bool = True) -> DataFrame:
     """Quarantine after a run: new failures win, unchanged files stay, retried or vanished files leave.
 
-    ``old`` and ``failures`` have ``path, size, mtime, error, failed_run``.
+    ``old`` and ``failures`` have ``path, size, mtime, error, failed_run``. Unless the listing is ``full``, entries it
+    does not mention stay as well.
     """
     stat = listing.select("path", "size", "mtime")
     staying = old.join(stat, ["path", "size", "mtime"], "left_semi")
+    if not full:
+        staying = staying.unionByName(old.join(stat, "path", "left_anti"))
     entries = staying.unionByName(failures).withColumn("_e", F.struct("size", "mtime", "error", "failed_run"))
     latest = entries.groupBy("path").agg(F.max_by("_e", "failed_run").alias("_e"))
     return latest.select("path", "_e.*")
@@ -212,8 +215,11 @@ def item_for_path(files: DataFrame, items: DataFrame, paths: DataFrame) -> DataF
     return files.join(paths.select("path"), "path").select("path", "content_hash").join(items, "content_hash")
 
 
-def merge_catalog(catalog: Catalog, changes: DataFrame, removed: DataFrame, run: int) -> Catalog:
-    """The next catalog: replace by path, add new content once, drop what was swept and what lost its last file."""
+def merge_catalog(catalog: Catalog, changes: DataFrame, removed: DataFrame, run: int, full: bool = True) -> Catalog:
+    """The next catalog: replace by path, add new content once, drop what was swept and what lost its last file.
+
+    ``full`` says that the changes cover every file; a partial run leaves unmentioned quarantine entries alone.
+    """
     placed = changes.filter(F.col("outcome").isin(INDEXED, UPDATED, DEDUPED, UNCHANGED))
     placed = placed.select("path", "content_hash", "size", "mtime")
     gone = removed.select("path").unionByName(changes.filter("drops_prior").select("path"))
@@ -225,7 +231,10 @@ def merge_catalog(catalog: Catalog, changes: DataFrame, removed: DataFrame, run:
     items = catalog.items.unionByName(fresh, allowMissingColumns=True)
     failures = changes.filter(F.col("outcome") == FAILED)
     failures = failures.select("path", "size", "mtime", "error", F.lit(run).cast("long").alias("failed_run"))
-    quarantine = merge_quarantine(catalog.quarantine, failures, changes)
+    held = catalog.quarantine
+    if not full:
+        held = held.join(removed.select("path"), "path", "left_anti")
+    quarantine = merge_quarantine(held, failures, changes, full)
     if catalog.embeddings is None:
         (items,) = gc_orphans(items, files)
         return Catalog(files, items, quarantine, None, catalog.meta)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions.identity import public_id
 from cairnfield.functions.time import epoch_micros
 from cairnfield.operators.ordered import TARGET_ROWS, sessionize
+from cairnfield.streaming.windows import with_lateness
 
 # Quiet time in milliseconds, and the feed entry of each outcome.
 DEBOUNCE_MS = 500
@@ -32,7 +33,7 @@ def debounce(
     last = F.max_by(kind, F.struct(ts, tie)).alias("last_kind")
     if events.isStreaming:
         quiet = F.session_window(ts, f"{gap_us - 1} microseconds")
-        grouped = events.withWatermark(ts, watermark).groupBy(key, quiet.alias("_w"))
+        grouped = with_lateness(events, ts, watermark).groupBy(key, quiet.alias("_w"))
     else:
         placed = events.withColumn("_us", epoch_micros(F.col(ts)))
         grouped = sessionize(placed, [key], "_us", gap_us, tie, target_rows).groupBy(key, "session_no")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.functions.time import epoch_micros
 from cairnfield.operators.ordered import SLICE, TARGET_ROWS, neighbours, running, sessionize, slice_keys
+from cairnfield.streaming.windows import with_lateness
 
 # Liveness horizon and readiness timeout in seconds.
 ALIVE_SECONDS = 12
@@ -28,7 +29,7 @@ def alive_spans(
 def alive_spans_stream(events: DataFrame, key: str, horizon: str, watermark: str) -> DataFrame:
     """The same spans from a stream, each emitted once the watermark has passed its end."""
     seen = F.session_window("ts", horizon).alias("_w")
-    spans = events.withWatermark("ts", watermark).groupBy(key, seen).agg(F.count(F.lit(1)).alias("n_events"))
+    spans = with_lateness(events, "ts", watermark).groupBy(key, seen).agg(F.count(F.lit(1)).alias("n_events"))
     return spans.select(key, F.col("_w.start").alias("up_ts"), F.col("_w.end").alias("down_ts"), "n_events")
 
 

@@ -34,7 +34,7 @@ def apply_batch(spark: SparkSession, batch: DataFrame, store: str, run: int, rea
     changes = spark.read.parquet(changes_at)
     gone = newest.filter(F.col("kind") == "removed").select("path")
     removed = catalog.files.join(gone, "path", "left_semi")
-    after = C.merge_catalog(catalog, changes, removed, run)
+    after = C.merge_catalog(catalog, changes, removed.select("path").unionByName(gone).distinct(), run, full=False)
     feed = change_feed(changes, removed, cold=done is None)
     feed.write.mode("overwrite").parquet(f"{store}/run={run}/feed")
     save_catalog(spark, after, store, run)

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def with_lateness(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    """Event time with a watermark; rows later than ``delay`` are dropped by the stateful step that follows."""
-    return df.withWatermark(ts, delay)
+    """Event time with a watermark; rows later than ``delay`` are dropped by the stateful step that follows.
+
+    Watermarks need a timestamp with zone, so zoneless times are read as UTC here.
+    """
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
 def count_windows(
@@ -28,7 +31,7 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), waterma
     """One row per ``keys``: on a stream the first within the watermark, on a batch the first by ``order``."""
     if df.isStreaming:
         ts, delay = watermark
-        return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+        return with_lateness(df, ts, delay).dropDuplicatesWithinWatermark(list(keys))
     rest = [c for c in df.columns if c not in keys]
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return first.select(*keys, "_row.*").select(*df.columns)
