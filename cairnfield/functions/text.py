@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
+WORD = r"[\p{L}\p{N}\p{Co}]+"
 NOT_ASCII = r"[^\x00-\x7F]"
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 
@@ -41,6 +42,11 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(fold(text), WORD_BREAK), "")
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens, without building them."""
+    return F.regexp_count(fold(text), F.lit(WORD))
+
+
 def words_of(text: Column) -> Column:
     """Letters and digits kept, everything else becomes single spaces."""
     return F.trim(F.regexp_replace(text, NOT_ALNUM, " "))

@@ -56,7 +56,7 @@ def decay(edges: DataFrame, tau_seconds: float, eps: float, now: Column) -> Data
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """Nodes within ``k`` directed steps of each seed: ``seed, node, hops`` (smallest), seeds themselves left out."""
-    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct()
+    steps = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct())
     frontier = seeds.select(F.col("node").alias("seed"), "node").distinct()
     seen = frontier.withColumn("hops", F.lit(0))
     for hop in range(1, k + 1):

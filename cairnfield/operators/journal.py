@@ -101,7 +101,7 @@ def provenance(edges: DataFrame, max_depth: int = 3) -> DataFrame:
 
     One equi-join per level over what the level before found new; a node with very many inputs is split.
     """
-    steps = edges.select("output", "input").distinct()
+    steps = cut_lineage(edges.select("output", "input").distinct())
     found = steps.select("output", F.col("input").alias("source"), F.lit(1).alias("depth"))
     frontier = found
     for depth in range(2, max_depth + 1):

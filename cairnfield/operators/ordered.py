@@ -22,7 +22,7 @@ def slice_keys(
     """Add ``_slice``: 0 for ordinary keys, 1, 2, ... along ``position`` for keys above ``target_rows`` rows.
 
     ``position`` is a numeric expression that never decreases along the order used later. With ``keys`` empty the
-    whole input is one key. The broadcast table lists oversized keys only, so it has at most
+    whole input is one key. Rows of one key at one and the same position are never parted. The broadcast table lists oversized keys only, so it has at most
     rows / ``target_rows`` entries.
     """
     placed = df.withColumn("_pos", position.cast("double"))
