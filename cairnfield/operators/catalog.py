@@ -79,6 +79,8 @@ def classify_changes(scan: DataFrame, catalog: Catalog, max_bytes: int = MAX_BYT
     ``scan`` has ``path, size, mtime, content_hash, readable``. Content already in the catalog is judged against the
     state before the run; among paths sharing new content the smallest path introduces it.
     """
+    # Several passes follow; with a checkpoint folder the content behind the hashes is read once.
+    scan = cut_lineage(scan.select("path", "size", "mtime", "content_hash", "readable"))
     prior = _stat_of(catalog.files, "p_", "content_hash")
     held = _stat_of(catalog.quarantine, "q_")
     known = catalog.items.select("content_hash", F.lit(True).alias("_known"))

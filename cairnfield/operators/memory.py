@@ -72,6 +72,8 @@ def attention_maps(
     placed = feedback.select(key, tie, epoch_micros(F.col("ts")).alias("_us"), _deltas(reactions).alias("_d"))
     placed = placed.filter(F.col("_d") != 0)
     sliced = slice_keys(placed, [key], F.col("_us"), target_rows)
+    if SLICE not in sliced.columns:
+        sliced = sliced.withColumn(SLICE, F.lit(0))
     steps = sliced.groupBy(key, SLICE).agg(F.array_sort(F.collect_list(F.struct("_us", tie, "_d"))).alias("_steps"))
     same = F.struct(*[F.lit(v).cast("long").alias(n) for n, v in (("a", lo), ("b", hi), ("c", 0))])
     folded = F.aggregate(

@@ -19,30 +19,33 @@ TARGET_ROWS = 2_000_000
 def slice_keys(
     df: DataFrame, keys: Sequence[str], position: Column, target_rows: int = TARGET_ROWS
 ) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, 1, 2, ... along ``position`` for keys above ``target_rows`` rows.
+    """Add ``_slice`` when some key has more than ``target_rows`` rows; otherwise return ``df`` as it is.
 
-    ``position`` is a numeric expression that never decreases along the order used later. With ``keys`` empty the
-    whole input is one key. Rows of one key at one and the same position are never parted. The broadcast table lists oversized keys only, so it has at most
-    rows / ``target_rows`` entries.
+    Slices are 0 for ordinary keys and 1, 2, ... along ``position`` for oversized ones. ``position`` is a numeric
+    expression that never decreases along the order used later; rows of one key at one and the same position are
+    never parted. With ``keys`` empty the whole input is one key. The list of oversized keys, found by one
+    pre-aggregated pass, has at most rows / ``target_rows`` entries and is all that is fetched and broadcast.
     """
     placed = df.withColumn("_pos", position.cast("double"))
     stats = (
         placed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
         .filter(F.col("_n") > target_rows)
-        .withColumn("_cuts", F.ceil(4 * F.col("_n") / F.lit(target_rows)))
-        .drop("_n")
+        .select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys], "_lo", "_hi", F.ceil(4 * F.col("_n") / F.lit(target_rows)).alias("_cuts")
+        )
     )
-    renamed = stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_lo", "_hi", "_cuts")
+    oversized = stats.collect()
+    if not oversized:
+        return df
+    hot = F.broadcast(df.sparkSession.createDataFrame(oversized, stats.schema))
     if keys:
-        match = None
+        match = F.lit(True)
         for k in keys:
-            same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-            match = same if match is None else match & same
-        joined = placed.join(F.broadcast(renamed), match, "left")
+            match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        joined = placed.join(hot, match, "left")
     else:
-        keyed = renamed.withColumn("_one", F.lit(1))
-        joined = placed.withColumn("_one", F.lit(1)).join(F.broadcast(keyed), "_one", "left").drop("_one")
+        joined = placed.withColumn("_one", F.lit(1)).join(hot.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
     span = F.col("_hi") - F.col("_lo")
     index = 1 + F.floor((F.col("_pos") - F.col("_lo")) / (span + 1.0) * F.col("_cuts"))
     sliced = joined.withColumn(SLICE, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(index).cast("long"))
@@ -67,14 +70,17 @@ def neighbours(
     """
     back, ahead = dict(back or {}), dict(ahead or {})
     reach = max(d for _, d in [*back.values(), *ahead.values()])
-    inside = _by(keys, SLICE).orderBy(*order)
-    across = _by(keys).orderBy(SLICE, *order)
+    whole = _by(keys).orderBy(*order)
 
     def shifted(window) -> dict[str, Column]:
         cols = {name: F.lag(src, d).over(window) for name, (src, d) in back.items()}
         cols.update({name: F.lead(src, d).over(window) for name, (src, d) in ahead.items()})
         return cols
 
+    if SLICE not in sliced.columns:
+        return sliced.withColumns(shifted(whole))
+    inside = _by(keys, SLICE).orderBy(*order)
+    across = _by(keys).orderBy(SLICE, *order)
     local = sliced.withColumns(
         {
             **shifted(inside),
@@ -102,6 +108,10 @@ def running(
 ) -> DataFrame:
     """Add running sums and maxima per key, from the first row up to and including the current one."""
     sums, maxima = dict(sums or {}), dict(maxima or {})
+    if SLICE not in sliced.columns:
+        upto = _by(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        totals = {n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in sums.items()}
+        return sliced.withColumns({**totals, **{n: F.max(c).over(upto) for n, c in maxima.items()}})
     prepared = sliced.withColumns({f"_v_{n}": c for n, c in [*sums.items(), *maxima.items()]})
     totals = prepared.filter(F.col(SLICE) > 0).groupBy(*keys, SLICE).agg(
         *[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in sums],

@@ -23,19 +23,24 @@ def salted_join(
 
     Rows of an oversized key are dealt over several salts by a hash of ``spread`` (all of ``big`` by default), and
     the matching rows of ``small`` are repeated once per salt. ``how`` is inner, left, left_semi or left_anti. The
-    broadcast table has at most rows / ``target_rows`` entries.
+    list of oversized keys, found by one pre-aggregated pass, has at most rows / ``target_rows`` entries; without
+    any the join is a plain one.
     """
     on = list(on)
-    hot = (
+    stats = (
         big.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > target_rows)
         .select(*on, F.ceil(F.col("_n") / F.lit(target_rows)).cast("int").alias("_salts"))
     )
+    oversized = stats.collect()
+    if not oversized:
+        return big.join(small, on, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame(oversized, stats.schema))
     dealt = F.pmod(F.xxhash64(*(spread or big.columns)), F.col("_salts").cast("long")).cast("int")
-    left = big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(dealt, F.lit(0))).drop("_salts")
+    left = big.join(hot, on, "left").withColumn("_salt", F.coalesce(dealt, F.lit(0))).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    right = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    right = small.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

@@ -43,11 +43,11 @@ def alive(
     window has to hold the keys of a whole horizon.
     """
     spans = alive_spans(events, key, horizon_us, tie, target_rows)
-    ups = spans.select(F.col("up_us").alias("_us"), F.lit(1).cast("long").alias("_d"), F.col(key).cast("string").alias("_t"))
-    downs = spans.select(
-        (F.col("down_us") + 1).alias("_us"), F.lit(-1).cast("long").alias("_d"), F.col(key).cast("string").alias("_t")
+    ends = F.array(
+        F.struct(F.col("up_us").alias("_us"), F.lit(1).cast("long").alias("_d")),
+        F.struct((F.col("down_us") + 1).alias("_us"), F.lit(-1).cast("long").alias("_d")),
     )
-    steps = ups.unionByName(downs).withColumn("_o", F.lit(0))
+    steps = spans.select(F.inline_outer(ends), F.col(key).cast("string").alias("_t"), F.lit(0).alias("_o"))
     points = events.select(
         tie,
         "ts",
