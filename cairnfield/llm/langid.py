@@ -7,7 +7,7 @@ lower-cased). Distinct words are scored once and kept by their worker.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -134,8 +134,9 @@ def predict(
     key: str = "doc_id",
     text: str = "text",
     model: Broadcast | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Columns ``key``, ``lang_pred`` and ``score`` (probability of that language, all being equally likely before).
+    """Columns ``key``, those of ``keep``, ``lang_pred`` and ``score`` (probability of that language, all being equally likely before).
 
     A null text, one without a letter, or a model without languages gives ``und`` and 0. Equal scores go to the first
     language by name. Only the key and the text are read; repeated rows give repeated results.
@@ -173,12 +174,12 @@ def predict(
                     sure = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
                 label = [names[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("k"), pa.array(label, pa.string()), pa.array(np.where(lettered, sure, 0.0))], names=[key, "lang_pred", "score"]
+                    [*batch.columns[1:], pa.array(label, pa.string()), pa.array(np.where(lettered, sure, 0.0))], names=schema.names
                 )
 
-    kind = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+    kept = [df.schema[c] for c in (key, *keep)]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return df.select(F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate((key, *keep))]).mapInArrow(run, schema)
 
 
 def _add_by_text(sums: np.ndarray, first: np.ndarray, rows: np.ndarray) -> None:
