@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnfield.llm.pieces import best_paths, lattice, total_scores
-from cairnfield.llm.sentencepieces import PieceModel, broadcast_model
+from cairnfield.llm.sentencepieces import BLOCK_WORDS, PieceModel, broadcast_model
 from cairnfield.llm.words import KeyCache, chunks, find_words, span_hashes, text_buffer
 
 UNDETERMINED = "und"
@@ -99,14 +99,15 @@ def learn(
                 words = _word_spans(batch.column("t"))
                 names, code = np.unique(langs, return_inverse=True)
                 _, where, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-                lat = lattice(pieces.trie, *_marked(words, where))
-                edges, cuts = best_paths(lat, pieces.scores, pieces.unknown)
-                for c, name in enumerate(names):
-                    uses = np.bincount(back[code[words.doc] == c], minlength=len(where))
-                    weight = np.repeat(uses, np.diff(cuts))
+                uses = [np.bincount(back[code[words.doc] == c], minlength=len(where)) for c in range(len(names))]
+                for some in np.array_split(np.arange(len(where)), -(-len(where) // BLOCK_WORDS) or 1):
+                    lat = lattice(pieces.trie, *_marked(words, where[some]))
+                    edges, cuts = best_paths(lat, pieces.scores, pieces.unknown)
                     piece = lat.piece[edges]
-                    mine = np.bincount(piece[piece >= 0], weight[piece >= 0], len(pieces.scores))
-                    counts[name] = counts.get(name, 0) + mine
+                    for name, use in zip(names, uses, strict=True):
+                        weight = np.repeat(use[some], np.diff(cuts))
+                        mine = np.bincount(piece[piece >= 0], weight[piece >= 0], len(pieces.scores))
+                        counts[name] = counts.get(name, 0) + mine
         for name, mine in counts.items():
             at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays(
@@ -166,7 +167,8 @@ def predict(
                     rows[known] = cache.rows[at[known]]
                     new = np.flatnonzero(~known)
                     if len(new):
-                        rows[new] = total_scores(lattice(pieces.trie, *_marked(words, where[new])), table, unknown)
+                        for some in np.array_split(new, -(-len(new) // BLOCK_WORDS)):
+                            rows[some] = total_scores(lattice(pieces.trie, *_marked(words, where[some])), table, unknown)
                         cache.add(keys[new], rows[new])
                     sums = np.zeros((len(texts), len(names)))
                     _add_by_text(sums, words.first, rows[back])

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -20,6 +21,7 @@ from cairnfield.llm.pieces import MARK, Trie, Vocabulary, best_paths, build_trie
 from cairnfield.llm.words import KeyCache, chunks, id_lists, span_hashes, text_buffer
 
 IDS = "piece_ids"
+BLOCK_WORDS = 16_384  # words whose segmentations are searched at once
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much below the rarest piece
 
 
@@ -100,9 +102,13 @@ class WordEncoder:
         place[known] = self.cache.rows[at[known]]
         new, pool = np.flatnonzero(~known), self.pool
         if len(new):
-            ids, cuts = self.model.encode_words(data, starts[where[new]], ends[where[new]])
-            place[new] = np.column_stack([cuts[:-1] + len(pool), np.diff(cuts)])
-            pool = np.concatenate([pool, ids.astype(np.int32)])
+            parts, size = [pool], len(pool)
+            for some in np.array_split(new, -(-len(new) // BLOCK_WORDS)):
+                ids, cuts = self.model.encode_words(data, starts[where[some]], ends[where[some]])
+                place[some] = np.column_stack([cuts[:-1] + size, np.diff(cuts)])
+                parts.append(ids.astype(np.int32))
+                size += len(ids)
+            pool = np.concatenate(parts)
             if self.cache.add(keys[new], place[new]):
                 self.pool = pool
         from_, count = place[back].T
@@ -134,27 +140,73 @@ def _fields(df: DataFrame, keep: Sequence[str], *new: T.StructField) -> T.Struct
     return T.StructType([df.schema[c] for c in keep] + list(new))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), model: Broadcast | None = None) -> DataFrame:
+class PieceDecoder:
+    """Bytes of each piece, to be put together again."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        table = [b""] * (len(vocabulary.pieces) + 1)  # the last one stands for ids that aren't in the vocabulary
+        for i in vocabulary.normal:
+            table[i] = vocabulary.pieces[i].replace(MARK, " ").encode()
+        for b, i in enumerate(vocabulary.byte_ids):
+            if i >= 0:
+                table[i] = bytes([b])
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.array([len(x) for x in table])
+        self.start = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of all texts and their offsets; the first space of each text goes."""
+        ids = np.where((ids >= 0) & (ids < len(self.size)), ids, len(self.size) - 1)
+        sizes = self.size[ids]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.flat[np.repeat(self.start[ids] - upto[:-1], sizes) + np.arange(int(upto[-1]))]
+        cuts = upto[offsets]
+        filled = cuts[:-1] < cuts[1:]
+        first = cuts[:-1][filled]
+        marked = data[first] == 32
+        gone = np.zeros(len(filled), np.int64)
+        gone[filled] = marked
+        return np.delete(data, first[marked]), cuts - np.concatenate([[0], np.cumsum(gone)])
+
+
+def encode(
+    df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), model: Broadcast | None = None, check: bool = False
+) -> DataFrame:
     """Columns ``keep`` and ``piece_ids`` (array of int) of every row.
 
     Null and empty texts give an empty array; rows are neither joined nor dropped, so repeated rows and ties stay.
-    Columns other than ``keep`` aren't read; a kept column named ``piece_ids`` is an error.
+    Columns other than ``keep`` aren't read; a kept column with the name of a result is an error. With ``check``,
+    ``same_text`` tells whether decoding gives the text (a null one as empty) back.
     """
     model = model or broadcast_model(df.sparkSession, path)
-    schema = _fields(df, keep, T.StructField(IDS, T.ArrayType(T.IntegerType()), False))
+    more = [T.StructField("same_text", T.BooleanType(), False)] if check else []
+    schema = _fields(df, keep, T.StructField(IDS, T.ArrayType(T.IntegerType()), False), *more)
     keep = list(keep)
     reads = list(dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(model)
+        decoder = PieceDecoder(model.value.vocabulary)
         for whole in batches:
             for batch in chunks(whole, text):
                 ids, offsets = coder.encode(batch.column(text))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), id_lists(ids, offsets, pa.int32())], names=[*keep, IDS])
+                out = [*(batch.column(c) for c in keep), id_lists(ids, offsets, pa.int32())]
+                if check:
+                    out.append(pa.array(_equal(text_buffer(batch.column(text)), decoder.decode(ids, offsets))))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return df.select(*reads).mapInArrow(run, schema)
 
 
+def _equal(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether the texts of two buffers are the same, one by one."""
+    (a, cuts), (b, other) = one, two
+    if np.array_equal(cuts, other):
+        wrong = np.concatenate([[0], np.cumsum(a != b)])
+        return wrong[cuts[1:]] == wrong[cuts[:-1]]
+    return np.array([np.array_equal(a[cuts[i] : cuts[i + 1]], b[other[i] : other[i + 1]]) for i in range(len(cuts) - 1)], bool)
+
+
 def decode(df: DataFrame, path: str, ids: str = IDS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and ``decoded``, the text of the pieces.
 
@@ -162,28 +214,19 @@ def decode(df: DataFrame, path: str, ids: str = IDS, keep: Sequence[str] = ("doc
     Null arrays give a null text, empty ones an empty text, ids outside the vocabulary and null ids nothing.
     """
     with open(path, "rb") as f:
-        vocabulary = read_vocabulary(f.read())
-    table = [b""] * len(vocabulary.pieces)
-    for i in vocabulary.normal:
-        table[i] = vocabulary.pieces[i].replace(MARK, " ").encode()
-    for b, i in enumerate(vocabulary.byte_ids):
-        if i >= 0:
-            table[i] = bytes([b])
-    shared = df.sparkSession.sparkContext.broadcast(table)
+        shared = df.sparkSession.sparkContext.broadcast(PieceDecoder(read_vocabulary(f.read())))
     schema = _fields(df, keep, T.StructField("decoded", T.StringType()))
     keep = list(keep)
     reads = list(dict.fromkeys([*keep, ids]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = dict(enumerate(shared.value))
         for batch in batches:
-            texts = []
-            for row in batch.column(ids):
-                if row.values is None:
-                    texts.append(None)
-                    continue
-                joined = b"".join([pieces.get(i, b"") for i in row.values.to_pylist()]).decode("utf-8", "replace")
-                texts.append(joined.removeprefix(" "))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
+            column = batch.column(ids)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            flat = pa.compute.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
+            data, cuts = shared.value.decode(flat, np.concatenate([[0], np.cumsum(sizes)]))
+            raw, missing = data.tobytes(), column.is_null().to_pylist()
+            texts = [None if none else raw[a:b].decode("utf-8", "replace") for none, a, b in zip(missing, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=schema.names)
 
     return df.select(*reads).mapInArrow(run, schema)
