@@ -113,7 +113,7 @@ def shingle_hashes(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     left = words.first[1:][words.doc] - np.arange(n)  # words from here to the end of the text
     for j in range(size):
         here = np.zeros(n, np.uint64)
-        here[: n - j] = words.hashes[j:] if j else words.hashes
+        here[: max(n - j, 0)] = words.hashes[j:]
         here[(j >= length) | (j >= left)] = 0
         total = total * np.uint64(_FACTOR) + here
     keep = (left >= length) & ((counts[words.doc] >= size) | (left == length))
