@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 2
+LETTERS = "aeinorst"
+PARTS = 8  # of a line, for the test before the edit distance
 MIN_CHARS = 20  # shorter lines are repeated only by equal ones
 
 
@@ -47,6 +49,22 @@ def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` uses it for every element of an array."""
+    return F.transform(F.array(value), body)[0]
+
+
+def promising(x: Column, y: Column, threshold: int, parts: int = PARTS) -> Column:
+    """A cheap test that all pairs within ``threshold`` edits pass: all but so many even parts of y stand in x nearby."""
+    length = F.length(y)
+    found = F.lit(0)
+    for i in range(parts):
+        start, size = _segment(length, i, parts - 1)
+        around = F.substring(x, F.greatest(F.lit(1), start + 1 - threshold), size + 2 * threshold)
+        found = found + F.contains(around, F.substring(y, start + 1, size)).cast("int")
+    return found >= parts - threshold
+
+
 def within(x: Column, y: Column, threshold: int) -> Column:
     """Whether two strings of at least one character are within ``threshold`` edits; x is the longer one.
 
@@ -76,8 +94,9 @@ def within(x: Column, y: Column, threshold: int) -> Column:
         return packed
 
     first = sum(sum(1 << (threshold + k) for k in range(e + 1)) << (e * width) for e in range(threshold + 1))
-    xs, ys = F.split(x, ""), F.split(y, "")
-    masks = F.transform(F.sequence(F.lit(0), F.length(x) - 1), lambda i: here(xs, ys, i))
+    places = F.sequence(F.lit(0), F.length(x) - 1)
+    chars = F.array(F.split(x, ""), F.split(y, ""))
+    masks = let(chars, lambda c: F.transform(places, lambda i: here(c[0], c[1], i)))
     last = F.aggregate(masks, F.lit(first).cast("long"), step)
     final = F.length(y) - F.length(x) + threshold
     return (F.length(x) - F.length(y) <= threshold) & (
@@ -85,20 +104,50 @@ def within(x: Column, y: Column, threshold: int) -> Column:
     )
 
 
+def _letters(line: Column) -> Column:
+    """Counts of eight common letters modulo 16, four bits each."""
+    counts = F.lit(0).cast("long")
+    for i, letter in enumerate(LETTERS):
+        n = F.length(line) - F.length(F.replace(line, F.lit(letter)))
+        counts = counts.bitwiseOR(F.shiftleft(F.pmod(n, F.lit(16)).cast("long"), 4 * i))
+    return counts
+
+
+def _letters_differ(a: Column, b: Column) -> Column:
+    """A lower bound of how many letters must be taken from or put into one line to get the other."""
+    total = F.lit(0).cast("long")
+    for i in range(len(LETTERS)):
+        one, other = (F.shiftright(c, 4 * i).bitwiseAND(F.lit(15)) for c in (a, b))
+        apart = (one - other).bitwiseAND(F.lit(15))
+        total = total + F.least(apart, 16 - apart)
+    return total
+
+
 def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (x, y) of ids of distinct lines within ``threshold`` edits; ``lines`` has (id, line), ids in any order.
+    """Pairs (xd, xno, yd, yno) of distinct lines within ``threshold`` edits, each pair once.
 
-    x is the longer line, of equally long ones that with the larger id. Lines need more than ``threshold`` characters.
+    ``lines`` has (d, no, line), with (d, no) as key; it is best dealt out by d, as only numbers are shuffled here.
+    Lines need more than ``threshold`` characters. Lines are joined under 64-bit hashes, which may only add candidates.
+    An edit changes the counts of two letters at most; pairs whose counts are further apart never leave the join.
     """
-    sized = lines.select("id", "line", F.length("line").alias("n")).filter(F.col("n") > threshold)
-    index = sized.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.explode(_index_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    probe = sized.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.explode(_probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    ordered = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))
-    found = probe.filter("key is not null").join(index, "key").filter(ordered).select("x", "y").distinct()
-    texts = lines.select("id", "line")
-    full = found.join(texts.select(F.col("id").alias("x"), F.col("line").alias("lx")), "x")
-    full = full.join(texts.select(F.col("id").alias("y"), F.col("line").alias("ly")), "y")
-    return full.filter(within(F.col("lx"), F.col("ly"), threshold)).select("x", "y")
+    sized = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("id")).filter(F.col("n") > threshold)
+    sized = sized.withColumn("letters", _letters(F.col("line")))
+    side = lambda keys, s: sized.select(F.explode(keys).alias("key"), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "id", "letters")])
+    index = side(_index_keys(F.col("line"), F.col("n"), threshold), "y")
+    probe = side(_probe_keys(F.col("line"), F.col("n"), threshold), "x").filter("key is not null")
+    ordered = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") > F.col("y_id")))
+    close = _letters_differ(F.col("x_letters"), F.col("y_letters")) <= 2 * threshold
+    found = probe.join(index, (probe["key"] == index["key"]) & ordered & close).select("x_id", "y_id").distinct()
+    for s in ("x", "y"):
+        place = lines.select(F.xxhash64("line").alias(f"{s}_id"), F.col("d").alias(f"{s}d"), F.col("no").alias(f"{s}no"))
+        found = found.join(place, f"{s}_id").drop(f"{s}_id")
+    for s in ("x", "y"):
+        # Joined by document alone, so that texts stay where they are.
+        text = lines.select(F.col("d").alias("_d"), F.col("no").alias("_no"), F.col("line").alias(f"{s}_line"))
+        found = found.join(text, (F.col("_d") == F.col(f"{s}d")) & (F.col("_no") - F.col(f"{s}no") == 0)).drop("_d", "_no")
+    x, y = F.col("x_line"), F.col("y_line")
+    near = F.when(promising(x, y, threshold), within(x, y, threshold))
+    return found.filter(near).select("xd", "xno", "yd", "yno")
 
 
 def dedup_lines(
@@ -128,28 +177,33 @@ def dedup_lines(
     firsts = full.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct("d", "no")).alias("id"))
     first_of = firsts.groupBy("id.d").agg(F.collect_list("id.no").alias("first"))
     marked = keyed.join(first_of, "d", "left")
-    lines = marked.select("d", F.split(F.coalesce("t", F.lit("")), "\n", -1).alias("all"), F.explode("first").alias("no"))
-    lines = lines.select(F.struct("d", "no").alias("id"), F.get("all", F.col("no")).alias("line"))
-    lines = lines.filter(F.length("line") >= min_chars)
-    gone = near_pairs(lines, threshold).select(F.greatest("x", "y").alias("id")).distinct()
+    split = F.split(F.coalesce("t", F.lit("")), "\n", -1)
+    numbered = let(split, lambda all_: F.transform("first", lambda i: F.struct(i.alias("no"), F.get(all_, i).alias("line"))))
+    lines = marked.select("d", F.explode(numbered).alias("l")).select("d", "l.no", "l.line").filter(F.length("line") >= min_chars)
+    near = near_pairs(lines, threshold)
+    place = lambda s: F.struct(F.col(f"{s}d").alias("d"), F.col(f"{s}no").alias("no"))
+    gone = near.select(F.greatest(place("x"), place("y")).alias("id")).distinct()
     gone_of = gone.groupBy("id.d").agg(F.collect_list("id.no").alias("gone"))
 
     none = F.array().cast("array<int>")
     all_lines = F.split("t", "\n", -1)
-    number = F.sequence(F.lit(0), F.size("all") - 1)
-    blank = F.filter(number, lambda i: F.trim(F.translate(F.get("all", i), "\t\r", "  ")) == "")
-    kept = F.array_sort(F.array_union(F.array_except(F.coalesce("first", none), F.coalesce("gone", none)), blank))
-    out = marked.join(gone_of, "d", "left").select("d", "t", *more, "first", "gone", F.coalesce(all_lines, F.array().cast("array<string>")).alias("all"))
-    out = out.withColumn("kept", F.when(F.col("t").isNull(), none).otherwise(kept))
+
+    def kept(lines_: Column) -> Column:
+        number = F.sequence(F.lit(0), F.size(lines_) - 1)
+        blank = F.filter(number, lambda i: F.trim(F.translate(F.get(lines_, i), "\t\r", "  ")) == "")
+        left = F.array_except(F.coalesce("first", none), F.coalesce("gone", none))
+        return let(F.array_sort(F.array_union(left, blank)), lambda k: F.struct(F.transform(k, lambda i: F.get(lines_, i)).alias("lines"), F.size(k).alias("n")))
+
+    out = marked.join(gone_of, "d", "left").withColumn("k", F.when(F.col("t").isNotNull(), let(all_lines, kept)))
+    size = F.greatest(F.coalesce(F.size(all_lines), F.lit(0)), F.lit(0))
     out = out.select(
         "d",
         *more,
-        F.when(F.col("t").isNotNull(), F.array_join(F.transform("kept", lambda i: F.get("all", i)), "\n")).alias("text"),
-        F.size("all").cast("long").alias("n_lines"),
-        (F.size("all") - F.size("kept")).cast("long").alias("n_dropped"),
+        F.array_join("k.lines", "\n").alias("text"),
+        size.cast("long").alias("n_lines"),
+        (size - F.coalesce("k.n", F.lit(0))).cast("long").alias("n_dropped"),
     )
     loose = rows.filter("d is null").select(
-        "d", *more, F.col("t").alias("text"), F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")
+        "d", *more, F.col("t").alias("text"), size.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")
     )
-    loose = loose.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     return out.unionByName(loose).withColumnsRenamed({"d": key, **dict(zip(more, keep, strict=True))})
