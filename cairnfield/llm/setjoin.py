@@ -73,8 +73,8 @@ def _needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def shingle_sets(texts: DataFrame, shared, size: int, percent: int, whole: bool) -> DataFrame:
-    """Per row of (k, t): k, the set's size, two fingerprints, and the codes of its prefix, or all codes."""
+def shingle_prefixes(texts: DataFrame, shared, size: int, percent: int) -> DataFrame:
+    """Per row of (k, t): k, the set's size, two fingerprints, and the codes of its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for full in batches:
@@ -83,7 +83,7 @@ def shingle_sets(texts: DataFrame, shared, size: int, percent: int, whole: bool)
                 n = np.diff(cuts)
                 total = lambda x: np.concatenate([[np.uint64(0)], np.cumsum(x)])
                 one, two = total(mix(codes)), total(mix(codes ^ np.uint64(0x5851F42D4C957F2D)))
-                keep = n if whole else np.where(n > 0, n - _needed(n, percent) + 1, 0)
+                keep = np.where(n > 0, n - _needed(n, percent) + 1, 0)
                 within = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep)
                 chosen = codes[np.repeat(cuts[:-1], keep) + within]
                 yield pa.RecordBatch.from_arrays(
@@ -115,31 +115,54 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
+def _compare(size: int, percent: int):
+    """Exact Jaccard distances of the texts ``ta`` and ``tb`` of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in batches:
+            for batch in chunks(full, "ta"):
+                rows, counts = [], []
+                for side in ("ta", "tb"):
+                    doc, hashes = shingle_hashes(find_words(batch.column(side)), size)
+                    hashes, cuts = distinct_per_text(doc, hashes, batch.num_rows)
+                    rows.append((np.repeat(np.arange(batch.num_rows), np.diff(cuts)), hashes))
+                    counts.append(np.diff(cuts))
+                row, hashes = (np.concatenate(x) for x in zip(*rows, strict=True))
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                twice = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
+                shared = np.bincount(row[1:][twice], minlength=batch.num_rows)
+                union = np.maximum(counts[0] + counts[1] - shared, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("a"), batch.column("b"), pa.array(1 - shared / union), pa.array(100 * shared >= percent * union)],
+                    names=["a", "b", "dist", "linked"],
+                )
+
+    return run
+
+
 class _Verifier:
-    """Exact Jaccard similarity of pairs of representatives; sets are read from their texts once."""
+    """Exact comparison of pairs of representatives; of all texts only those of a pair are kept, in a table."""
 
-    def __init__(self, reps_text, make_sets, percent: int):
-        self.reps_text, self.make_sets, self.percent = reps_text, make_sets, percent
+    def __init__(self, texts: DataFrame, size: int, percent: int):
+        self.texts, self.size, self.percent = texts, size, percent
         self.steps: list[Step] = []
 
     def __call__(self, pairs: DataFrame) -> Step:
-        """Pairs with ``dist``, 1 - shared / union, and ``linked``, both exact."""
+        """Pairs with ``dist``, 1 - shared / union, and ``linked``."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
         for s in self.steps:
             ids = ids.join(s.df.select("k"), "k", "left_anti")
         if not self.steps or not ids.isEmpty():
-            self.steps.append(Step(self.make_sets(self.reps_text.join(ids, "k", "left_semi")).select("k", "codes"), "sets"))
-        sets = self.steps[0].df
+            self.steps.append(Step(self.texts.join(ids, "k", "left_semi"), "texts"))
+        texts = self.steps[0].df
         for s in self.steps[1:]:
-            sets = sets.unionByName(s.df)
-        left = pairs.join(sets.select(F.col("k").alias("a"), F.col("codes").alias("ca")), "a")
-        full = left.join(sets.select(F.col("k").alias("b"), F.col("codes").alias("cb")), "b")
-        shared = F.size(F.array_intersect("ca", "cb")).cast("long")
-        union = F.size("ca") + F.size("cb") - F.col("shared")
-        out = full.select("a", "b", "ca", "cb", shared.alias("shared")).select(
-            "a", "b", (1 - F.col("shared") / union).alias("dist"), (100 * F.col("shared") >= self.percent * union).alias("linked")
-        )
-        return Step(out, "compared")
+            texts = texts.unionByName(s.df)
+        left = pairs.select("a", "b").join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
+        both = left.join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+        kind = pairs.schema["a"].dataType
+        schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("dist", T.DoubleType()), T.StructField("linked", T.BooleanType())])
+        return Step(both.mapInArrow(_compare(self.size, self.percent), schema), "compared")
 
     def drop(self) -> None:
         for s in self.steps:
@@ -160,7 +183,7 @@ def jaccard_components(
     hot = frequent_shingles(texts, size)
     order = np.argsort(hot)
     shared = spark.sparkContext.broadcast((hot[order], np.arange(len(hot), dtype=np.uint64)[order]))  # 1 MB at most
-    rows = Step(shingle_sets(texts, shared, size, percent, whole=False), "prefixes")
+    rows = Step(shingle_prefixes(texts, shared, size, percent), "prefixes")
 
     same = ["f1", "f2", "n"]
     reps = rows.df.filter("n > 0 and k is not null").groupBy(*same).agg(F.min("k").alias("rep"), F.first("codes").alias("codes"))
@@ -172,7 +195,7 @@ def jaccard_components(
     salted = F.when(F.col("s") < 0, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0))
     lists = Step(several.unionByName(posting.filter("s < 0"), allowMissingColumns=True).withColumn("salt", salted.cast("int")), "lists")
 
-    compare = _Verifier(texts, lambda t: shingle_sets(t, shared, size, percent, whole=True), percent)
+    compare = _Verifier(texts, size, percent)
     first = compare(_ordered(_near_entries(lists.df, percent)))
     linked = first.df.filter("linked").select("a", "b")
     label = Step(components(linked), "labels")

@@ -24,6 +24,8 @@ class Step:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        # Spark deletes the shuffle files of what is written now once the driver's JVM has collected the plan.
+        self.spark._jvm.System.gc()
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
