@@ -19,7 +19,7 @@ files AS (
          CASE doc_id % 17 WHEN 1 THEN '#!/usr/bin/env python' || chr(10) || text
               WHEN 2 THEN 'BM' || text WHEN 3 THEN '%PDF-' || text
               WHEN 4 THEN '# T' || chr(10) || '- [ ] a' || chr(10) || '- b' || chr(10) || text
-              WHEN 5 THEN 'a,b' || chr(10) || '1,2' || chr(10) || '3,4' || chr(10) || '5,6' || chr(10) || '7,8'
+              WHEN 5 THEN 'a,b' || chr(10) || '1,2' || chr(10) || '3,4' || chr(10) || '5,6' || chr(10) || '7,8' || chr(10) || text
               WHEN 6 THEN 'import x' || chr(10) || 'def f() {{return 1;}}' || chr(10) || text
               WHEN 7 THEN '{{"a": 1}}' || text ELSE text END AS content,
          list_extract({EXTENSIONS!r}, CAST(doc_id % 13 AS INTEGER) + 1) AS ext
@@ -58,9 +58,7 @@ def _csvy() -> str:
 
 _BY_EXT = " UNION ALL ".join(
     f"SELECT '{e}' AS ext, '{k}' AS kind, {c}::DOUBLE AS confidence, {repr(d) if d else 'NULL'} AS detail"
-    for names, facets in P.EXTENSION_FACETS
-    for e in names.split()
-    for k, c, d in facets
+    for e, k, c, d in P.EXTENSION_FACETS
     if e in EXTENSIONS
 ) + " UNION ALL ".join(
     ["", *[f"SELECT '{e}', 'code', 0.85, '{lang}'" for e, lang in (("py", "python"), ("rs", "rust"), ("html", "html"))]]
@@ -108,7 +106,7 @@ def _files(spark, sf):
         .when(n == 2, opened("BM"))
         .when(n == 3, opened("%PDF-"))
         .when(n == 4, opened("# T\n- [ ] a\n- b\n"))
-        .when(n == 5, F.lit("a,b\n1,2\n3,4\n5,6\n7,8"))
+        .when(n == 5, opened("a,b\n1,2\n3,4\n5,6\n7,8\n"))
         .when(n == 6, opened("import x\ndef f() {return 1;}\n"))
         .when(n == 7, opened('{"a": 1}'))
         .otherwise(F.col("text"))
