@@ -7,6 +7,7 @@ to a cut, or one total per slice, are brought together per key. Results equal th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,35 +22,45 @@ def slice_keys(
 ) -> DataFrame:
     """Add ``_slice`` when some key has more than ``target_rows`` rows; otherwise return ``df`` as it is.
 
-    Slices are 0 for ordinary keys and 1, 2, ... along ``position`` for oversized ones. ``position`` is a numeric
-    expression that never decreases along the order used later; rows of one key at one and the same position are
-    never parted. With ``keys`` empty the whole input is one key. The list of oversized keys, found by one
-    pre-aggregated pass, has at most rows / ``target_rows`` entries and is all that is fetched and broadcast.
+    Slices are 0 for ordinary keys and 1, 2, ... along ``position`` for oversized ones, null positions first. The cuts
+    are quantiles of the key's positions, so that slices have about equally many rows however positions are spread;
+    rows of one key at one and the same position are never parted. ``position`` is a numeric expression that never
+    decreases along the order used later. With ``keys`` empty the whole input is one key. The list of oversized keys,
+    found by one pre-aggregated pass, has at most rows / ``target_rows`` entries and is all that is fetched and
+    broadcast, with at most 4 * rows / ``target_rows`` cuts each.
     """
     placed = df.withColumn("_pos", position.cast("double"))
-    stats = (
-        placed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-        .filter(F.col("_n") > target_rows)
-        .select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys], "_lo", "_hi", F.ceil(4 * F.col("_n") / F.lit(target_rows)).alias("_cuts")
-        )
-    )
-    oversized = stats.collect()
-    if not oversized:
+    names = [F.col(k).alias(f"_k_{k}") for k in keys]
+    sizes = placed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows)
+    counted = sizes.collect()
+    if not counted:
         return df
-    hot = F.broadcast(df.sparkSession.createDataFrame(oversized, stats.schema))
+    spark = df.sparkSession
+    oversized = F.broadcast(spark.createDataFrame(counted, sizes.schema))
+    cuts = math.ceil(2 * max(r["_n"] for r in counted) / target_rows)
+
+    def same_key(other: DataFrame) -> Column:
+        match = F.lit(True)
+        for k in keys:
+            match = match & placed[k].eqNullSafe(other[f"_k_{k}"])
+        return match
+
+    shares = [i / cuts for i in range(1, cuts)]
+    large = placed.join(oversized, same_key(oversized), "left_semi")
+    bounds = large.groupBy(*names).agg(F.percentile_approx("_pos", shares, 100 * cuts).alias("_cuts"))
+    bounds = F.broadcast(spark.createDataFrame(bounds.collect(), bounds.schema))
+    joined = placed.join(bounds, same_key(bounds), "left")
+    known = F.array_distinct(F.coalesce("_cuts", F.array().cast("array<double>")))
+    index = F.when(F.col("_pos").isNull(), 1).otherwise(2 + F.size(F.filter(known, lambda c: c < F.col("_pos"))))
+    hot = F.lit(True) if not keys else F.col("_hot").isNotNull()
     if keys:
+        marks = F.broadcast(spark.createDataFrame(counted, sizes.schema).withColumn("_hot", F.lit(True)).drop("_n").toDF(*[f"_m_{k}" for k in keys], "_hot"))
         match = F.lit(True)
         for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        joined = placed.join(hot, match, "left")
-    else:
-        joined = placed.withColumn("_one", F.lit(1)).join(hot.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    span = F.col("_hi") - F.col("_lo")
-    index = 1 + F.floor((F.col("_pos") - F.col("_lo")) / (span + 1.0) * F.col("_cuts"))
-    sliced = joined.withColumn(SLICE, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(index).cast("long"))
-    return sliced.drop("_pos", "_lo", "_hi", "_cuts", *[f"_k_{k}" for k in keys])
+            match = match & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
+        joined = joined.join(marks, match, "left").drop(*[f"_m_{k}" for k in keys])
+    sliced = joined.withColumn(SLICE, F.when(hot, index).otherwise(0).cast("long"))
+    return sliced.drop("_pos", "_cuts", "_hot", *[f"_k_{k}" for k in keys])
 
 
 def _by(keys: Sequence[str], *more: str):

@@ -77,3 +77,27 @@ def test_salted_join(spark, rows, how):
     for limit in (1, 100):
         looked = lookup_join(rows, small, ["key"], how, ["id"], limit)
         assert looked.count() == want.count()
+
+
+def test_null_positions_keep_their_rows(spark):
+    df = spark.createDataFrame([("k", None if i % 10 == 0 else i, i) for i in range(100)], "key string, at long, id long")
+    sliced = O.slice_keys(df, ["key"], F.col("at"), 20)
+    assert sliced.filter("_slice is null").count() == 0 and sliced.filter("_slice = 1").count() == 10
+    got = O.running(sliced, ["key"], ["at", "id"], sums={"n": F.lit(1)})
+    want = [r.id for r in df.orderBy(F.col("at").asc_nulls_first(), "id").collect()]
+    assert [(r.id, r.n) for r in got.orderBy("n").collect()] == list(zip(want, range(1, 101), strict=True))
+    assert O.neighbours(sliced, ["key"], ["at", "id"], back={"p": ("id", 1)}).filter("p is not null").count() == 99
+
+
+def test_outliers_do_not_widen_slices(spark):
+    df = spark.createDataFrame([("k", 0 if i == 0 else 10**9 + i, i) for i in range(1000)], "key string, at long, id long")
+    sizes = [r["count"] for r in O.slice_keys(df, ["key"], F.col("at"), 100).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 200
+
+
+def test_hot_null_keys_are_dealt_out(spark):
+    df = spark.createDataFrame([(None if i % 10 else i, i) for i in range(1000)], "k int, id int")
+    small = spark.createDataFrame([(0, "a"), (10, "b"), (None, "c")], "k int, v string")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        got, want = (sorted(map(str, j.collect())) for j in (salted_join(df, small, ["k"], how, target_rows=50), df.join(small, "k", how)))
+        assert got == want
