@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "cairnfield", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings the jobs rely on; on a cluster leave ``master`` to spark-submit.
 
-    A local session gets a checkpoint folder of its own; on a cluster ``spark.checkpoint.dir`` names the shared one.
+    The package goes to the executors with it. ``spark.checkpoint.dir`` names the folder for written steps.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -34,22 +36,33 @@ def build_session(app: str = "cairnfield", master: str | None = None, partitions
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if master and master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", ""):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    ship_package(spark)
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, as in tests, a new folder that is then set in the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint when the session names a shared folder, otherwise the plan unchanged.
+    """The rows written as parquet in the shared folder and read back: what follows starts from there."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    The folder comes from ``spark.checkpoint.dir``; a machine-local folder is never invented here because
-    executors on other hosts could not read it back.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python tasks can import it anywhere."""
+    if spark.conf.get("spark.cairnfield.shipped", "") == spark.sparkContext.applicationId:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "cairnfield"), "zip", os.path.dirname(here), os.path.basename(here)
+    )
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("spark.cairnfield.shipped", spark.sparkContext.applicationId)
