@@ -11,7 +11,7 @@ from cairnfield.functions.text import tokens
 from cairnfield.functions.time import decayed, epoch_micros, epoch_seconds
 from cairnfield.functions.vectors import cosine
 from cairnfield.operators.ordered import TARGET_ROWS, neighbours, sessionize, slice_keys
-from cairnfield.operators.skew import lookup_join, salted_join
+from cairnfield.operators.skew import lookup_join, oversized, salted_join
 from cairnfield.session import cut_lineage
 
 
@@ -29,14 +29,27 @@ def followed_by(events: DataFrame, key: str, node: str, tie: str = "event_id", t
     return build_edges(linked, F.col(node), F.col("_next"), "followed-by")
 
 
-def used_with(
-    df: DataFrame, group: str, item: str, position: str, span: int = 6, target_rows: int = TARGET_ROWS
-) -> DataFrame:
-    """Items used together: ``a < b, weight`` counts uses at most ``span`` steps apart within a group.
+def membership(df: DataFrame, group: str, item: str) -> DataFrame:
+    """Which items belong to which groups, each once: the stored form of "used together", linear in the rows."""
+    return df.select(group, item).filter(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct()
+
+
+def partners_of(members: DataFrame, items: DataFrame, group: str, item: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Everything used together with the asked ``items``: ``a`` (asked), ``b`` (partner), ``weight`` (common groups).
+
+    Two hops over the membership edges, exact for groups of any size; groups with very many members are split.
+    """
+    asked = salted_join(members, items.select(item).distinct(), [item], "left_semi", spread=[group], target_rows=target_rows)
+    asked = asked.select(group, F.col(item).alias("a"))
+    both = salted_join(members, asked, [group], "inner", spread=[item], target_rows=target_rows)
+    pairs = both.filter(F.col("a") != F.col(item))
+    return pairs.groupBy("a", F.col(item).alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def used_near(df: DataFrame, group: str, item: str, position: str, span: int, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Pairs ``a < b, weight`` of items used at most ``span`` steps apart within a group.
 
-    Each item of a group counts once, at its first position. Pairs come from the next ``span`` rows only, so the work
-    grows with the rows and not with the square of a group; partners at any distance are two hops in the graph
-    (:func:`k_hop` over item and group edges).
+    Each item of a group counts once, at its first position. Partners at any distance are :func:`partners_of`.
     """
     firsts = df.groupBy(group, item).agg(F.min(position).alias("_at"))
     sliced = slice_keys(firsts, [group], F.col("_at"), target_rows)
@@ -57,11 +70,12 @@ def decay(edges: DataFrame, tau_seconds: float, eps: float, now: Column) -> Data
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """Nodes within ``k`` directed steps of each seed: ``seed, node, hops`` (smallest), seeds themselves left out."""
     steps = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct())
+    hot = oversized(steps, ["node"])
     frontier = seeds.select(F.col("node").alias("seed"), "node").distinct()
     seen = frontier.withColumn("hops", F.lit(0))
     for hop in range(1, k + 1):
         # Hub nodes hold many edges: their side is the one that is split.
-        reached = salted_join(steps, frontier, ["node"], "inner", spread=["_next"]).select("seed", F.col("_next").alias("node"))
+        reached = salted_join(steps, frontier, ["node"], "inner", spread=["_next"], hot=hot).select("seed", F.col("_next").alias("node"))
         fresh = reached.distinct().join(seen, ["seed", "node"], "left_anti")
         frontier = cut_lineage(fresh)
         seen = seen.unionByName(frontier.withColumn("hops", F.lit(hop)))
@@ -118,9 +132,9 @@ def _runs(words: Column, n: int) -> Column:
     return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))), run)
 
 
-def mention_edges(found: DataFrame, key: str = "doc_id", span: int = 3) -> DataFrame:
-    """Entities mentioned at most ``span`` mentions apart in one text."""
-    return used_with(found, key, "entity", "pos", span)
+def mentioned_with(found: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Entities mentioned in the same texts as the asked ``entities``: ``a, b, weight`` (common texts)."""
+    return partners_of(membership(found, key, "entity"), entities, key, "entity")
 
 
 def to_nodes(prefix: str, column: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.operators.ordered import SLICE, TARGET_ROWS, running, slice_keys
-from cairnfield.operators.skew import salted_join
+from cairnfield.operators.skew import oversized, salted_join
 from cairnfield.session import cut_lineage
 
 UNDOABLE, IRREVERSIBLE = "undoable", "irreversible"
@@ -96,22 +96,39 @@ def audit_rollup(journal: DataFrame) -> DataFrame:
     )
 
 
-def provenance(edges: DataFrame, max_depth: int = 3) -> DataFrame:
-    """All things each output was made from, with the smallest ``depth``; ``edges`` has ``output, input``.
+def made_from(journal: DataFrame) -> DataFrame:
+    """Edges ``output, input, seq`` of a journal: everything an event put out was made from everything it took in.
 
-    One equi-join per level over what the level before found new; a node with very many inputs is split.
+    An event's edges are its outputs times its inputs; the smallest ``seq`` is kept where events agree.
     """
-    steps = cut_lineage(edges.select("output", "input").distinct())
-    found = steps.select("output", F.col("input").alias("source"), F.lit(1).alias("depth"))
-    frontier = found
-    for depth in range(2, max_depth + 1):
-        onward = steps.select(F.col("output").alias("source"), F.col("input").alias("_next"))
-        reached = salted_join(onward, frontier.select("output", "source"), ["source"], "inner", spread=["_next"])
-        reached = reached.select("output", F.col("_next").alias("source")).filter(F.col("output") != F.col("source"))
-        fresh = reached.distinct().join(found, ["output", "source"], "left_anti")
-        frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
-        found = found.unionByName(frontier)
-    return found
+    outputs = journal.select("seq", "inputs", F.explode("outputs").alias("output"))
+    pairs = outputs.select("seq", "output", F.explode("inputs").alias("input"))
+    return pairs.groupBy("output", "input").agg(F.min("seq").alias("seq"))
+
+
+def provenance(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """All things the asked outputs were made from, however far back, with the smallest ``depth``.
+
+    ``edges`` has ``output, input``; ``of`` has the asked ``output`` values, by default all. One equi-join per level
+    over what the level before found new, until a level finds nothing; a node with very many inputs is split. Things
+    that are part of their own making appear among their own sources.
+    """
+    steps = cut_lineage(edges.select(F.col("output").alias("source"), F.col("input").alias("_next")).distinct())
+    hot = oversized(steps, ["source"])
+    starts = steps.select("source") if of is None else of.select(F.col("output").alias("source"))
+    frontier = starts.distinct().select(F.col("source").alias("output"), "source")
+    found, depth = None, 0
+    while True:
+        depth += 1
+        reached = salted_join(steps, frontier, ["source"], "inner", spread=["_next"], hot=hot)
+        reached = reached.select("output", F.col("_next").alias("source")).distinct()
+        if found is not None:
+            reached = reached.join(found, ["output", "source"], "left_anti")
+        level = cut_lineage(reached.withColumn("depth", F.lit(depth)))
+        found = level if found is None else found.unionByName(level)
+        if level.isEmpty():
+            return found
+        frontier = level.select("output", "source")
 
 
 def compact(journal: DataFrame, before: str) -> DataFrame:

@@ -55,13 +55,28 @@ def graph_edges(spark, sf):
 @query(
     "used_with_pairs",
     """
+WITH member AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS weight
+FROM member x JOIN member y ON y.l_orderkey = x.l_orderkey AND y.l_partkey <> x.l_partkey
+WHERE x.l_partkey % 50 = 0 GROUP BY 1, 2""",
+)
+def used_with_pairs(spark, sf):
+    """Parts ordered together with every fiftieth part, out of all orders."""
+    members = G.membership(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
+    asked = table(spark, sf, "part").filter(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("l_partkey"))
+    return G.partners_of(members, asked, "l_orderkey", "l_partkey")
+
+
+@query(
+    "used_near_pairs",
+    """
 WITH firsts AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS spot FROM lineitem GROUP BY 1, 2),
 placed AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY spot, l_partkey) AS no FROM firsts)
 SELECT least(x.l_partkey, y.l_partkey) AS a, greatest(x.l_partkey, y.l_partkey) AS b, count(*) AS weight
-FROM placed x JOIN placed y ON y.l_orderkey = x.l_orderkey AND y.no > x.no AND y.no <= x.no + 6 GROUP BY 1, 2""",
+FROM placed x JOIN placed y ON y.l_orderkey = x.l_orderkey AND y.no > x.no AND y.no <= x.no + 2 GROUP BY 1, 2""",
 )
-def used_with_pairs(spark, sf):
-    return G.used_with(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber", 6)
+def used_near_pairs(spark, sf):
+    return G.used_near(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber", span=2)
 
 
 @query(
@@ -82,15 +97,15 @@ def edge_decay(spark, sf):
     "graph_2hop",
     f"""
 WITH {inputs.LINEAGE}
-SELECT a.output AS seed, a.input AS node, 1 AS hops FROM lineage a WHERE a.output LIKE 'cust:%'
+SELECT a.output AS seed, a.input AS node, 1 AS hops FROM lineage a WHERE a.output LIKE 'cust:%0'
 UNION ALL
-SELECT DISTINCT a.output, b.input, 2 FROM lineage a JOIN lineage b ON b.output = a.input WHERE a.output LIKE 'cust:%'""",
+SELECT DISTINCT a.output, b.input, 2 FROM lineage a JOIN lineage b ON b.output = a.input WHERE a.output LIKE 'cust:%0'""",
 )
 def graph_2hop(spark, sf):
-    """From every customer over its orders to their parts."""
+    """From every tenth customer over its orders to their parts."""
     edges = inputs.lineage(spark, sf).select(F.col("output").alias("src"), F.col("input").alias("dst"))
-    seeds = edges.filter(F.col("src").startswith("cust:")).select(F.col("src").alias("node"))
-    return G.k_hop(edges, seeds, 2)
+    asked = table(spark, sf, "customer").filter(F.col("c_custkey") % 10 == 0)
+    return G.k_hop(edges, asked.select(G.to_nodes("cust:", "c_custkey").alias("node")), 2)
 
 
 CLUSTERS = f"""{inputs.VECTORS},
@@ -123,18 +138,20 @@ alike AS (SELECT v.item_id AS item, list_dot_product(v.vec, q.vec) AS confidence
   WHERE v.model = 'model-a' AND v.item_id <> 0 ORDER BY confidence DESC, item LIMIT 20),
 stacked AS (SELECT item, 'looks alike' AS why, confidence FROM alike
   UNION ALL SELECT item_id, 'same capture', 1 - distance FROM clusters WHERE item_id <> head AND distance <= 0.9
-  UNION ALL SELECT o_custkey, 'shared order', 0.3 FROM orders WHERE o_orderpriority = '1-URGENT')
+  UNION ALL SELECT y.l_partkey, 'used with', 0.3 FROM lineitem x JOIN lineitem y USING (l_orderkey) WHERE x.l_partkey = 1 AND y.l_partkey <> 1)
 SELECT item, string_agg(DISTINCT why, ',' ORDER BY why) AS why, round(max(confidence), 4) AS confidence FROM stacked GROUP BY 1""",
 )
 def related_feed(spark, sf):
-    """Neighbours of item 0, members of capture clusters, and customers reached over urgent orders."""
+    """Neighbours of item 0 (parts stand for items), members of capture clusters, and what is two hops from part 1."""
     base = inputs.vectors(spark, sf).filter(F.col("model") == "model-a")
     alike = N.knn(base, F.col("item_id") == 0, 20)
     alike = alike.select(F.col("item_id").alias("item"), F.lit("looks alike").alias("why"), F.col("score").alias("confidence"))
     taken = _clusters(spark, sf).filter((F.col("item_id") != F.col("head")) & F.col("together"))
     taken = taken.select(F.col("item_id").alias("item"), F.lit("same capture").alias("why"), (1 - F.col("distance")).alias("confidence"))
-    urgent = table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    reached = urgent.select(F.col("o_custkey").alias("item"), F.lit("shared order").alias("why"), F.lit(0.3).alias("confidence"))
+    members = G.membership(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
+    asked = table(spark, sf, "part").filter(F.col("p_partkey") == 1).select(F.col("p_partkey").alias("l_partkey"))
+    used = G.partners_of(members, asked, "l_orderkey", "l_partkey")
+    reached = used.select(F.col("b").alias("item"), F.lit("used with").alias("why"), F.lit(0.3).alias("confidence"))
     return G.related_feed(alike, taken, reached).withColumn("confidence", F.round("confidence", 4))
 
 
@@ -170,13 +187,15 @@ def entity_mentions(spark, sf):
     "entity_cooccurrence",
     f"""
 WITH {NAMES},
-firsts AS (SELECT doc_id, entity, min(pos) AS spot FROM found GROUP BY 1, 2),
-placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot, entity) AS no FROM firsts)
-SELECT least(x.entity, y.entity) AS a, greatest(x.entity, y.entity) AS b, count(*) AS weight
-FROM placed x JOIN placed y ON y.doc_id = x.doc_id AND y.no > x.no AND y.no <= x.no + 3 GROUP BY 1, 2""",
+member AS (SELECT DISTINCT doc_id, entity FROM found)
+SELECT x.entity AS a, y.entity AS b, count(*) AS weight
+FROM member x JOIN member y ON y.doc_id = x.doc_id AND y.entity <> x.entity
+WHERE x.entity IN (SELECT w[1] FROM heads) GROUP BY 1, 2""",
 )
 def entity_cooccurrence(spark, sf):
-    return G.mention_edges(_mentions(spark, sf))
+    """Entities in the same documents as the first words of the benchmark passages, at any distance."""
+    first = table(spark, sf, "benchmark").select(F.element_at(tokens(F.col("text")), 1).alias("entity"))
+    return G.mentioned_with(_mentions(spark, sf), first)
 
 
 # ---- habits

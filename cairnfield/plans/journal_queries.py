@@ -89,18 +89,38 @@ def journal_audit_rollup(spark, sf):
     return L.audit_rollup(journal(spark, sf))
 
 
+@query(
+    "journal_lineage",
+    """
+SELECT DISTINCT o.output, 'part:' || l_partkey AS input, l_orderkey AS seq
+FROM lineitem JOIN (SELECT o_orderkey, unnest(['order:' || o_orderkey, 'bill:' || o_orderkey]) AS output FROM orders) o ON o.o_orderkey = l_orderkey""",
+)
+def journal_lineage(spark, sf):
+    """Orders as journal events that turn parts into an order and a bill."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    taken = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(text("part:", "l_partkey")).alias("inputs"))
+    events = orders.join(taken, "l_orderkey").select(
+        F.col("l_orderkey").alias("seq"), "inputs", F.array(text("order:", "l_orderkey"), text("bill:", "l_orderkey")).alias("outputs")
+    )
+    return L.made_from(events)
+
+
 @query(
     "provenance_closure",
     f"""
 WITH RECURSIVE {inputs.LINEAGE},
 walk(output, source, depth) AS (
-  SELECT output, input, 1 FROM lineage
+  SELECT output, input, 1 FROM lineage WHERE output LIKE 'cust:%0'
   UNION
-  SELECT w.output, l.input, w.depth + 1 FROM walk w JOIN lineage l ON l.output = w.source WHERE w.depth < 3)
+  SELECT w.output, l.input, w.depth + 1 FROM walk w JOIN lineage l ON l.output = w.source)
 SELECT output, source, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2""",
 )
 def provenance_closure(spark, sf):
-    return L.provenance(inputs.lineage(spark, sf), 3)
+    """Everything that is behind every tenth customer."""
+    asked = table(spark, sf, "customer").filter(F.col("c_custkey") % 10 == 0)
+    of = asked.select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("output"))
+    return L.provenance(inputs.lineage(spark, sf), of)
 
 
 @query(

@@ -34,7 +34,7 @@ def rows_of(df):
     lambda e, t: K.attention_balance(e.withColumn("outcome", F.when(F.col("event_type") == "error", "dismissed").otherwise("accepted")), target_rows=t),
     lambda e, t: H.score_predictions(e.select(F.col("event_id").alias("prediction_id"), "user_id", "ts", F.lit("view").alias("predicted")), e, 10**10, target_rows=t),
     lambda e, t: G.followed_by(e, "user_id", "event_type", target_rows=t),
-    lambda e, t: G.used_with(e, "user_id", "event_id", "event_id", 3, target_rows=t),
+    lambda e, t: G.used_near(e, "user_id", "event_id", "event_id", 3, target_rows=t),
 ])
 def test_hot_users_change_nothing(events, op):
     assert rows_of(op(events, 11)) == rows_of(op(events, 10**9))
@@ -53,9 +53,20 @@ def test_predictions_against_brute_force(events):
             assert got[r.event_id] == (want, want == "view")
 
 
-def test_used_with_covers_all_pairs_of_short_groups(spark):
+@pytest.mark.parametrize("target", [5, 10**9])
+def test_partners_are_exact_in_long_groups(spark, target):
+    rows = [("g", i) for i in range(30)] + [("h", i) for i in range(5, 9)] + [("h", 5), (None, 5), ("x", 99)]
+    members = G.membership(spark.createDataFrame(rows, "g string, item int"), "g", "item")
+    asked = spark.createDataFrame([(5,), (20,), (99,), (1000,)], "item int")
+    got = {(r.a, r.b): r.weight for r in G.partners_of(members, asked, "g", "item", target).collect()}
+    want = {(a, b): 1 for a in (5, 20) for b in range(30) if a != b}
+    want.update({(5, b): 2 for b in (6, 7, 8)})
+    assert got == want
+
+
+def test_used_near_covers_all_pairs_of_short_groups(spark):
     df = spark.createDataFrame([(g, i, p) for g in range(4) for p, i in enumerate([g, 5, 7, 9])], "g int, item int, p int")
-    got = {(r.a, r.b): r.weight for r in G.used_with(df, "g", "item", "p", 6).collect()}
+    got = {(r.a, r.b): r.weight for r in G.used_near(df, "g", "item", "p", 6).collect()}
     want = {}
     for g in range(4):
         for a, b in itertools.combinations(sorted({g, 5, 7, 9}), 2):
