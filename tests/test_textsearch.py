@@ -80,3 +80,11 @@ def test_rendering_and_export(spark, tmp_path):
     assert render_hits(hits.drop("score")).count() == 2
     export_layers({"habits": hits, "graph": hits.limit(1)}, str(tmp_path), "json")
     assert spark.read.json(f"{tmp_path}/layer=habits").count() == 2
+
+
+def test_scripts_and_prefixes(spark):
+    texts = [(1, "한국 사람"), (2, "ガラス の 家"), (3, "Tiếng Việt nam"), (4, "old newt"), (5, "new york"), (6, "new old yo")]
+    found = T.build_postings(spark.createDataFrame(texts, "id int, t string"), "id", ["t"])
+    find = lambda **q: {r.id for r in T.match_text(found, **q).collect()}
+    assert find(all=["한국"]) == {1} and find(all=["ガラス"]) == {2} and find(all=["viet"]) == {3} and find(all=["Việt"]) == {3}
+    assert find(prefix="new yo") == {5} and find(prefix="new") == {4, 5, 6} and find(prefix="") == set() and find(phrase="...") == set()
