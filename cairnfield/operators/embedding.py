@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.functions.text import tokens
 from cairnfield.functions.vectors import is_valid, l2_normalize
+from cairnfield.session import cut_lineage
 
 EmbedFn = Callable[[pd.Series], list]
 
@@ -49,7 +50,8 @@ def embed(
             yield pd.DataFrame({"content_hash": batch["content_hash"].to_numpy(), "vec": checked, "error": errors})
 
     schema = "content_hash string, vec array<float>, error string"
-    done = df.select("content_hash", content).mapInPandas(run, schema)
+    # Results and failures are two parts of one written pass.
+    done = cut_lineage(df.select("content_hash", content).mapInPandas(run, schema))
     ok = done.filter(F.col("error").isNull())
     ok = ok.select("content_hash", F.lit(model).alias("model"), F.lit(dim).alias("dim"), "vec")
     return ok, done.filter(F.col("error").isNotNull()).select("content_hash", "error")
@@ -81,7 +83,7 @@ def embed_text(df: DataFrame, dim: int = 256, key: str = "doc_id", text: str = "
     """
     words = df.select(key, F.explode_outer(tokens(F.col(text))).alias("word"))
     words = words.filter(F.col("word").isNotNull())
-    slots = words.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(dim)).cast("int"))
+    slots = words.withColumn("slot", (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dim).cast("int"))
     counts = slots.groupBy(key, "slot").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     n_docs = df.select(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_one"))
     spread = counts.groupBy("slot").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1))

@@ -129,7 +129,7 @@ def top_counterparty(df: DataFrame, key: str, other: str, k: int = 3) -> DataFra
     Rows shrink to one per pair before ranking, and the rank filter is applied before the shuffle as well.
     """
     pairs = df.groupBy(key, other).agg(F.count(F.lit(1)).alias("n"))
-    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))
+    totals = pairs.groupBy(key).agg(F.sum("n").alias("_all"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), other)
     best = pairs.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
     return best.join(totals, key).withColumn("share", F.col("n") / F.col("_all")).drop("_all")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.operators.catalog import MAX_PIXELS
+from cairnfield.session import cut_lineage
 
 # Block sizes, block weights, luma and chroma coefficients, histogram bins and colour thresholds.
 DIM = 160
@@ -145,6 +146,7 @@ def featurize_images(
                 {"width": "Int32", "height": "Int32"}
             )
 
-    done = flat.mapInPandas(run, FEATURE_SCHEMA)
+    # Results and failures are two parts of one written pass.
+    done = cut_lineage(flat.mapInPandas(run, FEATURE_SCHEMA))
     ok = done.filter(F.col("error").isNull()).drop("error")
     return ok, done.filter(F.col("error").isNotNull()).select("path", "error")

@@ -104,3 +104,9 @@ def test_plans(spark, cloud):
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
     joined = N.knn_join(df, df, 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in joined
+
+
+def test_edges_cover_every_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0]), (10, [1.0, 0.0, 0.0]), (11, [0.99, 0.1, 0.0])]
+    got = {(r.src, r.dst) for r in N.similar_edges(spark.createDataFrame(rows, "item_id long, vec array<float>"), 0.9).collect()}
+    assert got == {(1, 2), (10, 11)}
