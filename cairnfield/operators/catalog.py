@@ -79,7 +79,7 @@ def classify_changes(scan: DataFrame, catalog: Catalog, max_bytes: int = MAX_BYT
     ``scan`` has ``path, size, mtime, content_hash, readable``. Content already in the catalog is judged against the
     state before the run; among paths sharing new content the smallest path introduces it.
     """
-    # Several passes follow; with a checkpoint folder the content behind the hashes is read once.
+    # Several passes follow; the content behind the hashes is read once.
     scan = cut_lineage(scan.select("path", "size", "mtime", "content_hash", "readable"))
     prior = _stat_of(catalog.files, "p_", "content_hash")
     held = _stat_of(catalog.quarantine, "q_")
@@ -113,7 +113,8 @@ def classify_changes(scan: DataFrame, catalog: Catalog, max_bytes: int = MAX_BYT
         "path",
         "size",
         "mtime",
-        "content_hash",
+        # Files that were not read again keep what the catalog knows of them.
+        F.when(F.col("_early").isNotNull(), F.coalesce("content_hash", "p_content_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
         F.col("p_content_hash").alias("prior_hash"),
         outcome.alias("outcome"),
         F.when(outcome == FAILED, error).alias("error"),
@@ -205,9 +206,10 @@ def catalog_stats(catalog: Catalog) -> DataFrame:
 def list_items(items: DataFrame, files: DataFrame, limit: int = 50) -> DataFrame:
     """The most recently indexed items with their representative path."""
     recent = items.orderBy(F.desc("indexed_ts"), F.desc("content_hash")).limit(limit)
-    paths = files.groupBy("content_hash").agg(F.min("path").alias("_path"))
-    # At most ``limit`` rows on the broadcast side.
-    hydrated = paths.join(F.broadcast(recent), "content_hash", "right")
+    # At most ``limit`` rows on the broadcast sides.
+    mine = files.join(F.broadcast(recent.select("content_hash")), "content_hash", "left_semi")
+    paths = mine.groupBy("content_hash").agg(F.min("path").alias("_path"))
+    hydrated = recent.join(F.broadcast(paths), "content_hash", "left")
     hydrated = hydrated.withColumn("path", F.coalesce("_path", F.lit(""))).drop("_path")
     return hydrated.orderBy(F.desc("indexed_ts"), F.desc("content_hash"))
 
@@ -248,7 +250,7 @@ def apply_scan(
     catalog: Catalog, scan: DataFrame, root: str, run: int, max_bytes: int = MAX_BYTES
 ) -> tuple[Catalog, DataFrame, DataFrame]:
     """One full scan of ``root``: the next catalog, the classified changes and the swept paths."""
-    # The changes feed five results; with a checkpoint folder the scan is hashed and classified once.
+    # The changes feed five results; the scan is hashed and classified once.
     changes = cut_lineage(classify_changes(scan, catalog, max_bytes))
     seen = changes.filter(F.col("outcome").isin(INDEXED, UPDATED, DEDUPED, UNCHANGED) | F.col("drops_prior"))
     removed = sweep_deleted(catalog.files, seen, root)

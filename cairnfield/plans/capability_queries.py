@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cairnfield.operators import capabilities as M
@@ -11,7 +13,8 @@ from cairnfield.plans import inputs
 from cairnfield.plans.facet_queries import RESOLVED_OF
 from cairnfield.plans.registry import query, table
 from cairnfield.plans.text_queries import WORDS
-from cairnfield.sources.manifests import MANIFEST_SCHEMA
+from cairnfield.session import shared_folder
+from cairnfield.sources.manifests import MANIFEST_SCHEMA, read_manifests
 
 # (id, facet, minimum, count, triggers, permissions, reversibility); the capability of each event type.
 MANIFESTS = [
@@ -126,3 +129,37 @@ def scope_violations(spark, sf):
         F.col("ts").alias("granted_at"),
     )
     return M.scope_violations(requests, known, grants)
+
+
+@query(
+    "manifest_violations",
+    """
+WITH m AS (SELECT p_partkey AS k, 'cap.' || (p_partkey - CASE WHEN p_partkey % 19 = 0 THEN 1 ELSE 0 END) AS id FROM part),
+twice AS (SELECT id FROM m GROUP BY 1 HAVING count(*) > 1)
+SELECT id, 'missing version' AS rule FROM m WHERE k % 7 = 0
+UNION ALL SELECT id, 'missing contract' FROM m WHERE k % 5 = 0
+UNION ALL SELECT id, 'no facet predicate' FROM m WHERE k % 3 = 0
+UNION ALL SELECT id, 'facet minimum outside 0..1' FROM m WHERE k % 3 <> 0 AND k % 23 = 0
+UNION ALL SELECT id, 'unreadable count' FROM m WHERE k % 3 <> 0 AND k % 29 = 0
+UNION ALL SELECT id, 'unknown reversibility' FROM m WHERE k % 13 = 0
+UNION ALL SELECT id, 'network scope without gate' FROM m WHERE k % 17 = 0
+UNION ALL SELECT id, 'id used twice' FROM twice""",
+)
+def manifest_violations(spark, sf):
+    """A manifest per part, as JSON documents that are read back, with faults by rule."""
+    n = F.col("p_partkey")
+    every = lambda d: n % d == 0
+    predicate = F.struct(
+        F.lit("text").alias("facet"), F.when(every(23), 1.5).otherwise(0.5).alias("min"), F.when(every(29), "some").otherwise(">=1").alias("count")
+    )
+    manifests = table(spark, sf, "part").select(
+        F.concat(F.lit("cap."), (n - F.when(every(19), 1).otherwise(0)).cast("string")).alias("id"),
+        F.when(every(7), " ").otherwise("1").alias("version"),
+        F.when(~every(3), F.array(predicate)).alias("appliesTo"),
+        F.when(~every(5), F.struct(F.lit("none").alias("reasoning"))).alias("contract"),
+        F.when(every(17), F.array(F.lit("net:send"))).alias("permissions"),
+        F.when(every(13), "maybe").otherwise("undoable").alias("reversibility"),
+    )
+    folder = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
+    manifests.write.json(folder)
+    return M.validate_manifests(read_manifests(spark, folder, one_per_line=True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from cairnfield.functions.identity import content_hash
 from cairnfield.functions.text import tokens
 from cairnfield.operators import catalog as C
 from cairnfield.plans import inputs
+from cairnfield.plans.ingest import Embedder, ingest, read_from
 from cairnfield.plans.registry import query, table
+from cairnfield.session import shared_folder
+from cairnfield.sources.catalog_store import load_catalog
 from cairnfield.sources.tables import corpus_from_table
 
 READABLE_FROM = 50  # shorter texts stand for undecodable files
@@ -333,3 +338,36 @@ FROM corpus_prev p FULL JOIN corpus_cur c ON c.path = p.path""",
 )
 def snapshot_set_ops(spark, sf):
     return C.snapshot_diff(inputs.corpus_prev(spark, sf), inputs.corpus_cur(spark, sf))
+
+
+def _ingested(spark: SparkSession, sf: str) -> str:
+    """A store after a run over the earlier and one over the later snapshot."""
+
+    def shape(content) -> list[float]:
+        """A stand-in for a model: three numbers of a text; an empty one fails."""
+        if not content:
+            raise ValueError("empty")
+        return [float(len(content)), float(content.count(" ")), float(content.count("e"))]
+
+    store = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    for run, corpus in ((1, inputs.corpus_prev(spark, sf)), (2, inputs.corpus_cur(spark, sf))):
+        ingest(spark, corpus, read_from(corpus), store, run, "/lib/", Embedder("shape-3", 3, shape), F.lit("2024-01-31"), CAP)
+    return store
+
+
+@query(
+    "ingest_incremental",
+    f"""
+WITH {inputs.CORPUS_PREV},{inputs.CORPUS_CUR},
+now AS (SELECT path, 'sha256:' || sha256(content) AS content_hash, size, mtime, content FROM corpus_cur WHERE size BETWEEN 1 AND {CAP}),
+old AS (SELECT DISTINCT 'sha256:' || sha256(content) AS content_hash FROM corpus_prev WHERE size BETWEEN 1 AND {CAP})
+SELECT path, now.content_hash, size, mtime, CAST(CASE WHEN old.content_hash IS NULL THEN 2 ELSE 1 END AS BIGINT) AS first_run,
+       CAST(length(content) AS DOUBLE) AS first_number
+FROM now LEFT JOIN old ON old.content_hash = now.content_hash""",
+)
+def ingest_incremental(spark, sf):
+    """Files, the run that brought their content, and its embedding, after two runs of the ingest job."""
+    found = load_catalog(spark, _ingested(spark, sf))
+    items = found.items.select("content_hash", "first_run")
+    vectors = found.embeddings.select("content_hash", F.element_at("vec", 1).cast("double").alias("first_number"))
+    return found.files.join(items, "content_hash").join(vectors, "content_hash", "left")

@@ -77,15 +77,14 @@ def debounce_sessions(spark, sf):
 @query(
     "debounce_resolve",
     f"""
-WITH {SESSIONS}, here AS (SELECT DISTINCT o_custkey AS user_id FROM orders WHERE o_orderpriority = '1-URGENT')
+WITH {SESSIONS}, here AS (SELECT DISTINCT o_custkey AS user_id FROM orders)
 SELECT b.user_id, last_ts, CASE WHEN last_kind = 'error' THEN 'remove' ELSE 'upsert' END AS by_kind,
        CASE WHEN h.user_id IS NULL THEN 'remove' ELSE 'upsert' END AS by_listing
 FROM bursts b LEFT JOIN here h ON h.user_id = b.user_id""",
 )
 def debounce_resolve(spark, sf):
-    """Existence in the current listing (customers with urgent orders) against the last kind seen."""
-    urgent = table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    listing = urgent.select(F.col("o_custkey").alias("user_id"))
+    """Existence in the current listing (customers with orders) against the last kind seen."""
+    listing = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"))
     by_kind = D.resolve_action(_bursts(spark, sf), "user_id", removed="error").withColumnRenamed("action", "by_kind")
     both = D.resolve_action(by_kind, "user_id", listing).withColumnRenamed("action", "by_listing")
     return both.select("user_id", "last_ts", "by_kind", "by_listing")
@@ -190,3 +189,15 @@ def event_dedup(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("day"))
     twice = events.unionByName(events)
     return W.dedup(twice, ["user_id", "event_type", "day"], ["ts", "event_id"]).drop("day")
+
+
+@query(
+    "late_rows",
+    """
+WITH seen AS (SELECT *, max(ts) OVER (ORDER BY event_id) AS latest FROM events)
+SELECT event_type, count(*) AS n, count(*) FILTER (ts < latest - INTERVAL 10 MINUTE) AS late FROM seen GROUP BY 1""",
+)
+def late_rows(spark, sf):
+    """What a watermark of ten minutes drops if events arrive by number."""
+    marked = W.mark_late(table(spark, sf, "events"), "ts", 600_000_000, "event_id")
+    return marked.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late"))

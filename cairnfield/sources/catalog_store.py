@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from cairnfield.operators.catalog import Catalog
 
 FILES = "path string, content_hash string, size bigint, mtime bigint"
-ITEMS = "content_hash string, byte_len bigint, sub_id string, first_run bigint"
+ITEMS = (
+    "content_hash string, byte_len bigint, sub_id string, first_run bigint, facet string, format string, width int, "
+    "height int, capture_ts timestamp_ntz, indexed_ts timestamp_ntz"
+)
 QUARANTINE = "path string, size bigint, mtime bigint, error string, failed_run bigint"
 EMBEDDINGS = "content_hash string, model string, dim int, vec array<float>"
+META = "key string, value string"
 SCHEMAS = {"files": FILES, "items": ITEMS, "quarantine": QUARANTINE, "embeddings": EMBEDDINGS}
 
 
@@ -28,26 +32,34 @@ def latest_run(spark: SparkSession, path: str) -> int | None:
     return commits.agg(F.max("run")).first()[0]
 
 
-def load_catalog(spark: SparkSession, path: str) -> Catalog:
-    """The newest committed run, or an empty catalog."""
-    run = latest_run(spark, path)
+def load_catalog(spark: SparkSession, path: str, run: int | None = None) -> Catalog:
+    """One run, by default the newest committed one, or an empty catalog."""
+    run = latest_run(spark, path) if run is None else run
     if run is None:
         return empty_catalog(spark)
-    return Catalog(**{
-        name: spark.read.schema(schema).parquet(f"{path}/run={run}/{name}") for name, schema in SCHEMAS.items()
-    })
-
-
-def save_catalog(spark: SparkSession, catalog: Catalog, path: str, run: int) -> None:
-    """Write a run and commit it; writing the same run again before its commit replaces it."""
-    tables = {"files": catalog.files, "items": catalog.items, "quarantine": catalog.quarantine}
-    tables["embeddings"] = catalog.embeddings
-    for name, df in tables.items():
-        table = df if df is not None else spark.createDataFrame([], SCHEMAS[name])
-        shaped = _shaped(table, SCHEMAS[name], spark)
-        writer = shaped.write.mode("overwrite")
-        writer.parquet(f"{path}/run={run}/{name}")
-    spark.range(run, run + 1).select(F.col("id").alias("run")).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    tables = {name: spark.read.schema(schema).parquet(f"{path}/run={run}/{name}") for name, schema in SCHEMAS.items()}
+    # A handful of settings.
+    meta = {r["key"]: r["value"] for r in spark.read.schema(META).parquet(f"{path}/run={run}/meta").collect()}
+    return Catalog(**tables, meta=meta)
+
+
+def save_catalog(spark: SparkSession, catalog: Catalog | None, path: str, run: int, commit: bool = True) -> None:
+    """Write a run and commit it; writing the same run again before its commit replaces it.
+
+    Without ``commit`` the run stays invisible until it is committed by a call without a catalog.
+    """
+    if catalog is not None:
+        tables = {"files": catalog.files, "items": catalog.items, "quarantine": catalog.quarantine}
+        tables["embeddings"] = catalog.embeddings
+        for name, df in tables.items():
+            table = df if df is not None else spark.createDataFrame([], SCHEMAS[name])
+            shaped = _shaped(table, SCHEMAS[name], spark)
+            writer = shaped.write.mode("overwrite")
+            writer.parquet(f"{path}/run={run}/{name}")
+        meta = spark.createDataFrame(sorted(catalog.meta.items()), META)
+        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/run={run}/meta")
+    if commit:
+        spark.range(run, run + 1).select(F.col("id").alias("run")).coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
 
 def _shaped(df: DataFrame, schema: str, spark: SparkSession) -> DataFrame:

@@ -14,5 +14,6 @@ MANIFEST_SCHEMA = (
 )
 
 
-def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(folder)
+def read_manifests(spark: SparkSession, folder: str, one_per_line: bool = False) -> DataFrame:
+    """Manifests of a folder, one to a file or one to a line."""
+    return spark.read.schema(MANIFEST_SCHEMA).option("multiLine", not one_per_line).json(folder)

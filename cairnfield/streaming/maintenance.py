@@ -12,9 +12,15 @@ from cairnfield.sources.catalog_store import latest_run, load_catalog, save_cata
 from cairnfield.streaming.debounce import change_feed
 
 
-def apply_batch(spark: SparkSession, batch: DataFrame, store: str, run: int, readable=None, max_bytes: int = C.MAX_BYTES) -> None:
+LATEST = (1 << 63) - 1
+
+
+def apply_batch(spark: SparkSession, batch: DataFrame, store: str, run: int, readable=None, max_bytes: int = C.MAX_BYTES, exists=None) -> None:
     """Fold changed files (``path, size, mtime, content, kind``) into the store as run number ``run``.
 
+    With ``exists``, a function from paths to those that exist now, existence decides over what was last reported. The
+    last word about a path counts, by the numeric event time ``ts`` where the batch has it, else by ``mtime``.
+
     A run that is already committed is left alone, so a repeated batch changes nothing. The classified changes are
     written once and read back, so content is hashed once.
     """
@@ -22,8 +28,15 @@ def apply_batch(spark: SparkSession, batch: DataFrame, store: str, run: int, rea
     if done is not None and done >= run:
         return
     catalog = load_catalog(spark, store)
-    newest = batch.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "content", "kind"), "mtime").alias("_r"))
+    # A removal has no modification time; among equal times a removal comes last, then the larger hash.
+    last = F.struct(F.coalesce("ts" if "ts" in batch.columns else "mtime", F.lit(LATEST)), F.col("kind") == "removed", F.coalesce("mtime", F.lit(LATEST)), F.sha2("content", 256))
+    newest = batch.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "content", "kind"), last).alias("_r"))
     newest = newest.select("path", "_r.*")
+    if exists is not None:
+        here = exists(newest.select("path")).select("path").distinct().withColumn("_here", F.lit(True))
+        newest = newest.join(here, "path", "left")
+        gone_now = F.col("_here").isNull() | F.col("content").isNull()
+        newest = newest.withColumn("kind", F.when(gone_now, "removed").otherwise(F.lit("changed"))).drop("_here")
     present = newest.filter(F.col("kind") != "removed")
     usable = readable if readable is not None else F.length("content") > 0
     scan = present.select(
@@ -41,12 +54,12 @@ def apply_batch(spark: SparkSession, batch: DataFrame, store: str, run: int, rea
 
 
 def maintain_catalog(
-    stream: DataFrame, store: str, checkpoint: str, readable=None, available_now: bool = False
+    stream: DataFrame, store: str, checkpoint: str, readable=None, available_now: bool = False, exists=None
 ) -> StreamingQuery:
-    """Keep the catalog in ``store`` current from a stream of changed files."""
+    """Keep the catalog in ``store`` current from a stream of changed files; ``exists`` as in :func:`apply_batch`."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch.sparkSession, batch, store, batch_id + 1, readable)
+        apply_batch(batch.sparkSession, batch, store, batch_id + 1, readable, exists=exists)
 
     writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     if available_now:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnfield.functions.time import epoch_micros
+from cairnfield.operators.ordered import SLICE, TARGET_ROWS, running, slice_keys
+
 
 def with_lateness(df: DataFrame, ts: str, delay: str) -> DataFrame:
     """Event time with a watermark; rows later than ``delay`` are dropped by the stateful step that follows.
@@ -16,6 +19,19 @@ def with_lateness(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
+def mark_late(df: DataFrame, ts: str, delay_us: int, arrival: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Add ``late``: whether a row is more than ``delay_us`` behind the latest event time that arrived before it.
+
+    For stored streams, to count what a watermark of that delay drops; ``arrival`` is numeric and unique. Null event
+    times are never late.
+    """
+    placed = df.withColumn("_us", epoch_micros(F.col(ts)))
+    sliced = slice_keys(placed, [], F.col(arrival), target_rows)
+    upto = running(sliced, [], [arrival], maxima={"_latest": F.col("_us")})
+    late = F.coalesce(F.col("_us") < F.col("_latest") - delay_us, F.lit(False))
+    return upto.withColumn("late", late).drop("_us", "_latest", SLICE)
+
+
 def count_windows(
     df: DataFrame, size: str, slide: str | None = None, ts: str = "ts", by: Sequence[str] = (), measures: dict[str, Column] | None = None
 ) -> DataFrame:

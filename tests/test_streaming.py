@@ -120,6 +120,30 @@ def test_streamed_catalog_equals_batch_and_is_idempotent(spark, tmp_path):
     assert latest_run(spark, store) == run
 
 
+def test_removals_without_time_existence_and_unread_files(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = [("/l/a", 3, 1, "aaa", "changed"), ("/l/b", 1, 1, "b", "changed"), ("/l/c", 1, 1, "c", "changed"), ("/l/d", 1, 1, "d", "changed")]
+    apply_batch(spark, spark.createDataFrame(rows, CHANGE), store, 1)
+    gone = [("/l/a", None, None, None, "removed"), ("/l/b", 2, 5, "bb", "changed"), ("/l/b", 2, 5, "bb", "removed"), ("/l/c", 2, 5, "cc", "removed")]
+    here = spark.createDataFrame([("/l/c",)], "path string")
+    apply_batch(spark, spark.createDataFrame(gone, CHANGE), store, 2)
+    assert sorted(r.path for r in load_catalog(spark, store).files.collect()) == ["/l/d"]
+    apply_batch(spark, spark.createDataFrame(gone[2:], CHANGE), store, 3, exists=lambda paths: paths.join(here, "path", "left_semi"))
+    assert sorted(r.path for r in load_catalog(spark, store).files.collect()) == ["/l/c", "/l/d"]
+    scan = spark.createDataFrame([("/l/c", 2, 5, None, True), ("/l/d", 1, 1, None, True)], "path string, size long, mtime long, content_hash string, readable boolean")
+    before = load_catalog(spark, store)
+    after, changes, _ = C.apply_scan(before, scan, "/l", 4)
+    assert {r.outcome for r in changes.collect()} == {"Unchanged"}
+    assert sorted(map(str, after.files.collect())) == sorted(map(str, before.files.collect())) and after.items.count() == 2
+
+
+def test_late_rows_are_counted(spark):
+    rows = [(i, f"2024-01-01 {t}") for i, t in enumerate(["10:00:00", "10:05:00", "09:50:00", "09:55:00", "11:00:00", "10:45:00"])] + [(6, None)]
+    df = spark.createDataFrame(rows, "n long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for target in (2, 10**6):
+        assert {r.n for r in W.mark_late(df, "ts", 600_000_000, "n", target).filter("late").collect()} == {2, 5}
+
+
 def test_liveness_readiness_and_outages(spark):
     rows = [(i, f"2024-01-01 00:00:{s:02d}", k, e) for i, (s, k, e) in enumerate([(0, "a", "up"), (5, "b", "up"), (12, "a", "beat"), (18, "c", "down"), (20, "c", "down"), (25, "c", "up"), (40, "a", "down")])]
     df = spark.createDataFrame(rows, "event_id long, ts string, key string, kind string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
