@@ -13,7 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnfield.llm.work import Step
+
 THRESHOLD = 2
+BROADCAST_IDS = 1_000_000  # eight bytes each
 LETTERS = "aeinorst"
 PARTS = 8  # of a line, for the test before the edit distance
 MIN_CHARS = 20  # shorter lines are repeated only by equal ones
@@ -124,30 +127,31 @@ def _letters_differ(a: Column, b: Column) -> Column:
 
 
 def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (xd, xno, yd, yno) of distinct lines within ``threshold`` edits, each pair once.
+    """Pairs (x_id, y_id) of hashes of lines that may be within ``threshold`` edits: they share a segment.
 
-    ``lines`` has (d, no, line), with (d, no) as key; it is best dealt out by d, as only numbers are shuffled here.
-    Lines need more than ``threshold`` characters. Lines are joined under 64-bit hashes, which may only add candidates.
-    An edit changes the counts of two letters at most; pairs whose counts are further apart never leave the join.
+    ``lines`` has (id, line, n, letters): a 64-bit hash, the line, its length and its letter counts. x is the longer
+    line, of equally long ones the one with the larger hash. An edit changes the counts of two letters at most; pairs
+    whose counts are further apart never leave the join.
     """
-    sized = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("id")).filter(F.col("n") > threshold)
-    sized = sized.withColumn("letters", _letters(F.col("line")))
+    sized = lines.filter(F.col("n") > threshold)
     side = lambda keys, s: sized.select(F.explode(keys).alias("key"), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "id", "letters")])
     index = side(_index_keys(F.col("line"), F.col("n"), threshold), "y")
     probe = side(_probe_keys(F.col("line"), F.col("n"), threshold), "x").filter("key is not null")
     ordered = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") > F.col("y_id")))
     close = _letters_differ(F.col("x_letters"), F.col("y_letters")) <= 2 * threshold
-    found = probe.join(index, (probe["key"] == index["key"]) & ordered & close).select("x_id", "y_id").distinct()
-    for s in ("x", "y"):
-        place = lines.select(F.xxhash64("line").alias(f"{s}_id"), F.col("d").alias(f"{s}d"), F.col("no").alias(f"{s}no"))
-        found = found.join(place, f"{s}_id").drop(f"{s}_id")
+    return probe.join(index, (probe["key"] == index["key"]) & ordered & close).select("x_id", "y_id").distinct()
+
+
+def verified(pairs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The places (x, y) of the lines of pairs that are within ``threshold`` edits; equal hashes only add candidates."""
+    ids = pairs.select(F.explode(F.array("x_id", "y_id")).alias("id")).distinct()
+    if ids.count() <= BROADCAST_IDS:  # a few MB: texts stay where they are
+        ids = F.broadcast(ids)
+    texts = lines.join(ids, "id", "left_semi").select("id", F.struct("d", "no").alias("place"), "line")
     for s in ("x", "y"):
-        # Joined by document alone, so that texts stay where they are.
-        text = lines.select(F.col("d").alias("_d"), F.col("no").alias("_no"), F.col("line").alias(f"{s}_line"))
-        found = found.join(text, (F.col("_d") == F.col(f"{s}d")) & (F.col("_no") - F.col(f"{s}no") == 0)).drop("_d", "_no")
+        pairs = pairs.join(texts.select(F.col("id").alias(f"{s}_id"), F.col("place").alias(s), F.col("line").alias(f"{s}_line")), f"{s}_id")
     x, y = F.col("x_line"), F.col("y_line")
-    near = F.when(promising(x, y, threshold), within(x, y, threshold))
-    return found.filter(near).select("xd", "xno", "yd", "yno")
+    return pairs.filter(F.when(promising(x, y, threshold), within(x, y, threshold))).select("x", "y")
 
 
 def dedup_lines(
@@ -170,20 +174,21 @@ def dedup_lines(
         raise ValueError(f"columns clash with results: {sorted(clash)}")
     more = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(F.col(key).alias("d"), F.col(text).alias("t"), *[F.col(c).alias(a) for c, a in zip(keep, more, strict=True)])
-    keyed = rows.filter("d is not null").repartition("d")
+    keyed = rows.filter("d is not null")
     # No line has a line feed, so that splitting gives the same places everywhere.
     places = keyed.select("d", F.posexplode(F.split(F.coalesce("t", F.lit("")), "\n", -1)).alias("no", "line"))
     full = places.filter(F.trim(F.translate("line", "\t\r", "  ")) != "")
-    firsts = full.groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(F.struct("d", "no")).alias("id"))
-    first_of = firsts.groupBy("id.d").agg(F.collect_list("id.no").alias("first"))
-    marked = keyed.join(first_of, "d", "left")
-    split = F.split(F.coalesce("t", F.lit("")), "\n", -1)
-    numbered = let(split, lambda all_: F.transform("first", lambda i: F.struct(i.alias("no"), F.get(all_, i).alias("line"))))
-    lines = marked.select("d", F.explode(numbered).alias("l")).select("d", "l.no", "l.line").filter(F.length("line") >= min_chars)
-    near = near_pairs(lines, threshold)
-    place = lambda s: F.struct(F.col(f"{s}d").alias("d"), F.col(f"{s}no").alias("no"))
-    gone = near.select(F.greatest(place("x"), place("y")).alias("id")).distinct()
-    gone_of = gone.groupBy("id.d").agg(F.collect_list("id.no").alias("gone"))
+    same = [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2")]
+    lines = full.groupBy(*same).agg(F.min(F.struct("d", "no")).alias("at"), F.first("line").alias("line"))
+    lines = lines.select("id", "at.d", "at.no", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters"))
+    lines = Step(lines, "lines")
+    long = lines.df.filter(F.col("n") >= min_chars)
+    pairs = Step(near_pairs(long, threshold), "pairs")
+    gone = Step(verified(pairs.df, long, threshold).select(F.greatest("x", "y").alias("at")).distinct().select("at.*"), "gone")
+    pairs.drop()
+    first_of = lines.df.groupBy("d").agg(F.collect_list("no").alias("first"))
+    gone_of = gone.df.groupBy("d").agg(F.collect_list("no").alias("gone"))
+    marked = keyed.join(first_of.join(gone_of, "d", "left"), "d", "left")
 
     none = F.array().cast("array<int>")
     all_lines = F.split("t", "\n", -1)
@@ -194,7 +199,7 @@ def dedup_lines(
         left = F.array_except(F.coalesce("first", none), F.coalesce("gone", none))
         return let(F.array_sort(F.array_union(left, blank)), lambda k: F.struct(F.transform(k, lambda i: F.get(lines_, i)).alias("lines"), F.size(k).alias("n")))
 
-    out = marked.join(gone_of, "d", "left").withColumn("k", F.when(F.col("t").isNotNull(), let(all_lines, kept)))
+    out = marked.withColumn("k", F.when(F.col("t").isNotNull(), let(all_lines, kept)))
     size = F.greatest(F.coalesce(F.size(all_lines), F.lit(0)), F.lit(0))
     out = out.select(
         "d",
