@@ -28,6 +28,7 @@ PERCENT = 80
 FREQUENT_SHARE = 0.002  # of a task's texts, from which a shingle is reported as frequent
 FREQUENT_LIST = 65_536  # shingles whose order is by count; the list decides an order and drops nothing
 BUCKETS = 1 << 20
+PARTNERS = 2
 SALTS = 16  # parts of the index list of a frequent shingle
 
 
@@ -92,7 +93,7 @@ def shingle_prefixes(texts: DataFrame, shared, size: int, percent: int) -> DataF
                         pa.array(n.astype(np.int64)),
                         pa.array((one[cuts[1:]] - one[cuts[:-1]]).view(np.int64)),
                         pa.array((two[cuts[1:]] - two[cuts[:-1]]).view(np.int64)),
-                        id_lists(chosen.view(np.int64), np.concatenate([[0], np.cumsum(keep)]), pa.int64()),
+                        id_lists((chosen ^ np.uint64(1 << 63)).view(np.int64), np.concatenate([[0], np.cumsum(keep)]), pa.int64()),
                     ],
                     names=["k", "n", "f1", "f2", "codes"],
                 )
@@ -105,10 +106,14 @@ def shingle_prefixes(texts: DataFrame, shared, size: int, percent: int) -> DataF
     return texts.select("k", "t").mapInArrow(run, schema)
 
 
+def _required(na: Column, nb: Column, percent: int) -> Column:
+    """Smallest overlap of similar sets of these sizes."""
+    return F.ceil((na + nb) * percent / F.lit(100.0 + percent) - 1e-9)
+
+
 def _possible(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
     """Whether sets of these sizes can be similar if their first common shingle has these positions."""
-    required = F.ceil((na + nb) * percent / F.lit(100.0 + percent) - 1e-9)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa_, nb - pb) >= required)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa_, nb - pb) >= _required(na, nb, percent))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -183,27 +188,30 @@ def jaccard_components(
     hot = frequent_shingles(texts, size)
     order = np.argsort(hot)
     shared = spark.sparkContext.broadcast((hot[order], np.arange(len(hot), dtype=np.uint64)[order]))  # 1 MB at most
-    rows = Step(shingle_prefixes(texts, shared, size, percent), "prefixes")
-
     same = ["f1", "f2", "n"]
-    reps = rows.df.filter("n > 0 and k is not null").groupBy(*same).agg(F.min("k").alias("rep"), F.first("codes").alias("codes"))
+    prefixes = Step(shingle_prefixes(texts, shared, size, percent), "prefixes")
+    rows = Step(prefixes.df.select("k", *same), "sets")
+    reps = prefixes.df.filter("n > 0 and k is not null").groupBy(*same).agg(F.min("k").alias("rep"), F.first("codes").alias("codes"))
     reps = Step(reps, "representatives")
+    prefixes.drop()
     posting = reps.df.select(F.posexplode("codes").alias("pos", "s"), "rep", "n").withColumn("pos", F.col("pos").cast("long"))
-    # Codes of frequent shingles are negative as long; the others' lists are short, and most have a single entry.
+    # Codes of frequent shingles aren't negative; the others' lists are short, and most have a single entry.
     by_shingle = Window.partitionBy("s")
-    several = posting.filter("s >= 0").withColumn("df", F.count(F.lit(1)).over(by_shingle)).filter("df > 1").drop("df")
-    salted = F.when(F.col("s") < 0, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0))
-    lists = Step(several.unionByName(posting.filter("s < 0"), allowMissingColumns=True).withColumn("salt", salted.cast("int")), "lists")
+    several = posting.filter("s < 0").withColumn("df", F.count(F.lit(1)).over(by_shingle)).filter("df > 1").drop("df")
+    salted = F.when(F.col("s") >= 0, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0))
+    lists = Step(several.unionByName(posting.filter("s >= 0"), allowMissingColumns=True).withColumn("salt", salted.cast("int")), "lists")
+    classes = Step(reps.df.select(*same, "rep"), "classes")
+    reps.drop()
 
     compare = _Verifier(texts, size, percent)
-    first = compare(_ordered(_near_entries(lists.df, percent)))
+    first = compare(_near_entries(lists.df, percent))
     linked = first.df.filter("linked").select("a", "b")
     label = Step(components(linked), "labels")
     second, third = _remaining(lists.df, first, label.df, compare, percent)
     links = linked.unionByName(second.df.filter("linked").select("a", "b")).unionByName(third.df.filter("linked").select("a", "b"))
     final = components(links)
 
-    classes = reps.df.select(*same, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = classes.df.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select(*[F.col(c).alias(f"r_{c}") for c in same], F.coalesce("component", "rep").alias("c"))
     match = (F.col("f1") == F.col("r_f1")) & (F.col("f2") == F.col("r_f2")) & (F.col("n") == F.col("r_n")) & F.col("k").isNotNull()
     out = rows.df.select("k", *same).join(classes, match, "left")
@@ -213,17 +221,23 @@ def jaccard_components(
 
 
 def _near_entries(lists: DataFrame, percent: int) -> DataFrame:
-    """Each entry with the one before it and the first one of its list, or of its part of the list."""
+    """Pairs of each entry with the one before it and the first one of its list, or of its part of the list.
+
+    Of each set, the ``PARTNERS`` it meets in most lists; later comparisons cover what this leaves open.
+    """
     part = Window.partitionBy("s", "salt").orderBy("n", "rep")
     entry = F.struct("n", "rep", "pos")
     near = lists.withColumns({"before": F.lag(entry).over(part), "head": F.first(entry).over(part)})
     near = near.select(entry.alias("x"), F.explode(F.array_distinct(F.array("before", "head"))).alias("y")).filter("y is not null")
-    heads = lists.filter("s < 0").groupBy("s", "salt").agg(F.min(entry).alias("y"))
+    heads = lists.filter("s >= 0").groupBy("s", "salt").agg(F.min(entry).alias("y"))
     top = heads.groupBy("s").agg(F.min("y").alias("x"))
     across = heads.join(top, "s").select("x", "y")
     pairs = near.unionByName(across)
     ok = _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    return pairs.filter(ok).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    met = pairs.filter(ok).select(F.greatest("x.rep", "y.rep").alias("b"), F.least("x.rep", "y.rep").alias("a")).filter("a <> b")
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
+    most = Window.partitionBy("b").orderBy(F.desc("lists"), "a")
+    return met.withColumn("no", F.row_number().over(most)).filter(F.col("no") <= PARTNERS).select("a", "b")
 
 
 def _remaining(lists: DataFrame, first: Step, label: DataFrame, compare: _Verifier, percent: int) -> tuple[Step, Step]:
@@ -235,8 +249,12 @@ def _remaining(lists: DataFrame, first: Step, label: DataFrame, compare: _Verifi
     entries = entries.join(major.filter("groups > 1"), "s")
     minor = entries.filter("c <> major").select(*[F.col(c).alias(f"y_{c}") for c in ("s", "rep", "n", "pos", "c")])
     ok = (F.col("s") == F.col("y_s")) & (F.col("c") != F.col("y_c")) & ((F.col("c") == F.col("major")) | (F.col("rep") < F.col("y_rep")))
-    ok &= _possible(F.col("n"), F.col("pos"), F.col("y_n"), F.col("y_pos"), percent)
-    open_ = _ordered(entries.join(minor, ok).select(F.col("rep").alias("a"), F.col("y_rep").alias("b")))
+    ok &= F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * percent
+    # Two prefixes of similar sets share at least what the rest of the larger one cannot make up for.
+    met = entries.join(minor, ok).groupBy(F.least("rep", "y_rep").alias("a"), F.greatest("rep", "y_rep").alias("b"))
+    met = met.agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("n", "y_n")).alias("small"), F.max(F.greatest("n", "y_n")).alias("large"))
+    rest = F.floor((F.col("large") * percent + 99) / 100) - 1
+    open_ = met.filter(F.col("shared") >= _required(F.col("small"), F.col("large"), percent) - rest).select("a", "b")
     open_ = Step(open_.join(first.df.select("a", "b"), ["a", "b"], "left_anti"), "open")
 
     # The anchor of a set is the most linked set of its component if both are linked, else the set itself.
