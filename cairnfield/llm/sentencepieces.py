@@ -21,7 +21,7 @@ from cairnfield.llm.pieces import MARK, Trie, Vocabulary, best_paths, build_trie
 from cairnfield.llm.words import KeyCache, chunks, id_lists, span_hashes, text_buffer
 
 IDS = "piece_ids"
-BLOCK_WORDS = 16_384  # words whose segmentations are searched at once
+BLOCK_WORDS = 8_192  # words whose segmentations are searched at once
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much below the rarest piece
 
 
@@ -90,7 +90,7 @@ class WordEncoder:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.cache = KeyCache(2, np.int64)
+        self.cache = KeyCache(2, np.int64, 300_000)
         self.pool = np.zeros(0, np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
