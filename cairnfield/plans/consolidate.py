@@ -11,9 +11,12 @@ from cairnfield.operators import catalog as C
 from cairnfield.operators import graph as G
 from cairnfield.operators import habits as H
 from cairnfield.operators import memory as K
+from cairnfield.session import cut_lineage
 from cairnfield.sources.catalog_store import latest_run, load_catalog, save_catalog
 
 DAY_SECONDS = 86_400.0
+CLUSTER_GAP_US = 6 * 60 * 1_000_000
+CLUSTER_RADIUS = 0.9
 LOG_SCHEMA = "run bigint, step string, n bigint, n_before bigint"
 
 
@@ -25,6 +28,7 @@ class Inputs:
     events: DataFrame
     root: str
     now: Column
+    vectors: DataFrame | None = None  # ``model, item_id, capture_ts, vec``, for capture clusters
 
 
 def _steps(inputs: Inputs) -> dict[str, DataFrame]:
@@ -35,7 +39,15 @@ def _steps(inputs: Inputs) -> dict[str, DataFrame]:
     threads = K.salience(events, "user_id", "event_type", 3 * DAY_SECONDS, inputs.now)
     kept, evicted = K.retain_salient(threads.withColumnRenamed("event_type", "thread"), 3)
     tail = H.k_of_last_n(events, F.col("event_type") == "purchase", 5)
+    daily = events.groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("1970-01-01")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    steps = cut_lineage(edges.select("src", "dst"))
+    active = kept.select(F.concat(F.lit("act:"), "thread").alias("node")).distinct()
+    clusters = {} if inputs.vectors is None else {"clusters": G.capture_clusters(inputs.vectors, CLUSTER_GAP_US, CLUSTER_RADIUS)}
     return {
+        "habits_given": H.next_actions_given(events, 2),
+        "trends": H.runs_of_increase(daily, "user_id", F.col("day"), "n", "day", 3),
+        "reach": G.k_hop(steps, active, 2),
+        **clusters,
         "edges": edges,
         "habits": H.next_actions(events, tau_seconds=7 * DAY_SECONDS),
         "hypotheses": tail.filter(F.col("hits") >= 3),

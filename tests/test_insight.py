@@ -158,11 +158,13 @@ def test_eligibility_counts_items(spark):
 
 
 def test_consolidation(spark, sf, tmp_path):
+    from cairnfield.plans import inputs as shared
     from cairnfield.plans.catalog_queries import current_scan
 
     events = spark.read.parquet(f"{sf}/events.parquet")
-    inputs = Inputs(current_scan(spark, sf), events, "/lib", F.lit("2024-01-31").cast("timestamp_ntz"))
+    inputs = Inputs(current_scan(spark, sf), events, "/lib", F.lit("2024-01-31").cast("timestamp_ntz"), shared.vectors(spark, sf))
     first = {r.step: r.n for r in consolidate(spark, inputs, str(tmp_path), 1).collect()}
     assert first["items"] > 100 and first["habits"] == 25 and first["edges"] > 0
+    assert min(first[s] for s in ("habits_given", "trends", "reach", "clusters")) > 0
     again = {r.step: (r.n, r.n_before) for r in consolidate(spark, inputs, str(tmp_path), 2).collect()}
     assert all(n == before for n, before in again.values())
