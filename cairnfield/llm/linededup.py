@@ -129,17 +129,20 @@ def _letters_differ(a: Column, b: Column) -> Column:
 def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (x_id, y_id) of hashes of lines that may be within ``threshold`` edits: they share a segment.
 
-    ``lines`` has (id, line, n, letters): a 64-bit hash, the line, its length and its letter counts. x is the longer
-    line, of equally long ones the one with the larger hash. An edit changes the counts of two letters at most; pairs
-    whose counts are further apart never leave the join.
+    ``lines`` has (id, line, n, letters): a 64-bit hash, the line, its length and its letter counts. Pairs come once,
+    the smaller hash first. An edit changes the counts of two letters at most; pairs whose counts are further apart
+    never leave the join.
     """
     sized = lines.filter(F.col("n") > threshold)
-    side = lambda keys, s: sized.select(F.explode(keys).alias("key"), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "id", "letters")])
-    index = side(_index_keys(F.col("line"), F.col("n"), threshold), "y")
-    probe = side(_probe_keys(F.col("line"), F.col("n"), threshold), "x").filter("key is not null")
-    ordered = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") > F.col("y_id")))
-    close = _letters_differ(F.col("x_letters"), F.col("y_letters")) <= 2 * threshold
-    return probe.join(index, (probe["key"] == index["key"]) & ordered & close).select("x_id", "y_id").distinct()
+    side = lambda keys, s: sized.select(F.explode(keys).alias(f"{s}_key"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "letters")])
+    index, line, n = side(_index_keys(F.col("line"), F.col("n"), threshold), "y"), F.col("line"), F.col("n")
+    # A line's own segments are among what it probes for; they are shuffled once for both ends.
+    own = index.select(*[F.col(c).alias(c.replace("y_", "x_")) for c in index.columns])
+    moved = F.array_except(_probe_keys(line, n, threshold), _index_keys(line, n, threshold))
+    probe = side(moved, "x").filter("x_key is not null")
+    close = (F.col("x_key") == F.col("y_key")) & (_letters_differ(F.col("x_letters"), F.col("y_letters")) <= 2 * threshold)
+    met = own.join(index, close & (F.col("x_id") < F.col("y_id"))).unionByName(probe.join(index, close & (F.col("x_id") != F.col("y_id"))))
+    return met.select(F.least("x_id", "y_id").alias("x_id"), F.greatest("x_id", "y_id").alias("y_id")).distinct()
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -150,6 +153,9 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD) ->
     texts = lines.join(ids, "id", "left_semi").select("id", F.struct("d", "no").alias("place"), "line")
     for s in ("x", "y"):
         pairs = pairs.join(texts.select(F.col("id").alias(f"{s}_id"), F.col("place").alias(s), F.col("line").alias(f"{s}_line")), f"{s}_id")
+    longer = F.length("x_line") >= F.length("y_line")
+    x, y = F.when(longer, F.col("x_line")).otherwise(F.col("y_line")), F.when(longer, F.col("y_line")).otherwise(F.col("x_line"))
+    pairs = pairs.select("x", "y", x.alias("x_line"), y.alias("y_line"))
     x, y = F.col("x_line"), F.col("y_line")
     return pairs.filter(F.when(promising(x, y, threshold), within(x, y, threshold))).select("x", "y")
 
@@ -186,9 +192,13 @@ def dedup_lines(
     pairs = Step(near_pairs(long, threshold), "pairs")
     gone = Step(verified(pairs.df, long, threshold).select(F.greatest("x", "y").alias("at")).distinct().select("at.*"), "gone")
     pairs.drop()
+    # What is left to do needs places only.
     first_of = lines.df.groupBy("d").agg(F.collect_list("no").alias("first"))
     gone_of = gone.df.groupBy("d").agg(F.collect_list("no").alias("gone"))
-    marked = keyed.join(first_of.join(gone_of, "d", "left"), "d", "left")
+    marks = Step(first_of.join(gone_of, "d", "left"), "marks")
+    lines.drop()
+    gone.drop()
+    marked = keyed.join(marks.df, "d", "left")
 
     none = F.array().cast("array<int>")
     all_lines = F.split("t", "\n", -1)

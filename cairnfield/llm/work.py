@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a new folder that is then set in the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from cairnfield.session import shared_folder
 
 
 class Step:
@@ -23,11 +16,16 @@ class Step:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self._collect_garbage()
         df.write.parquet(self.path)
-        # Spark deletes the shuffle files of what is written now once the driver's JVM has collected the plan.
-        self.spark._jvm.System.gc()
+        self._collect_garbage()
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def _collect_garbage(self) -> None:
+        """Spark deletes the shuffle files of finished jobs once their plans are collected in the driver's JVM."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
