@@ -246,19 +246,25 @@ def last5_hits(spark, sf):
     return seen.withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ","))
 
 
-@query(
-    "recurring_slots",
-    """
+def _slots_sql(weeks: int) -> str:
+    return f"""
 WITH slots AS (SELECT DISTINCT user_id, CAST((isodow(ts) - 1) AS INTEGER) AS weekday, CAST(hour(ts) // 6 AS INTEGER) AS block,
     CAST(floor((CAST(ts AS DATE) - DATE '1970-01-01' + 3) / 7) AS BIGINT) AS week FROM events),
 islands AS (SELECT *, week - row_number() OVER (PARTITION BY user_id, weekday, block ORDER BY week) AS island FROM slots)
 SELECT user_id, weekday, block, count(*) AS run, min(week) AS first_week FROM islands
-GROUP BY user_id, weekday, block, island HAVING count(*) >= 2""",
-)
+GROUP BY user_id, weekday, block, island HAVING count(*) >= {weeks}"""
+
+
+@query("recurring_slots", _slots_sql(2))
 def recurring_slots(spark, sf):
     return H.recurring_slots(_events(spark, sf), weeks=2)
 
 
+@query("recurring_slots_three_weeks", _slots_sql(3))
+def recurring_slots_three_weeks(spark, sf):
+    return H.recurring_slots(_events(spark, sf))
+
+
 @query(
     "consecutive_increase",
     """
