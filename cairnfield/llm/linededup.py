@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.work import Step
+from cairnfield.llm.work import Step, collect_garbage
 
 THRESHOLD = 2
 BROADCAST_IDS = 1_000_000  # eight bytes each
@@ -198,6 +198,7 @@ def dedup_lines(
     marks = Step(first_of.join(gone_of, "d", "left"), "marks")
     lines.drop()
     gone.drop()
+    collect_garbage(docs.sparkSession)
     marked = keyed.join(marks.df, "d", "left")
 
     none = F.array().cast("array<int>")

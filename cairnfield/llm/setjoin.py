@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from cairnfield.llm.components import components
 from cairnfield.llm.words import SHINGLE, chunks, distinct_per_text, find_words, id_lists, mix, shingle_hashes
-from cairnfield.llm.work import Step
+from cairnfield.llm.work import Step, collect_garbage
 
 PERCENT = 80
 FREQUENT_SHARE = 0.002  # of a task's texts, from which a shingle is reported as frequent
@@ -208,8 +208,16 @@ def jaccard_components(
     linked = first.df.filter("linked").select("a", "b")
     label = Step(components(linked), "labels")
     second, third = _remaining(lists.df, first, label.df, compare, percent)
-    links = linked.unionByName(second.df.filter("linked").select("a", "b")).unionByName(third.df.filter("linked").select("a", "b"))
-    final = components(links)
+    # Later links join components that are known by now.
+    late = second.df.filter("linked").select("a", "b").unionByName(third.df.filter("linked").select("a", "b"))
+    final = label.df
+    if not late.isEmpty():
+        for s in ("a", "b"):
+            late = late.join(label.df.select(F.col("node").alias(s), F.col("component").alias("c")), s, "left").withColumn(s, F.coalesce("c", s)).drop("c")
+        moved = components(late)
+        own = label.df.join(moved.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
+        own = own.select("node", F.coalesce("c", "component").alias("component"))
+        final = own.unionByName(moved.join(label.df.select("node"), "node", "left_anti"))
 
     classes = classes.df.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select(*[F.col(c).alias(f"r_{c}") for c in same], F.coalesce("component", "rep").alias("c"))
@@ -217,6 +225,7 @@ def jaccard_components(
     out = rows.df.select("k", *same).join(classes, match, "left")
     compare.drop()
     lists.drop()
+    collect_garbage(spark)
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "k").alias("component_id"))
 
 
