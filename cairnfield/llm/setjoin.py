@@ -29,6 +29,7 @@ FREQUENT_SHARE = 0.002  # of a task's texts, from which a shingle is reported as
 FREQUENT_LIST = 65_536  # shingles whose order is by count; the list decides an order and drops nothing
 BUCKETS = 1 << 20
 PARTNERS = 2
+CELL_TEXTS = 256
 SALTS = 16  # parts of the index list of a frequent shingle
 
 
@@ -116,45 +117,46 @@ def _possible(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa_, nb - pb) >= _required(na, nb, percent))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-
-
 def _compare(size: int, percent: int):
-    """Exact Jaccard distances of the texts ``ta`` and ``tb`` of each row."""
+    """Exact Jaccard distances of pairs of texts; the texts of a cell come before its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
         for full in batches:
-            for batch in chunks(full, "ta"):
-                rows, counts = [], []
-                for side in ("ta", "tb"):
-                    doc, hashes = shingle_hashes(find_words(batch.column(side)), size)
-                    hashes, cuts = distinct_per_text(doc, hashes, batch.num_rows)
-                    rows.append((np.repeat(np.arange(batch.num_rows), np.diff(cuts)), hashes))
-                    counts.append(np.diff(cuts))
-                row, hashes = (np.concatenate(x) for x in zip(*rows, strict=True))
-                order = np.lexsort((hashes, row))
-                row, hashes = row[order], hashes[order]
-                twice = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
-                shared = np.bincount(row[1:][twice], minlength=batch.num_rows)
-                union = np.maximum(counts[0] + counts[1] - shared, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("a"), batch.column("b"), pa.array(1 - shared / union), pa.array(100 * shared >= percent * union)],
-                    names=["a", "b", "dist", "linked"],
-                )
+            for batch in chunks(full, "t"):
+                cuts_of, hashes = distinct_per_text(*shingle_hashes(find_words(batch.column("t")), size), batch.num_rows)[::-1]
+                out: list[tuple] = []
+                columns = [batch.column(c).to_pylist() for c in ("cell", "a", "b", "is_pair")]
+                for i, (here, x, y, is_pair) in enumerate(zip(*columns, strict=True)):
+                    if here != cell:
+                        cell, sets = here, {}
+                    if not is_pair:
+                        sets[x] = hashes[cuts_of[i] : cuts_of[i + 1]]
+                        continue
+                    one, two = sets[x], sets[y]
+                    shared = len(np.intersect1d(one, two, assume_unique=True))
+                    union = max(len(one) + len(two) - shared, 1)
+                    out.append((x, y, 1 - shared / union, 100 * shared >= percent * union))
+                kinds = [batch.schema.field("a").type, batch.schema.field("b").type, pa.float64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=["a", "b", "dist", "linked"])
 
     return run
 
 
 class _Verifier:
-    """Exact comparison of pairs of representatives; of all texts only those of a pair are kept, in a table."""
+    """Exact comparison of pairs of representatives; of all texts only those of a pair are kept, in a table.
+
+    Pairs that met in the same index list are compared in one place, so that a text goes there once for all of them;
+    lists with many texts are cut into cells of two blocks of at most about ``CELL_TEXTS``.
+    """
 
     def __init__(self, texts: DataFrame, size: int, percent: int):
         self.texts, self.size, self.percent = texts, size, percent
         self.steps: list[Step] = []
 
     def __call__(self, pairs: DataFrame) -> Step:
-        """Pairs with ``dist``, 1 - shared / union, and ``linked``."""
+        """Pairs (a, b, s) with ``dist``, 1 - shared / union, and ``linked``."""
+        pairs = Step(pairs.groupBy("a", "b").agg(F.min("s").alias("s")), "asked").df
         ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
         for s in self.steps:
             ids = ids.join(s.df.select("k"), "k", "left_anti")
@@ -163,11 +165,18 @@ class _Verifier:
         texts = self.steps[0].df
         for s in self.steps[1:]:
             texts = texts.unionByName(s.df)
-        left = pairs.select("a", "b").join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
-        both = left.join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+        met = pairs.select("s", F.explode(F.array("a", "b")).alias("k")).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+        blocks = F.ceil(F.col("n") / CELL_TEXTS)
+        block = lambda c: F.pmod(F.xxhash64(c), blocks)
+        placed = pairs.join(met, "s").select("a", "b", F.xxhash64("s", block("a"), block("b")).alias("cell"))
+        wanted = placed.select("cell", F.explode(F.array("a", "b")).alias("k")).distinct().join(texts, "k")
+        none = F.lit(None)
         kind = pairs.schema["a"].dataType
+        rows = wanted.select("cell", F.lit(False).alias("is_pair"), F.col("k").alias("a"), none.cast(kind).alias("b"), "t")
+        rows = rows.unionByName(placed.select("cell", F.lit(True).alias("is_pair"), "a", "b", none.cast("string").alias("t")))
         schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("dist", T.DoubleType()), T.StructField("linked", T.BooleanType())])
-        return Step(both.mapInArrow(_compare(self.size, self.percent), schema), "compared")
+        dealt = rows.repartition("cell").sortWithinPartitions("cell", "is_pair")
+        return Step(dealt.mapInArrow(_compare(self.size, self.percent), schema), "compared")
 
     def drop(self) -> None:
         for s in self.steps:
@@ -237,16 +246,16 @@ def _near_entries(lists: DataFrame, percent: int) -> DataFrame:
     part = Window.partitionBy("s", "salt").orderBy("n", "rep")
     entry = F.struct("n", "rep", "pos")
     near = lists.withColumns({"before": F.lag(entry).over(part), "head": F.first(entry).over(part)})
-    near = near.select(entry.alias("x"), F.explode(F.array_distinct(F.array("before", "head"))).alias("y")).filter("y is not null")
+    near = near.select("s", entry.alias("x"), F.explode(F.array_distinct(F.array("before", "head"))).alias("y")).filter("y is not null")
     heads = lists.filter("s >= 0").groupBy("s", "salt").agg(F.min(entry).alias("y"))
     top = heads.groupBy("s").agg(F.min("y").alias("x"))
-    across = heads.join(top, "s").select("x", "y")
+    across = heads.join(top, "s").select("s", "x", "y")
     pairs = near.unionByName(across)
     ok = _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    met = pairs.filter(ok).select(F.greatest("x.rep", "y.rep").alias("b"), F.least("x.rep", "y.rep").alias("a")).filter("a <> b")
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
+    met = pairs.filter(ok).select("s", F.greatest("x.rep", "y.rep").alias("b"), F.least("x.rep", "y.rep").alias("a")).filter("a <> b")
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.min("s").alias("s"))
     most = Window.partitionBy("b").orderBy(F.desc("lists"), "a")
-    return met.withColumn("no", F.row_number().over(most)).filter(F.col("no") <= PARTNERS).select("a", "b")
+    return met.withColumn("no", F.row_number().over(most)).filter(F.col("no") <= PARTNERS).select("a", "b", "s")
 
 
 def _remaining(lists: DataFrame, first: Step, label: DataFrame, compare: _Verifier, percent: int) -> tuple[Step, Step]:
@@ -261,9 +270,9 @@ def _remaining(lists: DataFrame, first: Step, label: DataFrame, compare: _Verifi
     ok &= F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * percent
     # Two prefixes of similar sets share at least what the rest of the larger one cannot make up for.
     met = entries.join(minor, ok).groupBy(F.least("rep", "y_rep").alias("a"), F.greatest("rep", "y_rep").alias("b"))
-    met = met.agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("n", "y_n")).alias("small"), F.max(F.greatest("n", "y_n")).alias("large"))
+    met = met.agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("shared"), F.max(F.least("n", "y_n")).alias("small"), F.max(F.greatest("n", "y_n")).alias("large"))
     rest = F.floor((F.col("large") * percent + 99) / 100) - 1
-    open_ = met.filter(F.col("shared") >= _required(F.col("small"), F.col("large"), percent) - rest).select("a", "b")
+    open_ = met.filter(F.col("shared") >= _required(F.col("small"), F.col("large"), percent) - rest).select("a", "b", "s")
     open_ = Step(open_.join(first.df.select("a", "b"), ["a", "b"], "left_anti"), "open")
 
     # The anchor of a set is the most linked set of its component if both are linked, else the set itself.
@@ -280,13 +289,13 @@ def _remaining(lists: DataFrame, first: Step, label: DataFrame, compare: _Verifi
         return joined.withColumns({f"{side}x": F.coalesce(f"{side}x", side), f"{side}d": F.coalesce(f"{side}d", F.lit(0.0))})
 
     placed = Step(with_anchor(with_anchor(open_.df, "a"), "b"), "placed")
-    asked = _ordered(placed.df.select(F.col("ax").alias("a"), F.col("bx").alias("b")))
+    asked = placed.df.select(F.least("ax", "bx").alias("a"), F.greatest("ax", "bx").alias("b"), "s").filter("a <> b")
     known = first.df.select("a", "b")
     second = compare(asked.join(known, ["a", "b"], "left_anti"))
     answers = first.df.unionByName(second.df).select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("dist").alias("apart"), "linked")
     judged = placed.df.withColumns({"lo": F.least("ax", "bx"), "hi": F.greatest("ax", "bx")}).join(answers, ["lo", "hi"], "left")
     limit = 1 - percent / 100 + 1e-9
     left_open = judged.filter("not coalesce(linked, false) and lo <> hi").filter(F.col("apart") - F.col("ad") - F.col("bd") <= limit)
-    left_open = left_open.filter("ax <> a or bx <> b").select("a", "b").distinct()
+    left_open = left_open.filter("ax <> a or bx <> b").select("a", "b", "s")
     third = compare(left_open)
     return second, third
