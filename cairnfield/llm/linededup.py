@@ -38,7 +38,10 @@ def _index_keys(line: Column, length: Column, threshold: int) -> Column:
 
 
 def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Keys of substrings; ``shorter`` is by how much the partner is, ``shift`` where its segment stands here."""
+    """Keys of substrings other than the line's own segments, which are keys as well.
+
+    ``shorter`` is by how much the partner is shorter, ``shift`` by how much its segment stands further on here.
+    """
     keys = []
     for shorter in range(threshold + 1):
         target = length - shorter
@@ -46,10 +49,12 @@ def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
             start, size = _segment(target, i, threshold)
             right = threshold - i
             for shift in range(max(-i, shorter - right), min(i, shorter + right) + 1):
+                if not shorter and not shift:
+                    continue
                 at = start + shift
                 found = F.xxhash64(target, F.lit(i), F.substring(line, at + 1, size))
                 keys.append(F.when((at >= 0) & (at + size <= length), found))
-    return F.array_distinct(F.array(*keys))
+    return F.array(*keys)
 
 
 def let(value: Column, body) -> Column:
@@ -111,7 +116,7 @@ def _letters(line: Column) -> Column:
     """Counts of eight common letters modulo 16, four bits each."""
     counts = F.lit(0).cast("long")
     for i, letter in enumerate(LETTERS):
-        n = F.length(line) - F.length(F.replace(line, F.lit(letter)))
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
         counts = counts.bitwiseOR(F.shiftleft(F.pmod(n, F.lit(16)).cast("long"), 4 * i))
     return counts
 
@@ -138,8 +143,7 @@ def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     index, line, n = side(_index_keys(F.col("line"), F.col("n"), threshold), "y"), F.col("line"), F.col("n")
     # A line's own segments are among what it probes for; they are shuffled once for both ends.
     own = index.select(*[F.col(c).alias(c.replace("y_", "x_")) for c in index.columns])
-    moved = F.array_except(_probe_keys(line, n, threshold), _index_keys(line, n, threshold))
-    probe = side(moved, "x").filter("x_key is not null")
+    probe = side(_probe_keys(line, n, threshold), "x").filter("x_key is not null")
     close = (F.col("x_key") == F.col("y_key")) & (_letters_differ(F.col("x_letters"), F.col("y_letters")) <= 2 * threshold)
     met = own.join(index, close & (F.col("x_id") < F.col("y_id"))).unionByName(probe.join(index, close & (F.col("x_id") != F.col("y_id"))))
     return met.select(F.least("x_id", "y_id").alias("x_id"), F.greatest("x_id", "y_id").alias("y_id")).distinct()
