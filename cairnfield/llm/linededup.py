@@ -17,7 +17,7 @@ from cairnfield.llm.work import Step, collect_garbage
 
 THRESHOLD = 2
 BROADCAST_IDS = 1_000_000  # eight bytes each
-LETTERS = "aeinorst"
+LETTERS = "aeinorstdhlu"
 PARTS = 8  # of a line, for the test before the edit distance
 MIN_CHARS = 20  # shorter lines are repeated only by equal ones
 
@@ -113,7 +113,7 @@ def within(x: Column, y: Column, threshold: int) -> Column:
 
 
 def _letters(line: Column) -> Column:
-    """Counts of eight common letters modulo 16, four bits each."""
+    """Counts of twelve common letters modulo 16, four bits each."""
     counts = F.lit(0).cast("long")
     for i, letter in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
