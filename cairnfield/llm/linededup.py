@@ -151,7 +151,7 @@ def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The places (x, y) of the lines of pairs that are within ``threshold`` edits; equal hashes only add candidates."""
-    ids = pairs.select(F.explode(F.array("x_id", "y_id")).alias("id")).distinct()
+    ids = pairs.select(F.col("x_id").alias("id")).unionByName(pairs.select(F.col("y_id").alias("id"))).distinct()
     if ids.count() <= BROADCAST_IDS:  # a few MB: texts stay where they are
         ids = F.broadcast(ids)
     texts = lines.join(ids, "id", "left_semi").select("id", F.struct("d", "no").alias("place"), "line")
