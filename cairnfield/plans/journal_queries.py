@@ -123,6 +123,21 @@ def provenance_closure(spark, sf):
     return L.provenance(inputs.lineage(spark, sf), of)
 
 
+@query(
+    "provenance_closure_all",
+    f"""
+WITH RECURSIVE {inputs.LINEAGE},
+walk(output, source, depth) AS (
+  SELECT output, input, 1 FROM lineage
+  UNION
+  SELECT w.output, l.input, w.depth + 1 FROM walk w JOIN lineage l ON l.output = w.source)
+SELECT output, source, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2""",
+)
+def provenance_closure_all(spark, sf):
+    """Everything that is behind every output of the lineage: customers and orders."""
+    return L.provenance(inputs.lineage(spark, sf))
+
+
 @query(
     "journal_compact",
     f"""
