@@ -108,6 +108,20 @@ def graph_2hop(spark, sf):
     return G.k_hop(edges, asked.select(G.to_nodes("cust:", "c_custkey").alias("node")), 2)
 
 
+@query(
+    "graph_2hop_all",
+    f"""
+WITH {inputs.LINEAGE}
+SELECT a.output AS seed, a.input AS node, 1 AS hops FROM lineage a WHERE a.output LIKE 'cust:%'
+UNION ALL
+SELECT DISTINCT a.output, b.input, 2 FROM lineage a JOIN lineage b ON b.output = a.input WHERE a.output LIKE 'cust:%'""",
+)
+def graph_2hop_all(spark, sf):
+    """From every customer over its orders to their parts."""
+    edges = inputs.lineage(spark, sf).select(F.col("output").alias("src"), F.col("input").alias("dst"))
+    return G.k_hop(edges, edges.filter(F.col("src").startswith("cust:")).select(F.col("src").alias("node")), 2)
+
+
 CLUSTERS = f"""{inputs.VECTORS},
 gaps AS (SELECT *, CASE WHEN lag(capture_ts) OVER w IS NULL OR capture_ts - lag(capture_ts) OVER w >= INTERVAL 6 MINUTE THEN 1 ELSE 0 END AS fresh
   FROM vectors WHERE capture_ts IS NOT NULL WINDOW w AS (PARTITION BY model ORDER BY capture_ts, item_id)),

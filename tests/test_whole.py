@@ -32,3 +32,12 @@ def test_provenance_of_every_output(spark, sf):
     assert any(not output.endswith("0") for output, _ in want) and any(output.startswith("order:") for output, _ in want)
     got = QUERIES["provenance_closure_all"](spark, sf).collect()
     assert len(got) == len(want) and {(r.output, r.source): r.depth for r in got} == want
+
+
+def test_two_hops_from_every_customer(spark, sf):
+    edges = lineage(sf)
+    customers = [x for x in edges if x.startswith("cust:")]
+    want = {(seed, node): n for seed in customers for node, n in behind(edges, seed).items() if n <= 2}
+    assert any(not seed.endswith("0") for seed, _ in want)
+    got = QUERIES["graph_2hop_all"](spark, sf).collect()
+    assert len(got) == len(want) and {(r.seed, r.node): r.hops for r in got} == want
