@@ -79,6 +79,19 @@ def used_near_pairs(spark, sf):
     return G.used_near(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber", span=2)
 
 
+@query(
+    "used_with_all_pairs",
+    """
+WITH member AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS weight
+FROM member x JOIN member y ON y.l_orderkey = x.l_orderkey AND y.l_partkey > x.l_partkey GROUP BY 1, 2""",
+)
+def used_with_all_pairs(spark, sf):
+    """Any two parts ordered together, at any distance, each pair once."""
+    members = G.membership(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
+    return G.partners_of(members, members.select("l_partkey"), "l_orderkey", "l_partkey").filter("a < b")
+
+
 @query(
     "edge_decay",
     """

@@ -1,5 +1,8 @@
 """Queries that answer for the whole table, against brute force over its rows."""
 
+import itertools
+from collections import Counter
+
 import duckdb
 
 from __spark_entry__ import queries
@@ -41,3 +44,14 @@ def test_two_hops_from_every_customer(spark, sf):
     assert any(not seed.endswith("0") for seed, _ in want)
     got = QUERIES["graph_2hop_all"](spark, sf).collect()
     assert len(got) == len(want) and {(r.seed, r.node): r.hops for r in got} == want
+
+
+def test_all_parts_of_an_order_are_partners(spark, sf):
+    orders = {}
+    for order, part in duckdb.sql(f"SELECT DISTINCT l_orderkey, l_partkey FROM '{sf}/lineitem.parquet'").fetchall():
+        orders.setdefault(order, []).append(part)
+    want = Counter(pair for parts in orders.values() for pair in itertools.combinations(sorted(parts), 2))
+    got = QUERIES["used_with_all_pairs"](spark, sf).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.weight for r in got} == want
+    narrow = {(r.a, r.b) for r in QUERIES["used_near_pairs"](spark, sf).collect()}
+    assert narrow < set(want)  # parts further apart than the span are only here
