@@ -193,12 +193,15 @@ found AS (SELECT doc_id, name AS entity, pos FROM runs JOIN names ON name = term
           UNION ALL SELECT doc_id, name, pos FROM runs JOIN names ON name = pair WHERE sort = 'pair')"""
 
 
-def _mentions(spark, sf):
-    """Names are the first word and the first two words of each benchmark passage."""
+def _names(spark, sf):
     words = table(spark, sf, "benchmark").select(tokens(F.col("text")).alias("w"))
     first = F.element_at("w", 1)
-    names = words.select(F.explode(F.array(first, F.concat_ws(" ", first, F.element_at("w", 2)))).alias("name")).distinct()
-    return G.mentions(table(spark, sf, "documents"), names.withColumn("entity", F.col("name")))
+    return words.select(F.explode(F.array(first, F.concat_ws(" ", first, F.element_at("w", 2)))).alias("name")).distinct()
+
+
+def _mentions(spark, sf):
+    """Names are the first word and the first two words of each benchmark passage."""
+    return G.mentions(table(spark, sf, "documents"), _names(spark, sf).withColumn("entity", F.col("name")))
 
 
 @query(
@@ -225,6 +228,19 @@ def entity_cooccurrence(spark, sf):
     return G.mentioned_with(_mentions(spark, sf), first)
 
 
+@query(
+    "entity_cooccurrence_all",
+    f"""
+WITH {NAMES},
+member AS (SELECT DISTINCT doc_id, entity FROM found)
+SELECT x.entity AS a, y.entity AS b, count(*) AS weight
+FROM member x JOIN member y ON y.doc_id = x.doc_id AND y.entity <> x.entity GROUP BY 1, 2""",
+)
+def entity_cooccurrence_all(spark, sf):
+    """Any two entities of the dictionary in the same documents, at any distance."""
+    return G.mentioned_with(_mentions(spark, sf), _names(spark, sf).select(F.col("name").alias("entity")))
+
+
 # ---- habits
 
 STEPS = """

@@ -55,3 +55,13 @@ def test_all_parts_of_an_order_are_partners(spark, sf):
     assert len(got) == len(want) and {(r.a, r.b): r.weight for r in got} == want
     narrow = {(r.a, r.b) for r in QUERIES["used_near_pairs"](spark, sf).collect()}
     assert narrow < set(want)  # parts further apart than the span are only here
+
+
+def test_any_two_entities_of_a_document_are_met(spark, sf):
+    documents = {}
+    for r in QUERIES["entity_mentions"](spark, sf).collect():
+        documents.setdefault(r.doc_id, []).append(r.entity)
+    want = Counter(pair for names in documents.values() for pair in itertools.permutations(names, 2))
+    assert any(" " in a and " " in b for a, b in want)
+    got = QUERIES["entity_cooccurrence_all"](spark, sf).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.weight for r in got} == want
