@@ -28,9 +28,29 @@ CODES = 64  # product codes, each after a rotation of its own: no vector is far
 BLOCKS = 4
 CODEWORDS = 16  # per block: 16 ** 4 filters a code, four million in all
 HEIGHT = 0.48  # inner product with a filter direction from which a vector is in the filter: about 110 filters each
+HEIGHT_DIMS = 64  # the dimensions HEIGHT is for; it serves fewer as well, with more filters each
 MARGIN = 1e-6  # radians by which angles must clear a bound to decide without comparing vectors
 
 
+def _beyond(dims: int, height: float) -> float:
+    """Share of the unit sphere whose inner product with a direction is at least ``height``."""
+    at = np.linspace(-1, 1, 200_001)
+    ring = np.maximum(1 - at * at, 1e-300) ** ((dims - 3) / 2)
+    return float(ring[at >= height].sum() / ring.sum())
+
+
+@lru_cache(maxsize=8)
+def cap_height(dims: int) -> float:
+    """HEIGHT, or for more dimensions the height that gives a vector as many filters as HEIGHT does at HEIGHT_DIMS."""
+    if dims <= HEIGHT_DIMS:
+        return HEIGHT
+    share, low, high = _beyond(HEIGHT_DIMS, HEIGHT), 0.0, HEIGHT
+    for _ in range(30):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _beyond(dims, middle) > share else (low, middle)
+    return low
+
+
 @lru_cache(maxsize=2)
 def _codes(dims: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """Of each code: its rotation and its blocks' codewords, scaled so that their combinations are unit vectors."""
@@ -44,11 +64,13 @@ def _codes(dims: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     return out
 
 
-def list_decode(unit: np.ndarray, height: float = HEIGHT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def list_decode(unit: np.ndarray, height: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vector number and filter number of every filter that each row exceeds, and each row's best filter of one code.
 
-    Combinations are grown block by block; those that the best codewords of the blocks to come cannot lift go.
+    Combinations are grown block by block; those that the best codewords of the blocks to come cannot lift go. The
+    height is that of the dimensions by default.
     """
+    height = cap_height(unit.shape[1]) if height is None else height
     owners, filters, best = [], [], np.zeros(len(unit), np.int64)
     for code, (turn, words) in enumerate(_codes(unit.shape[1])):
         turned = unit @ turn
@@ -81,7 +103,7 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.reshape(-1)))
 
 
-def _code_vectors(height: float):
+def _code_vectors(height: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
@@ -138,7 +160,7 @@ def _by_dims(work, names: list[str]):
     return run
 
 
-def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, height: float = HEIGHT) -> DataFrame:
+def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, height: float | None = None) -> DataFrame:
     """Columns ``key``, ``n_links``, ``component_id`` and ``kept``, one row per row of ``df``; keys must be distinct.
 
     Two vectors are linked if their cosine in double precision is at least ``cosine`` (0.5 < cosine < 1) and the
