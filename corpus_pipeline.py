@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of texts; every document stays, also one that is left without lines."""
+    """Takes repeated lines out of texts; every document stays here, also one that is left without lines."""
     found = linededup.dedup_lines(docs, keep=["lang", "source"])
     return found.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
@@ -46,8 +46,13 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
-    coded = sentencepieces.encode(docs, public_tokenizers.path(PIECES), keep=["doc_id", "lang", "source"])
+    """Piece ids of every document that has text left.
+
+    All documents had a letter when their language was found. One that is blank now has lost every line to earlier
+    documents, as an exact copy does.
+    """
+    left = docs.filter(F.col("text").isNull() | (F.trim(F.translate("text", "\t\r\n", "   ")) != ""))
+    coded = sentencepieces.encode(left, public_tokenizers.path(PIECES), keep=["doc_id", "lang", "source"])
     return coded.withColumn("n_pieces", F.size(sentencepieces.IDS).cast("long"))
 
 
