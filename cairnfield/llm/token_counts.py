@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import PreTokenizer
 
 from cairnfield.llm.words import KeyCache, chunks, span_hashes, text_buffer
 
 TABLE_SIZE = 65_536  # pre-tokens in the broadcast table: 12 bytes each
 SAMPLE_DOCS = 4_000  # expected rows from which the table is chosen; it only decides which counts are ready-made
-SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 LAST_PLAIN = 0x024F  # up to here the classes of characters are the same in every Unicode version
 
 
@@ -39,14 +40,33 @@ def _classes() -> np.ndarray:
     return kinds
 
 
-def pre_tokens(chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of all pre-tokens; ``chars`` are the code points of all texts, up to ``LAST_PLAIN``, cut at ``offsets``.
+@lru_cache(maxsize=1)
+def _all_classes() -> np.ndarray:
+    """Class of every character; UNKNOWN above ``LAST_PLAIN`` until :func:`_learn_classes` meets it."""
+    kinds = np.full(0x110000, UNKNOWN, np.uint8)
+    kinds[: LAST_PLAIN + 1] = _classes()
+    return kinds
+
+
+def _learn_classes(chars: np.ndarray, cutter: PreTokenizer) -> np.ndarray:
+    """Classes with those of all ``chars``: the library's own, told by which neighbours a character isn't cut from."""
+    kinds = _all_classes()
+    for c in np.unique(chars[kinds[chars] == UNKNOWN]).tolist():
+        alike = [kind for kind, x in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(cutter.pre_tokenize_str(x + chr(c) + x)) == 1]
+        kinds[c] = alike[0] if alike else SPACE
+    return kinds
+
+
+def pre_tokens(chars: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
+    """Starts of all pre-tokens; ``chars`` are the code points of all texts, cut at ``offsets``.
+
+    ``kinds`` has the classes of characters; by default it has those up to ``LAST_PLAIN``.
 
     A pre-token is a run of letters, of digits or of other signs, each with one plain space before it if there is one;
     an apostrophe with s, t, m, d, re, ve or ll after it; or white space up to the character before such a run.
     """
     n = len(chars)
-    kind = _classes()[chars]
+    kind = (_classes() if kinds is None else kinds)[chars]
     border = np.zeros(n + 1, bool)
     border[offsets] = True
     run = border[:n].copy()
@@ -86,25 +106,34 @@ def _chars(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _plain(texts: pa.Array, specials: list[str]) -> np.ndarray:
-    """Texts that are cut here: without special tokens, and with characters whose class no Unicode version changes."""
+    """Texts without special tokens, and with characters whose class no Unicode version changes."""
     chars, offsets = _chars(texts)
     odd = np.concatenate([[0], np.cumsum(chars > LAST_PLAIN)])
-    good = odd[offsets[1:]] == odd[offsets[:-1]]
+    return _without(texts, specials) & (odd[offsets[1:]] == odd[offsets[:-1]])
+
+
+def _without(texts: pa.Array, specials: list[str]) -> np.ndarray:
+    """Texts without special tokens."""
+    good = np.ones(len(texts), bool)
     for s in specials:
         good &= ~pa.compute.fill_null(pa.compute.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
     return good
 
 
-def _keyed(texts: pa.Array):
-    """Keys of all distinct pre-tokens, where each first stands, which one each is, and the first of each text."""
+def _keyed(texts: pa.Array, cutter: PreTokenizer | None = None):
+    """Keys of all distinct pre-tokens, where each first stands, which one each is, and the first of each text.
+
+    Without the library's ``cutter`` there must be no character above ``LAST_PLAIN``.
+    """
     chars, offsets = _chars(texts)
     if not len(chars):
         return np.zeros(0, np.uint64), chars, np.zeros((0, 2), int), np.zeros(0, int), np.zeros(len(offsets), int)
-    starts = pre_tokens(chars, offsets)
+    starts = pre_tokens(chars, offsets, _learn_classes(chars, cutter) if cutter else None)
     ends = np.append(starts[1:], len(chars))
-    # Code points are hashed as two bytes each.
-    wide = chars.astype(np.uint16).view(np.uint8)
-    keys, where, back = np.unique(span_hashes(wide, 2 * starts, 2 * ends), return_index=True, return_inverse=True)
+    # Pre-tokens are hashed as bytes of UTF-8.
+    raw = text_buffer(texts)[0]
+    at = np.flatnonzero((raw & 0xC0) != 0x80)[starts]
+    keys, where, back = np.unique(span_hashes(raw, at, np.append(at[1:], len(raw))), return_index=True, return_inverse=True)
     return keys, chars, np.column_stack([starts[where], ends[where]]), back, np.searchsorted(starts, offsets)
 
 
@@ -131,6 +160,7 @@ def frequent_table(df: DataFrame, blob: bytes, text: str = "text", size: int = T
 
     Each task hands over at most ``size`` pre-tokens, and at most ``size`` are fetched.
     """
+    cutter = _load(blob).pre_tokenizer
     rows = df.count()
     share = min(1.0, sample_docs / max(rows, 1))
     draw = F.pmod(F.xxhash64(F.lit("table"), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
@@ -139,8 +169,7 @@ def frequent_table(df: DataFrame, blob: bytes, text: str = "text", size: int = T
         counts: dict[str, int] = {}
         for whole in batches:
             for batch in chunks(whole, "t"):
-                texts = batch.column("t").filter(pa.array(_plain(batch.column("t"), [])))
-                _, chars, spans, back, _ = _keyed(texts)
+                _, chars, spans, back, _ = _keyed(batch.column("t"), cutter)
                 for span, n in zip(spans, np.bincount(back, minlength=len(spans)).tolist(), strict=True):
                     word = _string(chars, span)
                     counts[word] = counts.get(word, 0) + n
@@ -154,8 +183,8 @@ def frequent_table(df: DataFrame, blob: bytes, text: str = "text", size: int = T
     words = top.toArrow().column("w").to_pylist()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint16).view(np.uint8)
-    ends = 2 * np.cumsum([len(w) for w in words])
+    flat = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w.encode()) for w in words])
     keys = span_hashes(flat, np.concatenate([[0], ends[:-1]]), ends)
     order = np.argsort(keys)
     return keys[order], _lengths(_load(blob), words)[order]
@@ -188,10 +217,10 @@ def count_tokens(
         for whole in batches:
             for batch in chunks(whole, "t"):
                 texts = batch.column("t").fill_null("")
-                plain = _plain(texts, specials)
+                plain = _without(texts, specials)
                 n_tokens = np.zeros(len(texts), np.int64)
                 cut_here = texts.filter(pa.array(plain))
-                distinct, chars, spans, back, first = _keyed(cut_here)
+                distinct, chars, spans, back, first = _keyed(cut_here, tokenizer.pre_tokenizer)
                 sizes_here = np.zeros(len(distinct), np.int64)
                 missing = np.ones(len(distinct), bool)
                 if len(known_keys):
