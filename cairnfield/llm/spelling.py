@@ -10,6 +10,7 @@ verified by its edit distance.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from cairnfield.llm.words import chunks, find_words, mix, text_buffer
 from cairnfield.llm.work import Step
 
-SHORTEST, LONGEST = 2, 6  # characters of a gram
+SHORTEST, LONGEST = 2, 4  # characters of a gram
 LEAST_FREQUENT = 16  # times that a gram must be in words before it is extended
-DICTIONARY = 1 << 17  # bound of the extended grams of one length; the frequency needed follows from it
+DICTIONARY = 1 << 9  # bound of the extended grams of one length; the frequency needed follows from it
 CHUNK_BYTES = 4 << 20
 LONG_WORD = 64  # bytes from which a checksum is taken word by word
 ENDS_IN = 97  # a run is misspelled if this divides its checksum
@@ -126,21 +127,21 @@ class GramDictionary:
         unless a gram from across the edit can cover it.
         """
         n, most = len(word), 0
-        crossing = []  # by place: the first gram before it that could be longer with other characters from there on
+        starts, ends = [p for p, _ in grams], [p + len(g) for p, g in grams]
+        crossing = []  # by place: where the first gram begins that could be longer with other characters from there on
         covered = []  # by place: how far a gram from before it could reach
         for i in range(n + 1):
-            crossing.append(next((p for p in range(max(0, i - LONGEST + 1), i - SHORTEST + 1) if word[p:i] in self.extended), i))
-            covered.append(next((i + e for e in range(min(LONGEST - 1, n - i), SHORTEST - 1, -1) if word[i : i + e - 1] in self.suffixes), i))
-        spans = [(p, p + len(g)) for p, g in grams]
-        first = last = 0  # of the grams that begin so near that an edit at i can affect them
+            p, e = i - SHORTEST, 1  # parts of extended grams are extended, so the first gram that isn't ends the search
+            while p >= 0 and i - p < LONGEST and word[p:i] in self.extended:
+                p -= 1
+            while e < LONGEST - 1 and i + e < n and word[i : i + e] in self.suffixes:
+                e += 1
+            crossing.append(p + 1 if p < i - SHORTEST else i)
+            covered.append(i + e)
         for i in range(n + 1):
-            while first < len(spans) and spans[first][0] <= i - LONGEST:
-                first += 1
-            while last < len(spans) and spans[last][0] <= i + LONGEST:
-                last += 1
+            first = min(bisect_left(starts, crossing[i]), bisect_right(ends, i))
             for j in (i, i + 1)[: 1 + (i < n)]:  # inserted at i; deleted or replaced there
-                safe = sum(1 for p, e in spans[first:last] if e <= i and p < crossing[i] or p >= j and e > covered[j])
-                most = max(most, last - first - safe)
+                most = max(most, bisect_left(starts, j) - first, bisect_right(ends, covered[j]) - first)
         return most
 
     def rarest(self, word: str) -> tuple[list[tuple[int, str]], bool]:
@@ -176,12 +177,13 @@ def gram_dictionary(words: DataFrame, least: int = LEAST_FREQUENT, bound: int =
 def near_pairs(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
     """(a, b, n_a, n_b): each pair of distinct words of the table that are one edit apart, once.
 
-    Near words have grams at the same place from the front, or from the back if they aren't equally long. A row of the
-    index is one gram of a word at its place; longer words ask for both places among those one character shorter. Pairs
-    of words in which an edit may affect all grams meet in what is left of them without one character.
+    Near words share a gram that the edit doesn't touch, so the edit is in what stands before or what stands after it,
+    and there in the first or the second half: the rest of both words is equal. So the list of a gram is split by that
+    rest, four lists for each gram; longer words ask in those of words one character shorter. Words in which an edit may
+    affect all grams meet in what is left of them without one character.
     """
     shared = words.sparkSession.sparkContext.broadcast(dictionary)
-    schema = pa.schema([("gram", pa.string()), ("size", pa.int32()), ("place", pa.int32()), ("asks", pa.bool_()), ("word", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("list", pa.string()), ("size", pa.int32()), ("asks", pa.bool_()), ("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -189,19 +191,19 @@ def near_pairs(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
                 rows = []
                 for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
                     grams, enough = shared.value.rarest(word)
-                    size = len(word)
-                    for p, g in grams:
-                        rows += [(g, size, p, False, word, n), (g, size - 1, p, True, word, n), (g, size - 1, p - 1, True, word, n)]
+                    for size, asks in ((len(word), False), (len(word) - 1, True)):
+                        rows += [(x, size, asks, word, n) for x in (lists(word, grams, asks) if enough else ())]
                     if not enough:
-                        rows += [(g, -1, -1, False, word, n) for g in {word, *(word[:i] + word[i + 1 :] for i in range(size))}]
+                        rows += [(x, -1, False, word, n) for x in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    index = Step(words.select("word", "n").mapInArrow(run, "gram string, size int, place int, asks boolean, word string, n long"), "grams").df
-    there = index.filter(~F.col("asks")).select("gram", "size", "place", F.col("word").alias("a"), F.col("n").alias("n_a"))
+    index = words.select("word", "n").mapInArrow(run, "list string, size int, asks boolean, word string, n long")
+    index = Step(index.select(F.xxhash64("list", "size").alias("list"), "asks", "word", "n"), "grams").df
+    there = index.filter(~F.col("asks")).select("list", F.col("word").alias("a"), F.col("n").alias("n_a"))
     asked = index.withColumnsRenamed({"word": "b", "n": "n_b"})
     ordered = F.col("asks") | (F.length("a") < F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))
     near = (F.length("a") > LONG_WORD) | (F.levenshtein("a", "b", 1) == 1)
-    met = there.join(asked, ["gram", "size", "place"]).filter(ordered & near).select("a", "b", "n_a", "n_b")
+    met = there.join(asked, "list").filter(ordered & near).select("a", "b", "n_a", "n_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Spark's edit distance takes time by the square of a word's length, also with a bound: long words come here."""
@@ -212,6 +214,19 @@ def near_pairs(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
     return met.mapInArrow(verify, met.schema).distinct()
 
 
+def lists(word: str, grams: list[tuple[int, str]], longer: bool) -> set[str]:
+    """Word without the half of what stands before or after each gram, as among words of its size or one shorter."""
+    n, found = len(word), set()
+    for p, g in grams:
+        e = p + len(g)
+        for begin, end in ((0, p), (e, n)):
+            if size := end - begin - longer:  # of that part in the shorter word
+                found |= {word[: begin + size // 2] + "|" + word[end:], word[:begin] + "|" + word[end - (size + 1) // 2 :]}
+            elif size == 0:
+                found.add(word[:begin] + "|" + word[end:])
+    return found
+
+
 def one_edit(a: str, b: str) -> bool:
     """Whether exactly one character must be inserted, deleted or replaced; ``a`` is not longer than ``b``."""
     if a == b or len(b) - len(a) > 1:
