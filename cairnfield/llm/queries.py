@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import caps, decontaminate, langid, linededup, packing, preference, repair, secrets, sentencepieces, setjoin, spelling, token_counts
+from cairnfield.llm import caps, decontaminate, katz, langid, linededup, packing, preference, repair, secrets, sentencepieces, setjoin, spelling, token_counts
 
 PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -173,6 +173,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size(sentencepieces.IDS).cast("long").alias("n_pieces"), "same_text", sentencepieces.IDS)
 
 
+def op11_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = katz.held_out(F.col("doc_id"))
+    found = katz.score(docs, katz.fit(docs.filter(~out)))
+    return found.withColumn("held_out", out)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.misspelled_words(table(spark, sf_dir, "documents")))
 
@@ -192,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preferences": op8_preferences,
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_katz_scores": op11_katz_scores,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
