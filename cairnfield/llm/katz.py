@@ -29,9 +29,9 @@ VOCABULARY = 1 << 20  # words that are classes of their own, at most
 RARE_CLASSES = 1 << 18  # classes of all other words
 DISCOUNTED = 5  # counts up to this are discounted
 ADDED = 0.5  # to a word's count, in the base score and inside a class
-BUCKET_TOKENS = 1 << 21  # of the corpus, on average, in a bucket of the table of pairs
+BUCKET_TOKENS = 1 << 20  # of the corpus, on average, in a bucket of the table of pairs
 HOT_CONTEXT = 1 << 18  # a context with that count is dealt over all buckets
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20  # of texts whose counts are added up before they are sent
 END = 0  # of a text; as a context, its beginning
 SHIFT = 22  # bits of a class in the code of a pair
 
@@ -107,13 +107,33 @@ class KatzModel:
     distinct: int  # tokens, the end included
 
 
+_CODEC = pa.Codec("lz4")
+
+
 def _pack(a: np.ndarray) -> bytes:
-    """Differences as planes of bytes, of which the upper ones are almost empty."""
-    return np.diff(a, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers as planes of bytes, of which the upper ones are almost empty, compressed; the number of bytes before them."""
+    planes = a.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(planes).to_bytes(8, "little") + _CODEC.compress(planes, asbytes=True)
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8").ravel())
+    planes = _CODEC.decompress(memoryview(b)[8:], int.from_bytes(b[:8], "little"))
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _pack_sorted(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=np.int64(0)))
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """One row after the other, so that only one is held beside its batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [c[i].as_py() for c in batch.columns]
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -192,32 +212,29 @@ def _count_pairs(docs: DataFrame, text: str, classes: Classes) -> DataFrame:
                 bucket = shared.value.bucket(codes)
                 order = np.argsort(bucket, kind="stable")
                 numbers, cuts = np.unique(bucket[order], return_index=True)
-                parts = [(int(b), _pack(codes[i]), n[i].astype("<i8").tobytes()) for b, i in zip(numbers, np.split(order, cuts[1:]), strict=True)]
+                parts = [(int(b), _pack_sorted(codes[i]), _pack(n[i])) for b, i in zip(numbers, np.split(order, cuts[1:]), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "codes", "counts"])
 
     def add(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        codes, back = np.unique(np.concatenate([_unpack(r[0]) for r in rows]), return_inverse=True)
-        return codes, np.bincount(back, np.concatenate([np.frombuffer(r[1], "<i8") for r in rows]), len(codes)).astype(np.int64)
+        codes, back = np.unique(np.concatenate([_unpack_sorted(r[0]) for r in rows]), return_inverse=True)
+        return codes, np.bincount(back, np.concatenate([_unpack(r[1]) for r in rows]), len(codes)).astype(np.int64)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> pa.RecordBatch:
             codes, n = add(rows)
-            return pa.RecordBatch.from_pylist([{"bucket": at, "codes": _pack(codes), "counts": n.astype("<i8").tobytes(), "n": _how_many(n).tolist()}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"bucket": at, "codes": _pack_sorted(codes), "counts": _pack(n), "n": _how_many(n).tolist()}], schema=schema)
 
         schema = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("n", pa.list_(pa.int64()))])
         at, rows, held = None, [], 0
-        for batch in batches:
-            for b, codes, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if b != at and rows:
-                    yield made()
-                    rows, held = [], 0
-                at = b
-                rows.append((codes, n))
-                held += len(n)
-                if held > 16 * BUCKET_TOKENS:  # what has come so far is added up
-                    so_far = add(rows)
-                    rows = [(_pack(so_far[0]), so_far[1].astype("<i8").tobytes())]
-                    held = 0
+        for b, codes, n in _rows(batches):
+            if b != at and rows:
+                yield made()
+                rows, held = [], 0
+            at = b
+            rows.append((codes, n))
+            held += int.from_bytes(n[:8], "little")
+            if held > 32 * BUCKET_TOKENS:  # what has come so far is added up
+                rows, held = [(_pack_sorted(so_far), _pack(m)) for so_far, m in (add(rows),)], 0
         if rows:
             yield made()
 
@@ -231,13 +248,12 @@ def _contexts(pairs: DataFrame, classes: Classes, discounts: np.ndarray) -> tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, discount = shared.value
-        for batch in batches:
-            for packed, n in zip(batch.column("codes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                codes, n = _unpack(packed), np.frombuffer(n, "<i8")
-                v, first = np.unique(codes >> SHIFT, return_index=True)  # codes are sorted
-                kept = np.add.reduceat(discount[np.minimum(n, DISCOUNTED + 1)] * n, first)
-                lower = np.add.reduceat(10 ** own[codes & (1 << SHIFT) - 1], first)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(kept), pa.array(lower), pa.array(np.diff(np.append(first, len(codes))))], names=["v", "kept", "lower", "types"])
+        for packed, n in _rows(batches):
+            codes, n = _unpack_sorted(packed), _unpack(n)
+            v, first = np.unique(codes >> SHIFT, return_index=True)  # codes are sorted
+            kept = np.add.reduceat(discount[np.minimum(n, DISCOUNTED + 1)] * n, first)
+            lower = np.add.reduceat(10 ** own[codes & (1 << SHIFT) - 1], first)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(kept), pa.array(lower), pa.array(np.diff(np.append(first, len(codes))))], names=["v", "kept", "lower", "types"])
 
     rows = pairs.select("codes", "counts").mapInArrow(run, "v long, kept double, lower double, types long")
     found = rows.groupBy("v").agg(*[F.sum(c).alias(c) for c in ("kept", "lower", "types")]).toArrow()  # a row per class at most
@@ -266,7 +282,7 @@ def _by_text(docs: DataFrame, key: str, text: str, model: KatzModel) -> DataFram
         classes, log_share = shared.value
         end = np.log10(classes.counts[END] + ADDED)
         for whole in batches:
-            for batch in chunks(whole, "t", CHUNK_BYTES):
+            for batch in chunks(whole, "t"):
                 texts = batch.num_rows
                 words = find_words(batch.column("t"))
                 keys, back = np.unique(words.hashes, return_inverse=True)
@@ -307,7 +323,7 @@ def _pair_scores(docs: DataFrame, key: str, text: str, model: KatzModel) -> Data
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "t", CHUNK_BYTES):
+            for batch in chunks(whole, "t"):
                 doc, codes = classes.value.pairs(find_words(batch.column("t")))
                 uids = batch.column("uid").to_numpy()
                 order = np.lexsort((doc, codes))
@@ -321,27 +337,25 @@ def _pair_scores(docs: DataFrame, key: str, text: str, model: KatzModel) -> Data
                 parts = []
                 for b, i in zip(numbers, np.split(order, cuts[1:]), strict=True):
                     there, at = np.unique(doc[i], return_inverse=True)
-                    parts.append((int(b), True, _pack(codes[i]), n[i].astype("<i4").tobytes(), at.astype("<u2" if len(there) <= 1 << 16 else "<u4").tobytes(), uids[there].astype("<i8").tobytes()))
+                    parts.append((int(b), True, _pack_sorted(codes[i]), _pack(n[i]), _pack(at), _pack(uids[there])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=[c.split()[0] for c in kind.split(", ")])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, discount, backoff, divisor = tables.value
         at, known, counts = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for b, asks, packed, n, texts, uids in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if b != at:
-                    at, known, counts = b, np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if not asks:
-                    known, counts = _unpack(packed), np.frombuffer(n, "<i8")
-                    continue
-                codes, n, uids = _unpack(packed), np.frombuffer(n, "<i4"), np.frombuffer(uids, "<i8")
-                doc = np.frombuffer(texts, "<u2" if len(uids) <= 1 << 16 else "<u4")
-                place = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
-                seen = known[place] == codes if len(known) else np.zeros(len(codes), bool)
-                c = np.where(seen, counts[place] if len(known) else 1, 1)
-                v, w = codes >> SHIFT, codes & (1 << SHIFT) - 1
-                score = np.where(seen, np.log10(discount[np.minimum(c, DISCOUNTED + 1)] * c) - divisor[v], backoff[v] + own[w])
-                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(np.bincount(doc, score * n, len(uids))), pa.array(np.bincount(doc, n, len(uids)).astype(np.int64))], names=["uid", "score", "n"])
+        for b, asks, packed, n, texts, uids in _rows(batches):
+            if b != at:
+                at, known, counts = b, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if not asks:
+                known, counts = _unpack_sorted(packed), _unpack(n)
+                continue
+            codes, n, doc, uids = _unpack_sorted(packed), _unpack(n), _unpack(texts), _unpack(uids)
+            place = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
+            seen = known[place] == codes if len(known) else np.zeros(len(codes), bool)
+            c = np.where(seen, counts[place] if len(known) else 1, 1)
+            v, w = codes >> SHIFT, codes & (1 << SHIFT) - 1
+            score = np.where(seen, np.log10(discount[np.minimum(c, DISCOUNTED + 1)] * c) - divisor[v], backoff[v] + own[w])
+            yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(np.bincount(doc, score * n, len(uids))), pa.array(np.bincount(doc, n, len(uids)).astype(np.int64))], names=["uid", "score", "n"])
 
     asked = _with_uid(docs, key, text).select("uid", "t").mapInArrow(send, kind)
     none = F.lit(None).cast("binary")
