@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ VOCABULARY = 1 << 20  # words that are classes of their own, at most
 RARE_CLASSES = 1 << 18  # classes of all other words
 DISCOUNTED = 5  # counts up to this are discounted
 ADDED = 0.5  # to a word's count, in the base score and inside a class
-BUCKET_TOKENS = 1 << 20  # of the corpus, on average, in a bucket of the table of pairs
+BUCKET_TOKENS = 1 << 21  # of the corpus, on average, in a bucket of the table of pairs
 HOT_CONTEXT = 1 << 18  # a context with that count is dealt over all buckets
 CHUNK_BYTES = 2 << 20  # of texts whose counts are added up before they are sent
 END = 0  # of a text; as a context, its beginning
@@ -311,15 +312,16 @@ def _with_uid(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _pair_scores(docs: DataFrame, key: str, text: str, model: KatzModel) -> DataFrame:
-    """(uid, score, n): log10 probabilities of the classes of a text's tokens, and their number, over all its copies.
+    """(uid, pair_score): log10 probabilities of the classes of a text's tokens, summed over all its copies.
 
-    Pairs of a text go to the buckets that hold their counts; sums come back.
+    Pairs of a chunk of texts go to the buckets that hold their counts. Sums by text come back as one row for each chunk
+    and bucket, and are added up by chunk, then by text.
     """
     context = docs.sparkSession.sparkContext
     classes = context.broadcast(model.classes)
     tables = context.broadcast((model.classes.own, model.discounts, model.backoff, model.divisor))
-    kind = "bucket int, asks boolean, codes binary, counts binary, texts binary, uids binary"
-    types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    kind = "bucket int, asks boolean, codes binary, counts binary, texts binary, uids binary, chunk long"
+    types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -337,31 +339,41 @@ def _pair_scores(docs: DataFrame, key: str, text: str, model: KatzModel) -> Data
                 parts = []
                 for b, i in zip(numbers, np.split(order, cuts[1:]), strict=True):
                     there, at = np.unique(doc[i], return_inverse=True)
-                    parts.append((int(b), True, _pack_sorted(codes[i]), _pack(n[i]), _pack(at), _pack(uids[there])))
+                    parts.append((int(b), True, _pack_sorted(codes[i]), _pack(n[i]), _pack(at), _pack(uids[there]), int(uids[0])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=[c.split()[0] for c in kind.split(", ")])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, discount, backoff, divisor = tables.value
         at, known, counts = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b, asks, packed, n, texts, uids in _rows(batches):
+        for b, asks, packed, n, texts, uids, chunk in _rows(batches):
             if b != at:
                 at, known, counts = b, np.zeros(0, np.int64), np.zeros(0, np.int64)
             if not asks:
                 known, counts = _unpack_sorted(packed), _unpack(n)
                 continue
-            codes, n, doc, uids = _unpack_sorted(packed), _unpack(n), _unpack(texts), _unpack(uids)
+            codes, n, doc = _unpack_sorted(packed), _unpack(n), _unpack(texts)
             place = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
             seen = known[place] == codes if len(known) else np.zeros(len(codes), bool)
             c = np.where(seen, counts[place] if len(known) else 1, 1)
             v, w = codes >> SHIFT, codes & (1 << SHIFT) - 1
             score = np.where(seen, np.log10(discount[np.minimum(c, DISCOUNTED + 1)] * c) - divisor[v], backoff[v] + own[w])
-            yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(np.bincount(doc, score * n, len(uids))), pa.array(np.bincount(doc, n, len(uids)).astype(np.int64))], names=["uid", "score", "n"])
+            sums = pa.array([np.bincount(doc, score * n).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([uids], pa.binary()), sums], names=["chunk", "uids", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(_rows(batches), lambda r: r[0]):
+            uids, sums = np.zeros(0, np.int64), np.zeros(0)
+            for part in iter(lambda: list(islice(rows, 64)), []):
+                uids, back = np.unique(np.concatenate([uids, *(_unpack(r[1]) for r in part)]), return_inverse=True)
+                sums = np.bincount(back, np.concatenate([sums, *(np.frombuffer(r[2]) for r in part)]), len(uids))
+            yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(sums)], names=["uid", "score"])
 
     asked = _with_uid(docs, key, text).select("uid", "t").mapInArrow(send, kind)
     none = F.lit(None).cast("binary")
-    table = model.pairs.select("bucket", F.lit(False).alias("asks"), "codes", "counts", none.alias("texts"), none.alias("uids"))
+    table = model.pairs.select("bucket", F.lit(False).alias("asks"), "codes", "counts", none.alias("texts"), none.alias("uids"), F.lit(None).cast("long").alias("chunk"))
     met = table.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "asks")
-    return met.mapInArrow(look, "uid long, score double, n long").groupBy("uid").agg(F.sum("score").alias("pair_score"), F.sum("n").alias("all_n"))
+    found = met.mapInArrow(look, "chunk long, uids binary, sums binary").repartition("chunk").sortWithinPartitions("chunk")
+    return found.mapInArrow(add, "uid long, score double").groupBy("uid").agg(F.sum("score").alias("pair_score"))
 
 
 def score(docs: DataFrame, model: KatzModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -378,8 +390,9 @@ def score(docs: DataFrame, model: KatzModel, key: str = "doc_id", text: str = "t
     rare = rows.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.rare_n").alias("m"))
     rare = rare.join(model.words, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("uid").agg(F.sum(F.col("m") * F.log10(F.col("c") + ADDED)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("rare_known"))
-    found = rows.select("uid", "k", "n_tokens", "known", "base", "share").join(_pair_scores(docs, key, text, model), "uid").join(rare, "uid", "left")
-    copies = F.col("all_n") / F.col("n_tokens")  # sums by uid hold all copies of a row
+    sums = _pair_scores(docs, key, text, model).join(rows.groupBy("uid").agg(F.count(F.lit(1)).alias("copies")), "uid")
+    found = rows.select("uid", "k", "n_tokens", "known", "base", "share").join(sums, "uid").join(rare, "uid", "left")
+    copies = F.col("copies")  # sums by uid hold all copies of a row
     rare_log = F.coalesce(F.col("rare_log") / copies, F.lit(0.0))
     total = float(np.log10(model.tokens + ADDED * (model.distinct + 1)))
     return found.select(
