@@ -1,8 +1,11 @@
+import functools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairnfield.functions import vectors as V
+from cairnfield.operators import cells as C
 from cairnfield.operators import embedding as E
 from cairnfield.operators import similarity as N
 
@@ -33,8 +36,9 @@ def test_knn_small_cases(spark):
 @pytest.mark.parametrize("shipped", [1000, 0])
 def test_knn_join_is_exact(cloud, shipped, monkeypatch):
     df, m = cloud
-    monkeypatch.setattr(N, "TILE_QUERIES", 50)
-    monkeypatch.setattr(N, "TILE_BASE", 70)
+    monkeypatch.setattr(C, "TILE_QUERIES", 50)
+    monkeypatch.setattr(C, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(N, "knn_cells", functools.partial(C.knn_cells, rows_per_pivot=20))
     got = {}
     for r in N.knn_join(df, df, 4, shipped).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.item_id
@@ -44,6 +48,8 @@ def test_knn_join_is_exact(cloud, shipped, monkeypatch):
         want = sorted(range(len(m)), key=lambda i: (-scores[q, i], i))[:4]
         mine = [got[q][r] for r in (1, 2, 3, 4)]
         assert np.allclose([scores[q, i] for i in mine], [scores[q, i] for i in want])
+        exact = [i for i in mine if scores[q, i] > scores[q, want[-1]] + 1e-6]
+        assert set(exact) <= set(want)
 
 
 @pytest.mark.parametrize("cell_rows,pivots", [(4096, 8), (20, 5), (20, 1)])
@@ -110,3 +116,80 @@ def test_edges_cover_every_length(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0]), (10, [1.0, 0.0, 0.0]), (11, [0.99, 0.1, 0.0])]
     got = {(r.src, r.dst) for r in N.similar_edges(spark.createDataFrame(rows, "item_id long, vec array<float>"), 0.9).collect()}
     assert got == {(1, 2), (10, 11)}
+
+
+def clustered(spark, n, dim, seed, spread=0.35):
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(n // 20, dim))[rng.integers(0, n // 20, n)] + spread * rng.normal(size=(n, dim))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    return spark.createDataFrame([(i, f"h{i}", [float(x) for x in v]) for i, v in enumerate(m)], SCHEMA), m.astype(np.float64)
+
+
+def test_cells_visit_few_rows_and_stay_exact(spark, monkeypatch):
+    df, m = clustered(spark, 3000, 8, 1, 0.1)
+    rows = []
+    monkeypatch.setattr(C, "meet", lambda asked, base, k, f=C.meet: (rows.append((asked, base)), f(asked, base, k))[1])
+    got = {}
+    for r in C.ranked(C.knn_cells(df, df, 3, rows_per_pivot=30), 3).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    scores = m @ m.T
+    np.fill_diagonal(scores, -9)
+    want = -np.sort(-scores, axis=1)[:, :3]
+    assert np.allclose(np.array([sorted(got[i], reverse=True) for i in range(3000)]), want, atol=1e-6)
+    visits, base = rows[-1]
+    sizes = {r.cell: r["count"] for r in base.groupBy("cell").count().collect()}
+    met = sum(sizes[r.cell] * r["count"] for r in visits.groupBy("cell").count().collect())
+    assert met < 3000 * 3000 / 5  # pairs of rows that meet
+
+
+def test_copies_of_a_vector_do_not_meet_each_other_all(spark):
+    rows = [(i, f"h{i % 3}", [1.0, 0.0]) for i in range(600)] + [(700, "x", [0.6, 0.8]), (701, None, [0.0, 1.0]), (702, "z", None), (703, "y", [])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert C._reduced(df.filter("size(vec) > 0"), 2).count() == 6
+    got = {}
+    for r in N.knn_join(df, df, 2, shipped=0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    assert got[0] == [1, 2] and got[1] == [0, 2] and got[5] == [0, 1] and got[700][0] == 701 and 702 not in got and 703 not in got
+    assert len(got) == 602
+
+
+def test_similar_to_is_exact_when_small(cloud):
+    df, m = cloud
+    got = {}
+    for r in C.similar_to(df, 3, 0.5).collect():
+        got.setdefault(r.src, []).append(r.score)
+    scores = m @ m.T
+    np.fill_diagonal(scores, -9)
+    for i in range(len(m)):
+        want = [s for s in sorted(scores[i], reverse=True)[:3] if s >= 0.5]
+        assert np.allclose(sorted(got.get(i, []), reverse=True), want, atol=1e-6)
+
+
+def test_similar_to_recall_and_visits(spark, monkeypatch):
+    visits = {}
+    for n in (2000, 8000):
+        df, m = clustered(spark, n, 32, n)
+        seen = []
+        with monkeypatch.context() as patch:
+            patch.setattr(C, "FIRST_ROWS", 128)
+            patch.setattr(C, "meet", lambda asked, base, k, f=C.meet, seen=seen: (seen.append((asked, base)), f(asked, base, k))[1])
+            found = {(r.src, r.dst) for r in C.similar_to(df, 5, 0.7, bucket_rows=256).collect()}
+        scores = m @ m.T
+        np.fill_diagonal(scores, -9)
+        want = {(i, int(j)) for i in range(n) for j in np.argsort(-scores[i])[:5] if scores[i, j] >= 0.7}
+        assert len(found & want) >= 0.9 * len(want) > 1000
+        asked, base = seen[0]
+        sizes = {r.cell: r["count"] for r in base.groupBy("cell").count().collect()}
+        assert max(sizes.values()) <= 256
+        visits[n] = sum(sizes.get(r.cell, 0) * r["count"] for r in asked.groupBy("cell").count().collect()) / n
+    assert visits[8000] < 1.5 * visits[2000]
+
+
+def test_hot_buckets_are_split(spark):
+    rng = np.random.default_rng(5)
+    m = np.concatenate([rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(900, 16)), rng.normal(size=(300, 16))])
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    m[:300] = m[0]  # copies, which no plane parts
+    df = spark.createDataFrame([(i, f"h{i}", [float(x) for x in v]) for i, v in enumerate(m)], SCHEMA)
+    found = C.similar_to(df, 4, 0.9, tables=2, bucket_rows=100).collect()
+    assert {r.src for r in found} >= set(range(900)) and all(r["rank"] <= 4 for r in found)
