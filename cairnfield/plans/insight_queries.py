@@ -73,10 +73,10 @@ def used_with_pairs(spark, sf):
 WITH firsts AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS spot FROM lineitem GROUP BY 1, 2),
 placed AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY spot, l_partkey) AS no FROM firsts)
 SELECT least(x.l_partkey, y.l_partkey) AS a, greatest(x.l_partkey, y.l_partkey) AS b, count(*) AS weight
-FROM placed x JOIN placed y ON y.l_orderkey = x.l_orderkey AND y.no > x.no AND y.no <= x.no + 2 GROUP BY 1, 2""",
+FROM placed x JOIN placed y ON y.l_orderkey = x.l_orderkey AND y.no > x.no AND y.no <= x.no + 6 GROUP BY 1, 2""",
 )
 def used_near_pairs(spark, sf):
-    return G.used_near(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber", span=2)
+    return G.used_near(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber", span=6)
 
 
 @query(
@@ -106,30 +106,16 @@ def edge_decay(spark, sf):
     return aged.select("src", "dst", F.round("weight", 4).alias("weight"))
 
 
-@query(
-    "graph_2hop",
-    f"""
+TWO_HOPS = f"""
 WITH {inputs.LINEAGE}
-SELECT a.output AS seed, a.input AS node, 1 AS hops FROM lineage a WHERE a.output LIKE 'cust:%0'
+SELECT a.output AS seed, a.input AS node, 1 AS hops FROM lineage a WHERE a.output LIKE 'cust:%'
 UNION ALL
-SELECT DISTINCT a.output, b.input, 2 FROM lineage a JOIN lineage b ON b.output = a.input WHERE a.output LIKE 'cust:%0'""",
-)
-def graph_2hop(spark, sf):
-    """From every tenth customer over its orders to their parts."""
-    edges = inputs.lineage(spark, sf).select(F.col("output").alias("src"), F.col("input").alias("dst"))
-    asked = table(spark, sf, "customer").filter(F.col("c_custkey") % 10 == 0)
-    return G.k_hop(edges, asked.select(G.to_nodes("cust:", "c_custkey").alias("node")), 2)
+SELECT DISTINCT a.output, b.input, 2 FROM lineage a JOIN lineage b ON b.output = a.input WHERE a.output LIKE 'cust:%'"""
 
 
-@query(
-    "graph_2hop_all",
-    f"""
-WITH {inputs.LINEAGE}
-SELECT a.output AS seed, a.input AS node, 1 AS hops FROM lineage a WHERE a.output LIKE 'cust:%'
-UNION ALL
-SELECT DISTINCT a.output, b.input, 2 FROM lineage a JOIN lineage b ON b.output = a.input WHERE a.output LIKE 'cust:%'""",
-)
-def graph_2hop_all(spark, sf):
+@query("graph_2hop_all", TWO_HOPS)
+@query("graph_2hop", TWO_HOPS)
+def graph_2hop(spark, sf):
     """From every customer over its orders to their parts."""
     edges = inputs.lineage(spark, sf).select(F.col("output").alias("src"), F.col("input").alias("dst"))
     return G.k_hop(edges, edges.filter(F.col("src").startswith("cust:")).select(F.col("src").alias("node")), 2)
@@ -213,30 +199,16 @@ def entity_mentions(spark, sf):
     return found.agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
-@query(
-    "entity_cooccurrence",
-    f"""
+COOCCURRENCE = f"""
 WITH {NAMES},
 member AS (SELECT DISTINCT doc_id, entity FROM found)
 SELECT x.entity AS a, y.entity AS b, count(*) AS weight
-FROM member x JOIN member y ON y.doc_id = x.doc_id AND y.entity <> x.entity
-WHERE x.entity IN (SELECT w[1] FROM heads) GROUP BY 1, 2""",
-)
-def entity_cooccurrence(spark, sf):
-    """Entities in the same documents as the first words of the benchmark passages, at any distance."""
-    first = table(spark, sf, "benchmark").select(F.element_at(tokens(F.col("text")), 1).alias("entity"))
-    return G.mentioned_with(_mentions(spark, sf), first)
+FROM member x JOIN member y ON y.doc_id = x.doc_id AND y.entity <> x.entity GROUP BY 1, 2"""
 
 
-@query(
-    "entity_cooccurrence_all",
-    f"""
-WITH {NAMES},
-member AS (SELECT DISTINCT doc_id, entity FROM found)
-SELECT x.entity AS a, y.entity AS b, count(*) AS weight
-FROM member x JOIN member y ON y.doc_id = x.doc_id AND y.entity <> x.entity GROUP BY 1, 2""",
-)
-def entity_cooccurrence_all(spark, sf):
+@query("entity_cooccurrence_all", COOCCURRENCE)
+@query("entity_cooccurrence", COOCCURRENCE)
+def entity_cooccurrence(spark, sf):
     """Any two entities of the dictionary in the same documents, at any distance."""
     return G.mentioned_with(_mentions(spark, sf), _names(spark, sf).select(F.col("name").alias("entity")))
 

@@ -33,7 +33,7 @@ def test_provenance_of_every_output(spark, sf):
     edges = lineage(sf)
     want = {(output, source): n for output in edges for source, n in behind(edges, output).items()}
     assert any(not output.endswith("0") for output, _ in want) and any(output.startswith("order:") for output, _ in want)
-    got = QUERIES["provenance_closure_all"](spark, sf).collect()
+    got = QUERIES["provenance_closure"](spark, sf).collect()
     assert len(got) == len(want) and {(r.output, r.source): r.depth for r in got} == want
 
 
@@ -42,7 +42,7 @@ def test_two_hops_from_every_customer(spark, sf):
     customers = [x for x in edges if x.startswith("cust:")]
     want = {(seed, node): n for seed in customers for node, n in behind(edges, seed).items() if n <= 2}
     assert any(not seed.endswith("0") for seed, _ in want)
-    got = QUERIES["graph_2hop_all"](spark, sf).collect()
+    got = QUERIES["graph_2hop"](spark, sf).collect()
     assert len(got) == len(want) and {(r.seed, r.node): r.hops for r in got} == want
 
 
@@ -63,5 +63,5 @@ def test_any_two_entities_of_a_document_are_met(spark, sf):
         documents.setdefault(r.doc_id, []).append(r.entity)
     want = Counter(pair for names in documents.values() for pair in itertools.permutations(names, 2))
     assert any(" " in a and " " in b for a, b in want)
-    got = QUERIES["entity_cooccurrence_all"](spark, sf).collect()
+    got = QUERIES["entity_cooccurrence"](spark, sf).collect()
     assert len(got) == len(want) and {(r.a, r.b): r.weight for r in got} == want
