@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnfield.llm.components import components
-from cairnfield.llm.work import Step
+from cairnfield.llm.work import Step, refuse_clashes
 
 COSINE = 0.9
 CODES = 64  # product codes, each after a rotation of its own: no vector is far from all codewords of all of them
@@ -169,6 +169,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     components and those of length zero are linked with nothing, nor are vectors of different dimensions. Only the
     key and the vector are read; a null key is returned alone.
     """
+    refuse_clashes(key, "n_links", "component_id", "kept")
     spark = df.sparkSession
     limit = float(np.arccos(cosine))
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnfield.llm.words import SHINGLE, chunks, find_words, shingle_hashes
+from cairnfield.llm.work import refuse_clashes
 
 THRESHOLD_PERCENT = 80
 HASHES = 64
@@ -143,8 +144,10 @@ def find_leaks(
     rows match each by itself, ties included. Only keys and texts are read. A pair is missed only if none of 64 minima
     agrees in any block: for a contained passage that has a probability below one in a million.
 
-    Items are fetched in blocks of ``block`` rows by a hash of their key, one search per block.
+    Items are fetched in blocks of ``block`` rows by a hash of their key, one search per block. Columns of one name are
+    an error, so keys that share theirs must be renamed before.
     """
+    refuse_clashes(doc_key, item_key, "n_item", "n_shared")
     spark = docs.sparkSession
     rows = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
     blocks = -(-rows.count() // block)

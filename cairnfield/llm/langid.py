@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from cairnfield.llm.pieces import best_paths, lattice, total_scores
 from cairnfield.llm.sentencepieces import BLOCK_WORDS, PieceModel, broadcast_model
+from cairnfield.llm.work import refuse_clashes
 from cairnfield.llm.words import KeyCache, chunks, find_words, span_hashes, text_buffer
 
 UNDETERMINED = "und"
@@ -140,8 +141,10 @@ def predict(
     """Columns ``key``, those of ``keep``, ``lang_pred`` and ``score`` (probability of that language, all being equally likely before).
 
     A null text, one without a letter, or a model without languages gives ``und`` and 0. Equal scores go to the first
-    language by name. Only the key and the text are read; repeated rows give repeated results.
+    language by name. Only the key and the text are read; repeated rows give repeated results. Columns of one name are
+    an error.
     """
+    refuse_clashes(key, *keep, "lang_pred", "score")
     spark = df.sparkSession
     model = model or broadcast_model(spark, path)
     shared = spark.sparkContext.broadcast((languages, log_probs, hash(log_probs.tobytes())))

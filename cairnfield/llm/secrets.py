@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnfield.llm.words import text_buffer
+from cairnfield.llm.work import refuse_clashes
 
 
 @dataclass(frozen=True)
@@ -291,8 +292,9 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", rules:
 
     Positions are code points, the end is exclusive. Matches of one kind are leftmost and don't overlap; those that are
     too short are dropped after matching. Null and empty texts give an empty array. Only the key and the text are read;
-    repeated rows give repeated results.
+    repeated rows give repeated results. A key named as the result is an error.
     """
+    refuse_clashes(key, "secrets")
     scanner = Scanner(rules)
     shared = df.sparkSession.sparkContext.broadcast(scanner)  # transition arrays: bounded by the rules
     rank = {r.kind: i for i, r in enumerate(rules)}

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from cairnfield.llm.components import components
 from cairnfield.llm.words import SHINGLE, chunks, distinct_per_text, find_words, id_lists, mix, shingle_hashes
-from cairnfield.llm.work import Step, collect_garbage
+from cairnfield.llm.work import Step, collect_garbage, refuse_clashes
 
 PERCENT = 80
 FREQUENT_SHARE = 0.002  # of a task's texts, from which a shingle is reported as frequent
@@ -190,8 +190,10 @@ def jaccard_components(
 
     Documents are linked where 100 * shared >= percent * union of their distinct ``size``-word shingles; the component
     is the smallest key that links lead to. Shorter texts have their whole word sequence as one shingle; null texts
-    and those without words have none and stay alone. Only the key and the text are read; null keys are kept, alone.
+    and those without words have none and stay alone. Only the key and the text are read; null keys are kept, alone. A
+    key named as a result is an error.
     """
+    refuse_clashes(key, "n_shingles", "component_id")
     spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     hot = frequent_shingles(texts, size)

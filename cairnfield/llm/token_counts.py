@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import PreTokenizer
 
 from cairnfield.llm.words import KeyCache, chunks, span_hashes, text_buffer
+from cairnfield.llm.work import refuse_clashes
 
 TABLE_SIZE = 65_536  # pre-tokens in the broadcast table: 12 bytes each
 SAMPLE_DOCS = 4_000  # expected rows from which the table is chosen; it only decides which counts are ready-made
@@ -199,8 +200,10 @@ def count_tokens(
     """Columns ``key``, ``n_bytes`` (of UTF-8) and ``n_tokens`` of every row, as the tokenizer file gives them.
 
     A null text counts as empty: 0 and 0. No tokens are added at the ends; special tokens inside a text count as one,
-    as is the library's default. Only the key and the text are read; repeated rows give repeated results.
+    as is the library's default. Only the key and the text are read; repeated rows give repeated results. A key named as
+    a result is an error.
     """
+    refuse_clashes(key, "n_bytes", "n_tokens")
     with open(path, "rb") as f:
         blob = f.read()
     spark = df.sparkSession

@@ -16,6 +16,13 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def refuse_clashes(*names: str) -> None:
+    """A result whose columns would share a name is an error."""
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"columns clash in the result: {twice}")
+
+
 class Step:
     """A written DataFrame: ``df`` reads it back, ``drop`` removes its files once nothing reads them any more."""
 
