@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from cairnfield.functions.text import tokens
 from cairnfield.functions.vectors import cosine
 from cairnfield.operators import textsearch as T
+from cairnfield.operators.blocks import BlockIndex, build_blocks, search_blocks
 from cairnfield.plans import inputs
 from cairnfield.plans.registry import query, table
+from cairnfield.session import cut_lineage
 
 WORDS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
 
@@ -98,6 +100,15 @@ def fts_bm25_indexed(spark, sf):
     return best.select("doc_id", F.round("rank", 4).alias("rank"))
 
 
+@query("fts_bm25_blocks", _bm25(_terms("'retion', 'whether', 'thion'"), "true", TOP))
+def fts_bm25_blocks(spark, sf):
+    """The same search over blocks with bounds, which are written first; only those that can hold a result are read."""
+    made = build_blocks(_index(spark, sf))
+    stored = BlockIndex(cut_lineage(made.blocks), made.texts, made.key)
+    best = search_blocks(stored, limit=10, any=["retion", "whether", "thion"])
+    return best.select("doc_id", F.round("rank", 4).alias("rank"))
+
+
 @query("fts_bm25_top10", _bm25(_terms("'retion', 'whether', 'thion'"), "true", TOP))
 def fts_bm25_top10(spark, sf):
     found = _scan(spark, sf, any=["retion", "whether", "thion"])
