@@ -31,8 +31,9 @@ RARE_CLASSES = 1 << 18  # classes of all other words
 DISCOUNTED = 5  # counts up to this are discounted
 ADDED = 0.5  # to a word's count, in the base score and inside a class
 BUCKET_TOKENS = 1 << 21  # of the corpus, on average, in a bucket of the table of pairs
+SENT_BYTES = 1 << 19  # of texts whose pairs are sent at once
 HOT_CONTEXT = 1 << 18  # a context with that count is dealt over all buckets
-CHUNK_BYTES = 2 << 20  # of texts whose counts are added up before they are sent
+CHUNK_BYTES = 1 << 20  # of texts whose counts are added up before they are sent
 END = 0  # of a text; as a context, its beginning
 SHIFT = 22  # bits of a class in the code of a pair
 
@@ -283,7 +284,7 @@ def _by_text(docs: DataFrame, key: str, text: str, model: KatzModel) -> DataFram
         classes, log_share = shared.value
         end = np.log10(classes.counts[END] + ADDED)
         for whole in batches:
-            for batch in chunks(whole, "t"):
+            for batch in chunks(whole, "t", SENT_BYTES):
                 texts = batch.num_rows
                 words = find_words(batch.column("t"))
                 keys, back = np.unique(words.hashes, return_inverse=True)
@@ -325,7 +326,7 @@ def _pair_scores(docs: DataFrame, key: str, text: str, model: KatzModel) -> Data
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "t"):
+            for batch in chunks(whole, "t", SENT_BYTES):
                 doc, codes = classes.value.pairs(find_words(batch.column("t")))
                 uids = batch.column("uid").to_numpy()
                 order = np.lexsort((doc, codes))
