@@ -41,9 +41,15 @@ def build_session(app: str = "cairnfield", master: str | None = None, partitions
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a new folder that is then set in the session."""
+    """``spark.checkpoint.dir``; where it is unset in local mode, as in tests, a new folder that is then set in the session.
+
+    On a cluster an unset folder is an error: executors would each write to a disk of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
