@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cairnfield.functions.text import tokens
 from cairnfield.functions.vectors import cosine
 from cairnfield.operators import textsearch as T
 from cairnfield.operators.blocks import BlockIndex, build_blocks, search_blocks
+from cairnfield.operators.segments import SegmentedIndex
 from cairnfield.plans import inputs
 from cairnfield.plans.registry import query, table
-from cairnfield.session import cut_lineage
+from cairnfield.session import cut_lineage, shared_folder
 
 WORDS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
 
@@ -161,12 +164,23 @@ def fts_field(spark, sf):
     return T.match_text(index, all=["src3"], field="text").select("doc_id")
 
 
-@query(
-    "fts_refresh",
-    f"""
+REFRESHED = f"""
 WITH {INDEX.replace('FROM documents', "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN text || ' v2' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 9)")}
-SELECT doc_id, count(DISTINCT term) AS n_terms, count(*) AS n_tokens FROM occ GROUP BY 1""",
-)
+SELECT doc_id, count(DISTINCT term) AS n_terms, count(*) AS n_tokens FROM occ GROUP BY 1"""
+
+
+@query("fts_refresh_segments", REFRESHED)
+def fts_refresh_segments(spark, sf):
+    """The same refresh of a stored index, which is appended to instead of written anew."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
+    edited = docs.filter(F.col("doc_id") % 10 == 3).withColumn("body", F.concat("body", F.lit(" v2")))
+    stored = SegmentedIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "doc_id")
+    stored.refresh(_index(spark, sf))
+    stored.refresh(T.build_postings(edited, "doc_id", ["body"]), docs.filter(F.col("doc_id") % 10 == 9))
+    return stored.read().postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
+
+
+@query("fts_refresh", REFRESHED)
 def fts_refresh(spark, sf):
     """The index of the earlier documents brought up to date: edited texts rebuilt, vanished ones removed."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
