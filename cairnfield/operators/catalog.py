@@ -109,6 +109,7 @@ def classify_changes(scan: DataFrame, catalog: Catalog, max_bytes: int = MAX_BYT
         .otherwise(DEDUPED)
     )
     error = F.when(F.col("size") > max_bytes, "too large").otherwise("unreadable")
+    same_hash = F.coalesce(F.coalesce("content_hash", "p_content_hash") == F.col("p_content_hash"), F.lit(True))
     return judged.select(
         "path",
         "size",
@@ -120,6 +121,8 @@ def classify_changes(scan: DataFrame, catalog: Catalog, max_bytes: int = MAX_BYT
         F.when(outcome == FAILED, error).alias("error"),
         # A failed read of new content loses its old mapping at once; an oversized file only with the next sweep.
         ((outcome == FAILED) & had_prior & (F.col("size") <= max_bytes)).alias("drops_prior"),
+        # Nothing the catalog stores about the path differs.
+        ((_same_stat("p_") & same_hash) | _same_stat("q_")).alias("as_stored"),
     )
 
 
@@ -246,6 +249,21 @@ def merge_catalog(catalog: Catalog, changes: DataFrame, removed: DataFrame, run:
     return Catalog(files, items, quarantine, embeddings, catalog.meta)
 
 
+def touched_keys(catalog: Catalog, changes: DataFrame, removed: DataFrame, full: bool = True) -> dict[str, DataFrame]:
+    """Keys per table whose rows :func:`merge_catalog` may add, alter or drop; all others stay as they are.
+
+    ``changes`` come from :func:`classify_changes`; ``removed`` has ``path, content_hash``.
+    """
+    differ = changes.filter(~F.col("as_stored"))
+    paths = differ.select("path").unionByName(removed.select("path"))
+    hashes = F.explode(F.array_compact(F.array("content_hash", "prior_hash"))).alias("content_hash")
+    contents = differ.select(hashes).unionByName(removed.select("content_hash").dropna())
+    held = paths
+    if full:
+        held = paths.unionByName(catalog.quarantine.join(changes, "path", "left_anti").select("path"))
+    return {"files": paths, "items": contents, "quarantine": held, "embeddings": contents}
+
+
 def apply_scan(
     catalog: Catalog, scan: DataFrame, root: str, run: int, max_bytes: int = MAX_BYTES
 ) -> tuple[Catalog, DataFrame, DataFrame]:

@@ -68,7 +68,7 @@ def consolidate(spark: SparkSession, inputs: Inputs, store: str, run: int) -> Da
     if before_run is None or before_run < run:
         after, changes, removed = C.apply_scan(catalog, inputs.scan, inputs.root, run)
         C.scan_report(changes, removed).write.mode("overwrite").parquet(f"{store}/insight/run={run}/report")
-        save_catalog(spark, after, f"{store}/catalog", run)
+        save_catalog(spark, after, f"{store}/catalog", run, touched=C.touched_keys(catalog, changes, removed))
     log = [(run, "items", load_catalog(spark, f"{store}/catalog").items.count(), catalog.items.count())]
     for name, df in _steps(inputs).items():
         target = f"{store}/insight/run={run}/{name}"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,8 @@ from cairnfield.functions.text import extension
 from cairnfield.operators import catalog as C
 from cairnfield.operators.embedding import embed_new
 from cairnfield.operators.facets import resolve_facets
-from cairnfield.operators.textsearch import TextIndex, build_postings, read_index, refresh_postings, text_fields, write_index
+from cairnfield.operators.segments import SegmentedIndex
+from cairnfield.operators.textsearch import TextIndex, build_postings, text_fields
 from cairnfield.session import cut_lineage
 from cairnfield.sources.catalog_store import latest_run, load_catalog, save_catalog
 
@@ -101,33 +101,27 @@ def ingest(
     items = after.items.join(described, KEY, "left")
     for name, new in (("facet", "new_facet"), ("format", "new_format"), ("indexed_ts", "new_ts")):
         items = items.withColumn(name, F.coalesce(name, new)).drop(new)
-    save_catalog(spark, C.Catalog(after.files, items, after.quarantine, after.embeddings, after.meta), store, run, commit=False)
+    touched = C.touched_keys(catalog, changes, removed)
+    whole = C.Catalog(after.files, items, after.quarantine, after.embeddings, after.meta)
+    save_catalog(spark, whole, store, run, commit=False, touched=touched)
 
-    saved = load_catalog(spark, store, run)
-    _refresh_text(spark, saved, unknown, store, done, run)
+    _refresh_text(spark, load_catalog(spark, store, run), unknown, touched["items"], store)
     report = C.scan_report(changes, removed)
     report.write.mode("overwrite").parquet(f"{store}/run={run}/report")
     save_catalog(spark, None, store, run)
     return spark.read.parquet(f"{store}/run={run}/report")
 
 
-def _refresh_text(spark: SparkSession, saved: C.Catalog, unknown: DataFrame, store: str, before: int | None, run: int) -> None:
-    """Postings of file names and folders of new items; those of removed items go."""
+def _refresh_text(spark: SparkSession, saved: C.Catalog, unknown: DataFrame, touched: DataFrame, store: str) -> None:
+    """Add postings of file names and folders of new items, and take out those of removed items; a repeat does no harm."""
     added = text_fields(unknown.join(saved.items.select(KEY), KEY, "left_semi").select(KEY, "path"))
-    index = build_postings(added, KEY, ["filename", "text"])
-    if before is not None:
-        old = stored_index(spark, store, before)
-        gone = old.lengths.select(KEY).join(saved.items.select(KEY), KEY, "left_anti")
-        index = refresh_postings(old, index, gone)
-    write_index(TextIndex(index.postings, index.lengths, KEY), f"{store}/run={run}/text")
-
-
-def stored_index(spark: SparkSession, store: str, run: int | None = None) -> TextIndex:
-    """The text index of a run, by default of the newest."""
-    run = latest_run(spark, store) if run is None else run
-    if run is None:
-        raise AnalysisException(f"no run in {store}")
-    return read_index(spark, f"{store}/run={run}/text", KEY)
+    gone = touched.distinct().join(saved.items.select(KEY), KEY, "left_anti")
+    SegmentedIndex(spark, f"{store}/text", KEY).refresh(build_postings(added, KEY, ["filename", "text"]), gone)
+
+
+def stored_index(spark: SparkSession, store: str) -> TextIndex:
+    """The text index as it is now."""
+    return SegmentedIndex(spark, f"{store}/text", KEY).read()
 
 
 def search_items(spark: SparkSession, store: str, limit: int = 10, **match) -> DataFrame:

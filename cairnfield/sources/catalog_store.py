@@ -1,12 +1,12 @@
-"""Catalog runs on a shared folder: every run is written whole and becomes visible by its commit entry."""
+"""Catalog runs on a shared folder: a run writes the buckets it touched and becomes visible by its commit entry."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.operators.catalog import Catalog
+from cairnfield.sources.buckets import BUCKETS, Places, commit_run, latest_run, read_table, write_table
 
 FILES = "path string, content_hash string, size bigint, mtime bigint"
 ITEMS = (
@@ -17,49 +17,46 @@ QUARANTINE = "path string, size bigint, mtime bigint, error string, failed_run b
 EMBEDDINGS = "content_hash string, model string, dim int, vec array<float>"
 META = "key string, value string"
 SCHEMAS = {"files": FILES, "items": ITEMS, "quarantine": QUARANTINE, "embeddings": EMBEDDINGS}
+KEYS = {"files": "path", "items": "content_hash", "quarantine": "path", "embeddings": "content_hash"}
 
 
 def empty_catalog(spark: SparkSession) -> Catalog:
     return Catalog(**{name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()})
 
 
-def latest_run(spark: SparkSession, path: str) -> int | None:
-    """Number of the newest committed run, none for a new store."""
-    try:
-        commits = spark.read.schema("run bigint").parquet(f"{path}/commits")
-    except AnalysisException:
-        return None
-    return commits.agg(F.max("run")).first()[0]
-
-
 def load_catalog(spark: SparkSession, path: str, run: int | None = None) -> Catalog:
     """One run, by default the newest committed one, or an empty catalog."""
     run = latest_run(spark, path) if run is None else run
     if run is None:
         return empty_catalog(spark)
-    tables = {name: spark.read.schema(schema).parquet(f"{path}/run={run}/{name}") for name, schema in SCHEMAS.items()}
+    places = Places.of(spark, path, run)
+    tables = {name: read_table(spark, path, places, name, schema) for name, schema in SCHEMAS.items()}
     # A handful of settings.
     meta = {r["key"]: r["value"] for r in spark.read.schema(META).parquet(f"{path}/run={run}/meta").collect()}
     return Catalog(**tables, meta=meta)
 
 
-def save_catalog(spark: SparkSession, catalog: Catalog | None, path: str, run: int, commit: bool = True) -> None:
+def save_catalog(
+    spark: SparkSession, catalog: Catalog | None, path: str, run: int, commit: bool = True, touched: dict[str, DataFrame] | None = None,
+    buckets: int = BUCKETS,
+) -> None:
     """Write a run and commit it; writing the same run again before its commit replaces it.
 
-    Without ``commit`` the run stays invisible until it is committed by a call without a catalog.
-    """
+    ``touched`` has the keys per table whose rows may differ from the run before (``operators.catalog.touched_keys``);
+    only their buckets are written, without it all. Without ``commit`` the run stays invisible until it is committed by
+    a call without a catalog.
+    """
     if catalog is not None:
-        tables = {"files": catalog.files, "items": catalog.items, "quarantine": catalog.quarantine}
-        tables["embeddings"] = catalog.embeddings
-        for name, df in tables.items():
-            table = df if df is not None else spark.createDataFrame([], SCHEMAS[name])
-            shaped = _shaped(table, SCHEMAS[name], spark)
-            writer = shaped.write.mode("overwrite")
-            writer.parquet(f"{path}/run={run}/{name}")
+        before, after = Places.of(spark, path, latest_run(spark, path)), Places({}, {})
+        for name, schema in SCHEMAS.items():
+            df = getattr(catalog, name)
+            table = _shaped(df if df is not None else spark.createDataFrame([], schema), schema, spark)
+            write_table(table, path, before, after, name, KEYS[name], run, None if touched is None else touched[name], buckets)
+        after.store(spark, path, run)
         meta = spark.createDataFrame(sorted(catalog.meta.items()), META)
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/run={run}/meta")
     if commit:
-        spark.range(run, run + 1).select(F.col("id").alias("run")).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+        commit_run(spark, path, run)
 
 
 def _shaped(df: DataFrame, schema: str, spark: SparkSession) -> DataFrame:

@@ -22,7 +22,7 @@ def apply_batch(spark: SparkSession, batch: DataFrame, store: str, run: int, rea
     last word about a path counts, by the numeric event time ``ts`` where the batch has it, else by ``mtime``.
 
     A run that is already committed is left alone, so a repeated batch changes nothing. The classified changes are
-    written once and read back, so content is hashed once.
+    written once and read back, so content is hashed once. Only buckets with changed paths or contents are written.
     """
     done = latest_run(spark, store)
     if done is not None and done >= run:
@@ -47,10 +47,12 @@ def apply_batch(spark: SparkSession, batch: DataFrame, store: str, run: int, rea
     changes = spark.read.parquet(changes_at)
     gone = newest.filter(F.col("kind") == "removed").select("path")
     removed = catalog.files.join(gone, "path", "left_semi")
-    after = C.merge_catalog(catalog, changes, removed.select("path").unionByName(gone).distinct(), run, full=False)
+    # A removed path without a file may still be in quarantine.
+    every = gone.join(removed.select("path", "content_hash"), "path", "left")
+    after = C.merge_catalog(catalog, changes, every, run, full=False)
     feed = change_feed(changes, removed, cold=done is None)
     feed.write.mode("overwrite").parquet(f"{store}/run={run}/feed")
-    save_catalog(spark, after, store, run)
+    save_catalog(spark, after, store, run, touched=C.touched_keys(catalog, changes, every, full=False))
 
 
 def maintain_catalog(
