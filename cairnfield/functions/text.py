@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 WORD_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
 WORD = r"[\p{L}\p{N}\p{Co}]+"
-NOT_ASCII = r"[^\x00-\x7F]"
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 
 
@@ -34,7 +33,8 @@ def fold(text: Column) -> Column:
     accented, plain = _accent_map()
     lowered = F.lower(text)
     stripped = F.regexp_replace(F.translate(lowered, accented, plain), r"\p{Mn}", "")
-    return F.when(lowered.rlike(NOT_ASCII), stripped).otherwise(lowered)
+    # More bytes than characters: something is not ASCII.
+    return F.when(F.octet_length(lowered) != F.length(lowered), stripped).otherwise(lowered)
 
 
 def tokens(text: Column) -> Column:

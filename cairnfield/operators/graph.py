@@ -11,7 +11,7 @@ from cairnfield.functions.text import tokens
 from cairnfield.functions.time import decayed, epoch_micros, epoch_seconds
 from cairnfield.functions.vectors import cosine
 from cairnfield.operators.ordered import TARGET_ROWS, neighbours, sessionize, slice_keys
-from cairnfield.operators.skew import lookup_join, oversized, salted_join
+from cairnfield.operators.skew import LISTED_ROWS, listed, lookup_join, oversized, salted_join
 from cairnfield.session import cut_lineage
 
 
@@ -110,26 +110,34 @@ def related_feed(*sources: DataFrame) -> DataFrame:
     )
 
 
-def mentions(docs: DataFrame, entities: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Dictionary entities in texts: ``key, entity, pos`` per occurrence of a name (``entity, name``) as whole words."""
+def mentions(
+    docs: DataFrame, entities: DataFrame, key: str = "doc_id", text: str = "text", listed_rows: int = LISTED_ROWS
+) -> DataFrame:
+    """Dictionary entities in texts: ``key, entity, pos`` per occurrence of a name (``entity, name``) as whole words.
+
+    Only places whose word begins a name become rows, with the words that a name may go on with. Beyond ``listed_rows``
+    different first words every place becomes a row and the first words are joined.
+    """
     names = entities.select("entity", tokens(F.col("name")).alias("_w"))
-    names = names.select("entity", F.array_join("_w", " ").alias("_gram"), F.size("_w").alias("_n")).filter(F.col("_n") > 0)
+    names = names.select("entity", F.array_join("_w", " ").alias("_gram"), F.size("_w").alias("_n"), F.get("_w", 0).alias("_head"))
+    names = names.filter(F.col("_n") > 0)
     lengths = sorted(r[0] for r in names.select("_n").distinct().collect())  # a few small numbers
-    runs = F.concat(*[_runs(F.col("_t"), n) for n in lengths])
+    if not lengths:
+        return docs.select(key, F.lit(None).cast("string").alias("entity"), F.lit(0).alias("pos")).limit(0)
+    heads = listed(names, "_head", listed_rows)
     words = docs.select(key, tokens(F.col(text)).alias("_t"))
-    grams = words.select(key, F.inline_outer(runs)).filter(F.col("_gram").isNotNull())
-    found = lookup_join(grams, names.select("entity", "_gram"), ["_gram"], "inner", spread=[key, "pos"])
-    return found.select(key, "entity", "pos")
-
-
-def _runs(words: Column, n: int) -> Column:
-    """Every run of ``n`` words with its position."""
-
-    def run(word: Column, i: Column) -> Column:
-        gram = word if n == 1 else F.array_join(F.slice(words, i + 1, n), " ")
-        return F.struct(i.alias("pos"), gram.alias("_gram"))
-
-    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))), run)
+    # Of an empty list the sequence is 0, -1: places without a word, which both tests below refuse.
+    places, word = F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.get("_t", i)
+    places = F.filter(places, lambda i: word(i).isNotNull() if heads is None else word(i).isin(heads))
+    runs = F.transform(places, lambda i: F.struct(i.alias("pos"), F.slice("_t", i + 1, lengths[-1]).alias("_run")))
+    found = words.select(key, F.inline(runs))
+    if heads is None:
+        starts = names.select("_head").distinct()
+        found = lookup_join(found.withColumn("_head", F.get("_run", 0)), starts, ["_head"], "inner", spread=[key, "pos"]).drop("_head")
+    # Runs that end before the text does are null and match nothing.
+    grams = [F.get("_run", 0) if n == 1 else F.when(F.size("_run") >= n, F.array_join(F.slice("_run", 1, n), " ")) for n in lengths]
+    found = found.select(key, "pos", F.explode(F.array(*grams)).alias("_gram")).filter(F.col("_gram").isNotNull())
+    return lookup_join(found, names.select("entity", "_gram"), ["_gram"], "inner", spread=[key, "pos"]).select(key, "entity", "pos")
 
 
 def mentioned_with(found: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions.text import tokens
-from cairnfield.operators.skew import lookup_join
+from cairnfield.operators.skew import LISTED_ROWS, listed, lookup_join
 
 # Thresholds, dial positions, confidences and defaults of the routing rules.
 CONFIDENCE_FLOOR = 0.6
@@ -27,6 +28,8 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9]){12,15}",
     "phone": r"\+?[0-9]{1,3}[ -]\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}",
 }
+# Characters of which a text must hold one for the pattern of that kind to match; a quick test before the costly one.
+HINTS = {"email": ("@",), "secret": (":", "=")}
 
 
 def route_column(conf_floor: float = CONFIDENCE_FLOOR, complexity_ceil: float = COMPLEXITY_CEILING) -> Column:
@@ -101,22 +104,38 @@ def driver_of(drivers: Column) -> Column:
 
 
 def detect_spans(
-    df: DataFrame, key: str, text: str, patterns: Mapping[str, str] = PATTERNS, entities: DataFrame | None = None
+    df: DataFrame, key: str, text: str, patterns: Mapping[str, str] = PATTERNS, entities: DataFrame | None = None,
+    listed_rows: int = LISTED_ROWS,
 ) -> DataFrame:
-    """One row per sensitive span: ``key, kind, span``; ``entities`` (``name``) adds flagged single words."""
-    found = [
-        F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), _tagger(kind)) for kind, p in patterns.items()
-    ]
-    spans = df.select(key, F.inline_outer(F.concat(*found))).filter(F.col("kind").isNotNull())
-    if entities is None:
-        return spans
-    words = df.select(key, F.posexplode_outer(tokens(F.col(text))).alias("_at", "name"))
-    flagged = lookup_join(words, entities.select("name").distinct(), ["name"], "inner", spread=[key, "_at"])
-    return spans.unionByName(flagged.select(key, F.lit("entity").alias("kind"), F.col("name").alias("span")))
-
+    """One row per sensitive span: ``key, kind, span``; ``entities`` (``name``) adds flagged single words.
 
-def _tagger(kind: str):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("span"))
+    Up to ``listed_rows`` names are looked for in the words of a text in the same pass; more are joined.
+    """
+    whole = F.col(text)
+    found = [_tagged(_all_of(whole, kind, p), kind) for kind, p in patterns.items()]
+    if entities is None:
+        return df.select(key, F.inline(F.concat(*found)))
+    names = entities.select("name").filter(F.col("name").isNotNull()).distinct()
+    inside = listed(names, "name", listed_rows)
+    if inside is not None:
+        flagged = F.filter(tokens(whole), lambda w: w.isin(inside)) if inside else F.array().cast("array<string>")
+        return df.filter(whole.isNotNull()).select(key, F.inline(F.concat(*found, _tagged(flagged, "entity"))))
+    spans = df.select(key, F.inline(F.concat(*found)))
+    words = df.select(key, F.posexplode(tokens(whole)).alias("_at", "name"))
+    met = lookup_join(words, names, ["name"], "inner", spread=[key, "_at"])
+    return spans.unionByName(met.select(key, F.lit("entity").alias("kind"), F.col("name").alias("span")))
+
+
+def _all_of(text: Column, kind: str, pattern: str) -> Column:
+    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if kind not in HINTS or PATTERNS.get(kind) != pattern:
+        return every
+    hinted = functools.reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in HINTS[kind]])
+    return F.when(hinted, every).otherwise(F.array().cast("array<string>"))
+
+
+def _tagged(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("span")))
 
 
 def redact(df: DataFrame, text: str = "text", patterns: Mapping[str, str] = PATTERNS, hold_ratio: float = 0.5) -> DataFrame:

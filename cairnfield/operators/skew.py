@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 TARGET_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+LISTED_ROWS = 5_000
+LISTED_BYTES = 1 << 20
 
 
 def oversized(big: DataFrame, on: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -77,3 +79,11 @@ def lookup_join(
     if size["n"] <= max_rows and size["bytes"] <= max_bytes:
         return big.join(F.broadcast(small), list(on), how)
     return salted_join(big, small, on, how, spread)
+
+
+def listed(small: DataFrame, column: str, max_rows: int = LISTED_ROWS, max_bytes: int = LISTED_BYTES) -> list | None:
+    """The distinct values of a small dictionary, for a test inside an expression; none beyond the bounds."""
+    values = small.select(column).filter(F.col(column).isNotNull()).distinct().limit(max_rows + 1)
+    width = F.octet_length(F.col(column).cast("string"))
+    size = values.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return [r[0] for r in values.collect()] if size["n"] <= max_rows and size["bytes"] <= max_bytes else None

@@ -82,9 +82,12 @@ def test_k_hop_with_hub_and_cycle(spark):
 
 
 def test_mentions_of_phrases(spark):
-    docs = spark.createDataFrame([(1, "Ana met ana lópez. Lopez left"), (2, "")], "doc_id long, text string")
-    names = spark.createDataFrame([("e1", "Ana"), ("e2", "Ana Lopez")], "entity string, name string")
-    assert {(r.doc_id, r.entity, r.pos) for r in G.mentions(docs, names).collect()} == {(1, "e1", 0), (1, "e1", 2), (1, "e2", 2)}
+    docs = spark.createDataFrame([(1, "Ana met ana lópez. Lopez left"), (2, ""), (3, None), (4, "ends with Ana")], "doc_id long, text string")
+    names = spark.createDataFrame([("e1", "Ana"), ("e2", "Ana Lopez"), ("e3", "Lopez left early"), ("e4", None)], "entity string, name string")
+    for listed_rows in (100, 1):
+        got = {(r.doc_id, r.entity, r.pos) for r in G.mentions(docs, names, listed_rows=listed_rows).collect()}
+        assert got == {(1, "e1", 0), (1, "e1", 2), (1, "e2", 2), (4, "e1", 2)}
+    assert G.mentions(docs, names.limit(0)).count() == 0
 
 
 def test_decay_forgets(spark):

@@ -50,3 +50,14 @@ def test_dial_precedence(spark):
     by_entity = spark.createDataFrame([("bob", "ask")], "entity string, dial string")
     got = {r.path: (r.dial, r.decided_by) for r in R.resolve_dial(items, by_item, by_folder, by_entity).collect()}
     assert got == {"/p/q/a": ("airgapped", "folder"), "/p/b": ("cloud-boosted", "item"), "/z/c": ("ask", "entity"), "/z/d": ("balanced", "default")}
+
+
+def test_spans_of_listed_and_joined_names(spark):
+    rows = [(1, "Mail bob@x.org, Bob; token=abc"), (2, "nothing to see: here"), (3, None), (4, ""), (5, "alice alice 10.0.0.1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = spark.createDataFrame([("bob",), ("alice",), (None,)], "name string")
+    for listed_rows in (100, 1):
+        got = sorted((r.doc_id, r.kind, r.span) for r in R.detect_spans(docs, "doc_id", "text", entities=names, listed_rows=listed_rows).collect())
+        assert got == [(1, "email", "bob@x.org"), (1, "entity", "bob"), (1, "entity", "bob"), (1, "secret", "token=abc"),
+                       (5, "entity", "alice"), (5, "entity", "alice"), (5, "ip", "10.0.0.1")]
+    assert R.detect_spans(docs, "doc_id", "text", entities=names.limit(0)).count() == 3
