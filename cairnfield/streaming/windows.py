@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from cairnfield.functions.time import epoch_micros
 from cairnfield.operators.ordered import SLICE, TARGET_ROWS, running, slice_keys
@@ -32,6 +33,42 @@ def mark_late(df: DataFrame, ts: str, delay_us: int, arrival: str, target_rows:
     return upto.withColumn("late", late).drop("_us", "_latest", SLICE)
 
 
+class LateRows(StreamingQueryListener):
+    """Stores what watermarks of running queries drop: one row per micro-batch that dropped any, below ``path``.
+
+    Add it with ``spark.streams.addListener``. Rows are counted by the stateful steps, so deduplication counts rows and an
+    aggregation the groups its tasks made of late rows. Spark judges a batch by the watermark the batch before it ran with,
+    so :func:`mark_late` also counts rows one batch behind. A batch that is reported again replaces its row.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        done = event.progress
+        dropped = sum(step.numRowsDroppedByWatermark for step in done.stateOperators)
+        if dropped:
+            row = [(str(done.id), done.name, done.batchId, dropped)]
+            df = self.spark.createDataFrame(row, "query_id string, name string, batch long, dropped long")
+            df.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{done.id}/{done.batchId}")
+
+
+def late_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Per query what :class:`LateRows` stored: ``query_id, name, batches, dropped``."""
+    stored = spark.read.schema("query_id string, name string, batch long, dropped long").option("recursiveFileLookup", True)
+    per_query = stored.parquet(path).groupBy("query_id", "name")
+    return per_query.agg(F.count(F.lit(1)).alias("batches"), F.sum("dropped").alias("dropped"))
+
+
 def count_windows(
     df: DataFrame, size: str, slide: str | None = None, ts: str = "ts", by: Sequence[str] = (), measures: dict[str, Column] | None = None
 ) -> DataFrame:

@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +188,27 @@ def test_late_rows_and_duplicates_on_a_stream(spark, tmp_path):
     assert sorted(r.event_id for r in drain(once, "once").collect()) == [1, 2, 4]
 
 
+def test_dropped_rows_of_a_stream_are_stored(spark, tmp_path):
+    folder, kept = str(tmp_path / "in"), str(tmp_path / "late")
+    # A batch is judged by the watermark that the batch before it ran with, so late rows come two batches after the latest.
+    times = ["10:00:00", "10:30:00", "10:31:00", "10:10:00", "11:30:00", "11:31:00", "10:40:00"]
+    write_batches(spark, folder, *[[(i, f"2024-01-01 {t}", "a", "x")] for i, t in enumerate(times)])
+    listener = W.LateRows(spark, kept)
+    spark.streams.addListener(listener)
+    try:
+        drain(W.dedup(stream_of(spark, folder), ["event_id"], watermark=("ts", "10 minutes")), "late_once")
+        every = spark.read.schema(EVENTS).option("recursiveFileLookup", True).parquet(folder)
+        late = W.mark_late(every, "ts", 600_000_000, "event_id").filter("late").count()
+        assert late == 2
+        deadline, found = time.time() + 60, []
+        while sum(r.dropped for r in found) < late and time.time() < deadline:
+            time.sleep(0.5)
+            found = W.late_totals(spark, kept).collect() if os.path.isdir(kept) else []
+        assert [(r.name, r.batches, r.dropped) for r in found] == [("late_once", 2, late)]
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def test_attention_stream_equals_batch(spark, tmp_path):
     folder = str(tmp_path / "in")
     schema = "event_id long, ts timestamp_ntz, user_id long, outcome string"
