@@ -1,9 +1,10 @@
 """Secret scan by one deterministic automaton that is combined from all rules.
 
 Rules are regular expressions over bytes. They are parsed into one nondeterministic automaton behind "anything", made
-deterministic by subset construction, minimised, and stored as transition arrays over byte classes. One pass over the
-bytes of a text tells where matches of which rules end. Where a rule has ended, its own forward automaton gives the
-leftmost matches, longest first, without overlaps; most texts end nowhere.
+deterministic by subset construction, minimised, and stored as transition arrays over byte classes. The expressions are
+reversed, and one pass over the bytes of a text, from its end, tells where matches of which rules begin. Most texts have
+no such place. From a place a combined forward automaton takes the longest match, and the rule goes on behind it, so that
+the time is in proportion to the text, however often a rule nearly matches.
 """
 
 from __future__ import annotations
@@ -27,20 +28,21 @@ from cairnfield.llm.work import refuse_clashes
 class Rule:
     """``pattern``: literals, [classes], (groups|alternatives), ?, *, + and {n,}; ``least``: shortest valid match.
 
-    A match whose last group of ``tail`` characters is shorter than ``least_tail`` isn't valid.
+    A match isn't valid either if the characters from the last one of its shortest form on are fewer than
+    ``least_tail``: what stands for the value behind a name. A rule that can go on for long after a match without
+    matching again reads that part once more for its next match; none of ``RULES`` can.
     """
 
     kind: str
     pattern: str
     least: int = 0
-    tail: str = ""
     least_tail: int = 0
     any_case: str = ""  # a prefix pattern in which letters stand for both cases
 
 
 _VALUE = "[A-Za-z0-9+/_.=-]"
 BASE_RULES = (
-    Rule("assign", "[\"']?[ ]*[:=][ ]*[\"']?" + _VALUE + "+", tail=_VALUE, least_tail=6, any_case="(password|passwd|secret|token|api_?key)"),
+    Rule("assign", "[\"']?[ ]*[:=][ ]*[\"']?" + _VALUE + "+", least_tail=6, any_case="(password|passwd|secret|token|api_?key)"),
     Rule("access", "AKIA[A-Z0-9]+", least=20),
     Rule("hex", "[0-9a-f]{24,}", least=24),
 )
@@ -168,16 +170,36 @@ def _byte_classes(sets: Sequence[frozenset[int]]) -> np.ndarray:
     return np.array([groups.setdefault(tuple(b in s for s in sets), len(groups)) for b in range(256)])
 
 
-def compile_rules(rules: Sequence[Rule], anywhere: bool) -> Dfa:
-    """Minimal automaton of all rules; ``anywhere``: matches may begin at any byte, else at the first only."""
-    nfa, start, ends = Nfa(), None, {}
+def compile_rules(rules: Sequence[Rule], backward: bool = False) -> Dfa:
+    """Minimal automaton of all rules: from a first byte on, where matches end.
+
+    ``backward``: of the reversed rules from any byte on, where matches begin if a text is read from its end.
+    """
+    nfa, heads, ends = Nfa(), {}, {}
     start = nfa.state()
     for bit, rule in enumerate(rules):
         head = nfa.state()
         nfa.free[start].append(head)
+        heads[head] = 1 << bit
         ends[nfa.add(rule.pattern, nfa.add(rule.any_case, head, True) if rule.any_case else head)] = 1 << bit
-    if anywhere:
-        nfa.steps[start].append((frozenset(range(256)), start))
+    if not backward:
+        return _deterministic(nfa, start, ends)
+    turned = Nfa()
+    for _ in nfa.steps:
+        turned.state()
+    for s, (steps, free) in enumerate(zip(nfa.steps, nfa.free, strict=True)):
+        for codes, t in steps:
+            turned.steps[t].append((codes, s))
+        for t in free:
+            turned.free[t].append(s)
+    root = turned.state()
+    turned.free[root] += list(ends)
+    turned.steps[root].append((frozenset(range(256)), root))
+    return _deterministic(turned, root, heads)
+
+
+def _deterministic(nfa: Nfa, start: int, marks: dict[int, int]) -> Dfa:
+    """Subset construction and minimisation; ``marks`` has the bits of the states that accept."""
     classes = _byte_classes(sorted({codes for steps in nfa.steps for codes, _ in steps}, key=sorted))
     width = int(classes.max()) + 1
     sample = [int(np.argmax(classes == c)) for c in range(width)]
@@ -193,7 +215,7 @@ def compile_rules(rules: Sequence[Rule], anywhere: bool) -> Dfa:
                 order.append(target)
             row.append(number[target])
         table.append(row)
-    accepts = np.array([sum(bit for s, bit in ends.items() if s in subset) for subset in order])
+    accepts = np.array([sum(bit for s, bit in marks.items() if s in subset) for subset in order])
     table = np.array(table)
     # Minimisation: part states by what they accept, then by where they go, until nothing parts any more.
     part = np.unique(accepts, return_inverse=True)[1]
@@ -212,79 +234,79 @@ class Scanner:
 
     def __init__(self, rules: Sequence[Rule] = RULES):
         self.rules = list(rules)
-        whole = compile_rules(rules, anywhere=True)
+        back = compile_rules(rules, backward=True)
         # States that accept come last, so that one comparison tells them apart; steps lead to row starts.
-        order = np.argsort(whole.accepts != 0, kind="stable")
+        order = np.argsort(back.accepts != 0, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        table = rank[whole.step.reshape(-1, whole.width)[order]] * whole.width
+        table = rank[back.step.reshape(-1, back.width)[order]] * back.width
         self.step = table.reshape(-1).tolist()
-        self.first_accept = int((whole.accepts == 0).sum()) * whole.width
-        self.accepts = {int(i) * whole.width: int(a) for i, a in enumerate(whole.accepts[order]) if a}
-        self.classes = bytes(whole.classes.astype(np.uint8))
-        self.start = int(rank[whole.start]) * whole.width
-        self.own = [compile_rules([r], anywhere=False) for r in rules]
-        self.heads = [[bool(d.step[d.start * d.width + d.classes[b]] != self._dead(d)) for b in range(256)] for d in self.own]
-        self.dead = [self._dead(d) for d in self.own]
-
-    @staticmethod
-    def _dead(dfa: Dfa) -> int:
-        """The state that leads only to itself and accepts nothing, or -1."""
-        rows = dfa.step.reshape(-1, dfa.width)
-        for s in range(len(rows)):
-            if not dfa.accepts[s] and (rows[s] == s).all():
-                return s
-        return -1
-
-    def ended(self, data: bytes) -> int:
-        """Bits of the rules that end anywhere in ``data``: the one pass over all bytes."""
-        step, limit, accepts, state, found = self.step, self.first_accept, self.accepts, self.start, 0
-        for c in data.translate(self.classes):
+        self.first_accept = int((back.accepts == 0).sum()) * back.width
+        self.accepts = {int(i) * back.width: int(a) for i, a in enumerate(back.accepts[order]) if a}
+        self.classes = bytes(back.classes.astype(np.uint8))
+        self.start = int(rank[back.start]) * back.width
+
+        fore = compile_rules(rules)
+        table = fore.step.reshape(-1, fore.width)
+        live = np.zeros(len(table), np.int64)  # bits of the rules that can still end further on
+        while True:
+            more = np.bitwise_or.reduce((fore.accepts | live)[table], axis=1)
+            if (more == live).all():
+                break
+            live = more
+        self.fore_step = (fore.step * fore.width).tolist()
+        self.fore_classes = fore.classes.tolist()
+        self.fore_start = fore.start * fore.width
+        self.ends = {i * fore.width: int(a) for i, a in enumerate(fore.accepts)}
+        self.live = {i * fore.width: int(a) for i, a in enumerate(live)}
+
+    def starts(self, data: bytes) -> list[list[int]]:
+        """Runs [from, to, bits] of places at which matches of these rules begin: the one pass over all bytes.
+
+        Places are counted from the end of ``data``, in rising order.
+        """
+        step, limit, accepts, state = self.step, self.first_accept, self.accepts, self.start
+        runs: list[list[int]] = []
+        for i, c in enumerate(data.translate(self.classes)[::-1]):
             state = step[state + c]
             if state >= limit:
-                found |= accepts[state]
-        return found
+                bits = accepts[state]
+                if runs and runs[-1][1] == i and runs[-1][2] == bits:
+                    runs[-1][1] = i + 1
+                else:
+                    runs.append([i, i + 1, bits])
+        return runs
 
     def scan(self, data: bytes) -> list[tuple[str, int, int]]:
         """(kind, start, end) in bytes, by kind as the rules are listed, then start."""
-        spans = []
-        found = self.ended(data)
+        runs = self.starts(data)
+        runs.reverse()
+        n, spans = len(data), []
         for i, rule in enumerate(self.rules):
-            if found >> i & 1:
-                spans += [(rule.kind, a, b) for a, b in self._matches(i, data) if self._valid(rule, data[a:b])]
+            at = 0
+            for low, high, bits in runs:
+                if not bits >> i & 1:
+                    continue
+                at = max(at, n - high)
+                while at < n - low:
+                    first, end = self._longest(data, at, 1 << i)
+                    if end - at >= rule.least and end - first + 1 >= rule.least_tail:
+                        spans.append((rule.kind, at, end))
+                    at = end
         return spans
 
-    def _matches(self, i: int, data: bytes) -> Iterator[tuple[int, int]]:
-        dfa, heads, dead = self.own[i], self.heads[i], self.dead[i]
-        step, classes, accepts, width = dfa.step.tolist(), dfa.classes.tolist(), dfa.accepts.tolist(), dfa.width
-        at, n = 0, len(data)
-        while at < n:
-            if not heads[data[at]]:
-                at += 1
-                continue
-            state, end, here = dfa.start, -1, at
-            while here < n:
-                state = step[state * width + classes[data[here]]]
-                here += 1
-                if accepts[state]:
-                    end = here
-                elif state == dead:
-                    break
-            if end > at:
-                yield at, end
-                at = end
-            else:
-                at += 1
-
-    @staticmethod
-    def _valid(rule: Rule, match: bytes) -> bool:
-        if len(match) < rule.least:
-            return False
-        if rule.least_tail:
-            text = match.decode("ascii")
-            head = re.match(f"(?i:{rule.any_case})" + rule.pattern.removesuffix(rule.tail + "+"), text)
-            return len(text) - head.end() >= rule.least_tail
-        return True
+    def _longest(self, data: bytes, at: int, bit: int) -> tuple[int, int]:
+        """Ends of the shortest and the longest match of a rule that begins here."""
+        step, classes, ends, live, state = self.fore_step, self.fore_classes, self.ends, self.live, self.fore_start
+        first = end = 0
+        for here in range(at, len(data)):
+            state = step[state + classes[data[here]]]
+            if ends[state] & bit:
+                end = here + 1
+                first = first or end
+            if not live[state] & bit:
+                break
+        return first, end
 
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
