@@ -1,8 +1,9 @@
 """Jaccard join of word-shingle sets that skips by relations between sets.
 
-Shingles are ordered by falling rarity, so that two sets with the asked similarity share a shingle in their prefixes.
-Index lists hold the prefix shingles of all distinct sets with size and position; whole blocks of a list are skipped
-where sizes or positions rule a pair out. Answers are then derived from those of similar sets:
+Shingles are ordered by falling rarity, as counters over all texts tell it, so that two sets with the asked similarity
+share a shingle in their prefixes. Index lists hold the prefix shingles of all distinct sets with size and position. Long
+lists are cut into blocks of like sizes and positions; pairs of blocks whose bounds rule out every pair of members are
+skipped before members meet. Answers are then derived from those of similar sets:
 
 1. Each list entry is compared with the entry before it and the first of its list only. Equal sets count as one.
 2. Sets that are linked by now need no comparison. For the others, the distance between the sets they are anchored to,
@@ -12,6 +13,7 @@ where sizes or positions rule a pair out. Answers are then derived from those of
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,49 +27,88 @@ from cairnfield.llm.words import SHINGLE, chunks, distinct_per_text, find_words,
 from cairnfield.llm.work import Step, collect_garbage, refuse_clashes
 
 PERCENT = 80
-FREQUENT_SHARE = 0.002  # of a task's texts, from which a shingle is reported as frequent
-FREQUENT_LIST = 65_536  # shingles whose order is by count; the list decides an order and drops nothing
-BUCKETS = 1 << 20
+FREQUENT_SHARE = 0.002  # of all texts, from which a shingle's list is parted by salts
+FREQUENT_TEXTS = 10_000  # or this number, if it is less
+BUCKETS = 1 << 22  # counters of shingles by hash
+COUNTER_BLOCK = 1 << 14  # counters that are sent and added up together
+PENDING = 1 << 21  # hashes that wait to be counted
 PARTNERS = 2
 CELL_TEXTS = 256
 SALTS = 16  # parts of the index list of a frequent shingle
+LONG_LIST = 64  # entries from which a list is cut into blocks
+PART_ENTRIES = 16_384  # of a list, to which a part of its blocks comes
 
 
-def _report_frequent(size: int):
-    """Per task: shingles that fill a counter by themselves, with its count."""
+def _count(size: int):
+    """Per task: counters of the shingles of its texts, in packed blocks, and the number of texts in each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, last, texts = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.uint64), 0
+        counts, texts = np.zeros(BUCKETS, np.uint32), 0
+        pending: list[np.ndarray] = []
+
+        def settle() -> None:
+            if pending:
+                counts[:] += np.bincount(np.concatenate(pending), minlength=BUCKETS).astype(np.uint32)
+                pending.clear()
+
         for whole in batches:
             for batch in chunks(whole, "t"):
-                hashes = shingle_hashes(find_words(batch.column("t")), size)[1] >> np.uint64(1)
-                at = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
-                counts += np.bincount(at, minlength=BUCKETS)
-                last[at] = hashes
+                doc, hashes = shingle_hashes(find_words(batch.column("t")), size)
+                hashes = distinct_per_text(doc, hashes >> np.uint64(1), batch.num_rows)[0]
+                pending.append((hashes & np.uint64(BUCKETS - 1)).astype(np.int32))
                 texts += batch.num_rows
-        mean = counts.mean()
-        hot = np.flatnonzero(counts > max(8, FREQUENT_SHARE * texts, mean + 8 * mean**0.5))
-        yield pa.RecordBatch.from_arrays([pa.array(last[hot].astype(np.int64)), pa.array(counts[hot])], names=["s", "n"])
+                if sum(map(len, pending)) >= PENDING:
+                    settle()
+        settle()
+        for i, block in enumerate(counts.reshape(-1, COUNTER_BLOCK)):
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([texts]), pa.array([zlib.compress(block.tobytes(), 1)])], names=["block", "texts", "data"])
 
     return run
 
 
-def frequent_shingles(texts: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """The most frequent shingles of column ``t``, by rising count: at most ``FREQUENT_LIST``."""
-    found = texts.select("t").mapInArrow(_report_frequent(size), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "s").limit(FREQUENT_LIST).toArrow().column("s").to_numpy()
-    return top[::-1].astype(np.uint64)
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counters of each block; a task holds the sums of its blocks only."""
+    sums: dict[int, np.ndarray] = {}
+    texts: dict[int, int] = {}
+    for batch in batches:
+        for i, n, data in zip(*(batch.column(c).to_pylist() for c in ("block", "texts", "data")), strict=True):
+            sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
+            texts[i] = texts.get(i, 0) + n
+    for i, total in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i]), pa.array([texts[i]]), pa.array([int(total.sum())]), pa.array([_level(total).tobytes()])], names=["block", "texts", "n", "levels"]
+        )
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    """Counts on a scale of four steps an octave."""
+    return (4 * np.log2(1.0 + count)).astype(np.uint8)
+
 
+def shingle_levels(texts: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, int]:
+    """How often shingles stand in column ``t``: a level for each counter, 4 MB, and the level from which one is frequent.
 
-def _codes(texts: pa.Array, frequent: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered codes of each text's shingles: 63-bit hashes, and above them the ranks of frequent ones."""
+    A counter is shared by the shingles with equal last bits of their hashes. Levels decide an order and how lists are
+    parted, never whether something is compared.
+    """
+    found = texts.select("t").mapInArrow(_count(size), "block long, texts long, data binary").repartition("block")
+    levels, n, total = np.zeros(BUCKETS, np.uint8), 0, 0
+    for block, texts_, sum_, data in found.mapInArrow(_add_up, "block long, texts long, n long, levels binary").collect():  # BUCKETS bytes
+        levels[block * COUNTER_BLOCK : (block + 1) * COUNTER_BLOCK] = np.frombuffer(data, np.uint8)
+        n, total = max(n, texts_), total + sum_
+    mean = total / BUCKETS
+    least = max(8, min(FREQUENT_SHARE * n, FREQUENT_TEXTS), mean + 8 * mean**0.5)
+    return levels, int(_level(np.array([least]))[0]) + 1
+
+
+def _codes(texts: pa.Array, levels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """63-bit hashes of each text's distinct shingles by level, then hash; their levels; offsets of texts."""
     doc, hashes = shingle_hashes(find_words(texts), size)
-    hashes = hashes >> np.uint64(1)
-    known, ranks = frequent
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        hashes = np.where(known[at] == hashes, np.uint64(1 << 63) + ranks[at], hashes)
-    return distinct_per_text(doc, hashes, len(texts))
+    hashes, cuts = distinct_per_text(doc, hashes >> np.uint64(1), len(texts))
+    level = levels[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    order = np.argsort(np.repeat(np.arange(len(texts)) << 8, np.diff(cuts)) | level, kind="stable")
+    return hashes[order], level[order], cuts
 
 
 def _needed(n, percent: int):
@@ -76,33 +117,37 @@ def _needed(n, percent: int):
 
 
 def shingle_prefixes(texts: DataFrame, shared, size: int, percent: int) -> DataFrame:
-    """Per row of (k, t): k, the set's size, two fingerprints, and the codes of its prefix."""
+    """Per row of (k, t): k, the set's size, two fingerprints, its prefix, and how many shingles of it aren't frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, frequent = shared.value
         for full in batches:
             for batch in chunks(full, "t"):
-                codes, cuts = _codes(batch.column("t"), shared.value, size)
+                codes, level, cuts = _codes(batch.column("t"), levels, size)
                 n = np.diff(cuts)
                 total = lambda x: np.concatenate([[np.uint64(0)], np.cumsum(x)])
                 one, two = total(mix(codes)), total(mix(codes ^ np.uint64(0x5851F42D4C957F2D)))
                 keep = np.where(n > 0, n - _needed(n, percent) + 1, 0)
                 within = np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep)
-                chosen = codes[np.repeat(cuts[:-1], keep) + within]
+                at = np.repeat(cuts[:-1], keep) + within
+                ends = np.concatenate([[0], np.cumsum(keep)])
+                rare = np.concatenate([[0], np.cumsum(level[at] < frequent)])[ends]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("k"),
                         pa.array(n.astype(np.int64)),
                         pa.array((one[cuts[1:]] - one[cuts[:-1]]).view(np.int64)),
                         pa.array((two[cuts[1:]] - two[cuts[:-1]]).view(np.int64)),
-                        id_lists((chosen ^ np.uint64(1 << 63)).view(np.int64), np.concatenate([[0], np.cumsum(keep)]), pa.int64()),
+                        id_lists(codes[at].view(np.int64), ends, pa.int64()),
+                        pa.array(np.diff(rare).astype(np.int64)),
                     ],
-                    names=["k", "n", "f1", "f2", "codes"],
+                    names=["k", "n", "f1", "f2", "codes", "rare"],
                 )
 
     schema = T.StructType(
         [T.StructField("k", texts.schema["k"].dataType)]
         + [T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")]
-        + [T.StructField("codes", T.ArrayType(T.LongType()))]
+        + [T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("rare", T.LongType())]
     )
     return texts.select("k", "t").mapInArrow(run, schema)
 
@@ -196,21 +241,19 @@ def jaccard_components(
     refuse_clashes(key, "n_shingles", "component_id")
     spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    hot = frequent_shingles(texts, size)
-    order = np.argsort(hot)
-    shared = spark.sparkContext.broadcast((hot[order], np.arange(len(hot), dtype=np.uint64)[order]))  # 1 MB at most
+    shared = spark.sparkContext.broadcast(shingle_levels(texts, size))  # BUCKETS bytes
     same = ["f1", "f2", "n"]
     prefixes = Step(shingle_prefixes(texts, shared, size, percent), "prefixes")
     rows = Step(prefixes.df.select("k", *same), "sets")
-    reps = prefixes.df.filter("n > 0 and k is not null").groupBy(*same).agg(F.min("k").alias("rep"), F.first("codes").alias("codes"))
+    reps = prefixes.df.filter("n > 0 and k is not null").groupBy(*same).agg(F.min("k").alias("rep"), F.first("codes").alias("codes"), F.first("rare").alias("rare"))
     reps = Step(reps, "representatives")
     prefixes.drop()
-    posting = reps.df.select(F.posexplode("codes").alias("pos", "s"), "rep", "n").withColumn("pos", F.col("pos").cast("long"))
-    # Codes of frequent shingles aren't negative; the others' lists are short, and most have a single entry.
+    posting = reps.df.select(F.posexplode("codes").alias("pos", "s"), "rep", "n", "rare").withColumn("pos", F.col("pos").cast("long"))
+    # Lists of shingles that aren't frequent are short, and most have a single entry.
     by_shingle = Window.partitionBy("s")
-    several = posting.filter("s < 0").withColumn("df", F.count(F.lit(1)).over(by_shingle)).filter("df > 1").drop("df")
-    salted = F.when(F.col("s") >= 0, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0))
-    lists = Step(several.unionByName(posting.filter("s >= 0"), allowMissingColumns=True).withColumn("salt", salted.cast("int")), "lists")
+    several = posting.filter("pos < rare").withColumn("df", F.count(F.lit(1)).over(by_shingle)).filter("df > 1").drop("df")
+    salted = several.withColumn("salt", F.lit(-1)).unionByName(posting.filter("pos >= rare").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")))
+    lists = Step(salted.drop("rare"), "lists")
     classes = Step(reps.df.select(*same, "rep"), "classes")
     reps.drop()
 
@@ -249,7 +292,7 @@ def _near_entries(lists: DataFrame, percent: int) -> DataFrame:
     entry = F.struct("n", "rep", "pos")
     near = lists.withColumns({"before": F.lag(entry).over(part), "head": F.first(entry).over(part)})
     near = near.select("s", entry.alias("x"), F.explode(F.array_distinct(F.array("before", "head"))).alias("y")).filter("y is not null")
-    heads = lists.filter("s >= 0").groupBy("s", "salt").agg(F.min(entry).alias("y"))
+    heads = lists.filter("salt >= 0").groupBy("s", "salt").agg(F.min(entry).alias("y"))
     top = heads.groupBy("s").agg(F.min("y").alias("x"))
     across = heads.join(top, "s").select("s", "x", "y")
     pairs = near.unionByName(across)
@@ -260,22 +303,50 @@ def _near_entries(lists: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("no", F.row_number().over(most)).filter(F.col("no") <= PARTNERS).select("a", "b", "s")
 
 
+def _in_blocks(entries: DataFrame) -> DataFrame:
+    """Entries (s, rep, n, pos, c) of lists with several components, with ``minor`` and the ``block`` of their list.
+
+    The blocks of a long list have a quarter octave of sizes and a 64th of relative positions; very long lists are also
+    parted by a hash, so that a block stays small. Short lists are one block.
+    """
+    mixed = entries.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))
+    major = mixed.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count(F.lit(1)).alias("groups"), F.sum("m").alias("entries"))
+    sizes, places = F.floor(4 * F.log2("n")), F.floor(64 * F.col("pos") / F.col("n"))
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("entries") / PART_ENTRIES))
+    block = F.when(F.col("entries") > LONG_LIST, (sizes * 64 + places) * (1 << 32) + part).otherwise(0)
+    found = entries.join(major.filter("groups > 1"), "s")
+    return found.select("s", "rep", "n", "pos", "c", (F.col("c") != F.col("major")).alias("minor"), block.alias("block"))
+
+
+def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (s, block, y_block) of blocks of a list that may hold a similar pair; the second one has minor entries."""
+    bounds = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("p"), F.min("c").alias("c"), F.max("c").alias("d"), F.max("minor").alias("minor")]
+    blocks = entries.groupBy("s", "block").agg(*bounds)
+    other = blocks.filter("minor").drop("minor").select(*[F.col(c).alias(f"y_{c}") for c in ("s", "block", "lo", "hi", "p", "c", "d")])
+    ok = (F.col("s") == F.col("y_s")) & (F.col("hi") * 100 >= F.col("y_lo") * percent) & (F.col("y_hi") * 100 >= F.col("lo") * percent)
+    ok &= F.least(F.col("hi") - F.col("p"), F.col("y_hi") - F.col("y_p")) >= _required(F.col("lo"), F.col("y_lo"), percent)
+    ok &= (F.col("c") != F.col("d")) | (F.col("y_c") != F.col("y_d")) | (F.col("c") != F.col("y_c"))
+    return blocks.join(other, ok).select("s", "block", "y_block")
+
+
+def _members(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, s) of sets of different components that sizes and positions allow to be similar.
+
+    Of a similar pair, the first common shingle always passes; each pair of blocks is a key of its own.
+    """
+    minor = entries.filter("minor").select(*[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "pos", "c")], "s", F.col("block").alias("y_block"))
+    met = entries.join(_block_pairs(entries, percent), ["s", "block"]).join(minor, ["s", "y_block"])
+    met = met.filter((F.col("c") != F.col("y_c")) & (~F.col("minor") | (F.col("rep") < F.col("y_rep"))))
+    met = met.filter(_possible(F.col("n"), F.col("pos"), F.col("y_n"), F.col("y_pos"), percent))
+    return met.select(F.least("rep", "y_rep").alias("a"), F.greatest("rep", "y_rep").alias("b"), "s")
+
+
 def _remaining(lists: DataFrame, first: Step, label: DataFrame, compare: _Verifier, percent: int) -> tuple[Step, Step]:
     """What is left between sets that aren't linked yet: comparisons of their anchors, then of themselves."""
     label = label.withColumnRenamed("node", "rep")
     entries = lists.join(label, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component", "salt")
-    mixed = entries.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))
-    major = mixed.groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count(F.lit(1)).alias("groups"))
-    entries = entries.join(major.filter("groups > 1"), "s")
-    minor = entries.filter("c <> major").select(*[F.col(c).alias(f"y_{c}") for c in ("s", "rep", "n", "pos", "c")])
-    ok = (F.col("s") == F.col("y_s")) & (F.col("c") != F.col("y_c")) & ((F.col("c") == F.col("major")) | (F.col("rep") < F.col("y_rep")))
-    ok &= F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * percent
-    # Two prefixes of similar sets share at least what the rest of the larger one cannot make up for.
-    met = entries.join(minor, ok).groupBy(F.least("rep", "y_rep").alias("a"), F.greatest("rep", "y_rep").alias("b"))
-    met = met.agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("shared"), F.max(F.least("n", "y_n")).alias("small"), F.max(F.greatest("n", "y_n")).alias("large"))
-    rest = F.floor((F.col("large") * percent + 99) / 100) - 1
-    open_ = met.filter(F.col("shared") >= _required(F.col("small"), F.col("large"), percent) - rest).select("a", "b", "s")
-    open_ = Step(open_.join(first.df.select("a", "b"), ["a", "b"], "left_anti"), "open")
+    met = _members(_in_blocks(entries), percent).groupBy("a", "b").agg(F.min("s").alias("s"))
+    open_ = Step(met.join(first.df.select("a", "b"), ["a", "b"], "left_anti"), "open")
 
     # The anchor of a set is the most linked set of its component if both are linked, else the set itself.
     linked = first.df.filter("linked")
