@@ -179,8 +179,9 @@ def near_pairs(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
 
     Near words share a gram that the edit doesn't touch, so the edit is in what stands before or what stands after it,
     and there in the first or the second half: the rest of both words is equal. So the list of a gram is split by that
-    rest, four lists for each gram; longer words ask in those of words one character shorter. Words in which an edit may
-    affect all grams meet in what is left of them without one character.
+    rest, four lists for each gram; longer words ask in those of words one character shorter. Two words in both of which
+    an edit may affect all grams meet in what is left of them without one character; all their grams are in the index,
+    too, as a near word may have one that no edit affects.
     """
     shared = words.sparkSession.sparkContext.broadcast(dictionary)
     schema = pa.schema([("list", pa.string()), ("size", pa.int32()), ("asks", pa.bool_()), ("word", pa.string()), ("n", pa.int64())])
@@ -192,7 +193,7 @@ def near_pairs(words: DataFrame, dictionary: GramDictionary) -> DataFrame:
                 for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
                     grams, enough = shared.value.rarest(word)
                     for size, asks in ((len(word), False), (len(word) - 1, True)):
-                        rows += [(x, size, asks, word, n) for x in (lists(word, grams, asks) if enough else ())]
+                        rows += [(x, size, asks, word, n) for x in lists(word, grams, asks)]
                     if not enough:
                         rows += [(x, -1, False, word, n) for x in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)

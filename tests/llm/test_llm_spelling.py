@@ -112,3 +112,16 @@ def test_near_words_share_one_of_their_rarest_grams():
             (x, enough_x), (y, enough_y) = cuts.rarest(a), cuts.rarest(b)
             if enough_x or enough_y:
                 assert {g for _, g in x} & {g for _, g in y}, (a, b)
+
+
+def test_words_without_a_safe_gram_meet_words_with_one(spark):
+    rng = random.Random(0)
+    words = {"".join(rng.choice("aé") for _ in range(rng.choice([5, 6, 7, 8, 10]))) for _ in range(60)}
+    words |= {x for w in sorted(words) for x in rng.sample(sorted(edits_of(w, "aé")), 3) if len(x) >= 5}
+    count = {w: rng.randint(1, 40) for w in sorted(words)}
+    known = spark.createDataFrame(sorted(count.items()), "word string, n long")
+    cuts = spelling.gram_dictionary(known)
+    enough = {w: cuts.rarest(w)[1] for w in words}
+    assert any(enough[w] and not enough[x] for w in words for x in edits_of(w, "aé") & words)
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.group_variants(known, min_n=1).collect()}
+    assert got == grouped(count)
