@@ -1,6 +1,8 @@
 import functools
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +195,14 @@ def test_hot_buckets_are_split(spark):
     df = spark.createDataFrame([(i, f"h{i}", [float(x) for x in v]) for i, v in enumerate(m)], SCHEMA)
     found = C.similar_to(df, 4, 0.9, tables=2, bucket_rows=100).collect()
     assert {r.src for r in found} >= set(range(900)) and all(r["rank"] <= 4 for r in found)
+
+
+def test_a_task_of_neighbours_holds_little():
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(10_000, 16))
+    rows = pd.DataFrame({"item_id": np.arange(10_000), "content_hash": [f"h{i}" for i in range(10_000)], "vec": list(m)})
+    tracemalloc.start()
+    found = C.top_of(rows.iloc[:4096], rows, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 3 * 4096 and peak < 100 << 20
