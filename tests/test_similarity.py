@@ -197,6 +197,27 @@ def test_hot_buckets_are_split(spark):
     assert {r.src for r in found} >= set(range(900)) and all(r["rank"] <= 4 for r in found)
 
 
+def test_similar_to_query_is_exact_beyond_one_bucket(spark, tmp_path):
+    from cairnfield.plans import load_all
+
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(5000, 64))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    m[4990:] = m[17]
+    ids = np.arange(5000)
+    pd.DataFrame({"vec_id": ids, "embedding": list(m), "label": ids % 10}).to_parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(5000).selectExpr("id AS event_id", "timestamp_ntz'2026-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {}
+    for r in load_all()[0]["similar_to"](spark, str(tmp_path)).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append(r.dst)
+    m = m.astype(np.float64)
+    for q in range(5000):
+        scores = C.pair_scores(np.broadcast_to(m[q], m.shape), m)
+        scores[q] = -9
+        want = [int(i) for i in np.lexsort((ids, -scores))[:8] if scores[i] >= 0.3]
+        assert got.get(q, []) == want, q
+
+
 def test_a_task_of_neighbours_holds_little():
     rng = np.random.default_rng(1)
     m = rng.normal(size=(10_000, 16))
