@@ -227,3 +227,19 @@ def test_a_task_of_neighbours_holds_little():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 3 * 4096 and peak < 100 << 20
+
+
+def test_visitors_of_a_cell_do_not_meet(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(600, 16))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "item_id long, vec array<float>")
+    tiles = []
+    grouped = type(df.groupBy("item_id"))
+    monkeypatch.setattr(grouped, "applyInPandas", lambda self, f, schema, old=grouped.applyInPandas: (tiles.append(self._df), old(self, f, schema))[1])
+    edges = {(r.src, r.dst) for r in N.similar_edges(df, 0.3, pivots=8, cell_rows=40).collect()}
+    scores = m.astype(np.float64) @ m.T.astype(np.float64)
+    assert edges == {(int(i), int(j)) for i, j in np.argwhere(scores >= 0.3) if i < j}
+    sides = tiles[0].groupBy("cell", "_lo", "_hi", "_mine").count().groupBy("cell", "_lo", "_hi").agg(F.collect_list("count").alias("n")).collect()
+    met = sum(r.n[0] * (r.n[1] if len(r.n) > 1 else r.n[0] / 2) for r in sides)
+    assert met < 0.6 * 600 * 600  # pairs of rows that meet; half of 600 * 600 is the least without pruning
