@@ -23,3 +23,14 @@ def test_words_are_not_shuffled(spark, monkeypatch):
         monkeypatch.setattr(T, "POSTINGS_AT_ONCE", rows)
         made = [r for b in T._gather("id", ["body"])(iter([batch.slice(0, 3), batch.slice(3), batch.slice(0, 0)])) for r in b.to_pylist()]
         assert sorted((r["term"], r["id"], r["tf"], r["positions"]) for r in made) == want
+
+
+def test_a_refresh_looks_for_large_texts_in_their_lengths(spark, monkeypatch):
+    index = T.build_postings(texts(spark), "id", ["body"])
+    hot = {r["_k_id"]: r["_salts"] for r in T.hot_keys(index.lengths, "id", 7).collect()}
+    assert hot == {i: 2 for i in range(60) if i % 9 == 8}
+    given = []
+    join = T.salted_join
+    monkeypatch.setattr(T, "salted_join", lambda *a, hot=None, **k: given.append(hot) or join(*a, hot=hot, **k))
+    after = T.refresh_postings(index, T.build_postings(texts(spark, 1), "id", ["body"]), texts(spark).filter("id = 8").select("id"))
+    assert given[0] is not None and 8 not in {r.id for r in after.postings.collect()}
