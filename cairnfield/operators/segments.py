@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.operators.skew import salted_join
-from cairnfield.operators.textsearch import TextIndex
+from cairnfield.operators.textsearch import TextIndex, hot_keys
 
 MERGED_AT_ONCE = 4  # segments of one size class before they are merged
+ROW_GROUP = 8 << 20
 PARTS = ("postings", "lengths", "deleted")
 
 
@@ -60,7 +61,8 @@ class SegmentedIndex:
 
     def _write(self, number: int, postings: DataFrame, lengths: DataFrame, deleted: DataFrame) -> dict:
         folder = f"{self.path}/segment-{number}"
-        postings.repartitionByRange("term", self.key).sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{folder}/postings")
+        # Every task sorts what it has: small row groups hold a range of terms each, and no posting is shuffled.
+        postings.sortWithinPartitions("term", self.key).write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/postings")
         lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
         deleted.select(self.key).distinct().write.mode("overwrite").parquet(f"{folder}/deleted")
         return {"number": number, "rows": self.spark.read.parquet(f"{folder}/postings").count()}
@@ -72,8 +74,10 @@ class SegmentedIndex:
     def _without_deleted(self, part: str, segments: list[dict], newer: list[dict], spread: str | None) -> DataFrame:
         """Rows of the segments whose key no later one of them, nor one of ``newer``, deletes."""
         gone = self._read("deleted", [*segments, *newer]).groupBy(self.key).agg(F.max("_segment").alias("_gone"))
+        gone = gone.hint("shuffle_hash")  # a row per key, beside many postings
         rows = self._read(part, segments)
-        kept = salted_join(rows, gone, [self.key], "left", spread=[spread]) if spread else rows.join(gone, self.key, "left")
+        hot = hot_keys(self._read("lengths", segments), self.key) if spread else None
+        kept = salted_join(rows, gone, [self.key], "left", spread=[spread], hot=hot) if spread else rows.join(gone, self.key, "left")
         return kept.filter(F.col("_gone").isNull() | (F.col("_gone") <= F.col("_segment"))).drop("_gone", "_segment")
 
     def read(self) -> TextIndex:
@@ -87,8 +91,9 @@ class SegmentedIndex:
         """Add or replace the keys of ``changed`` and take out those of ``removed``; writes that much, and merges seldom."""
         segments = self.live()
         number = max((s["number"] for s in segments), default=0) + 1
-        stale = changed.lengths.select(self.key)
-        stale = stale if removed is None else stale.unionByName(removed.select(self.key))
+        # The first segment has nothing older to take out.
+        stale = changed.lengths.select(self.key) if segments else changed.lengths.select(self.key).limit(0)
+        stale = stale if removed is None or not segments else stale.unionByName(removed.select(self.key))
         self._publish([*segments, self._write(number, changed.postings, changed.lengths, stale)])
         self._merge()
 

@@ -1,7 +1,11 @@
 """What the cost of a job grows with: shuffles that aren't there, tasks of bounded size, joins that are left out."""
 
+import glob
+
 import pyarrow as pa
+import pyarrow.parquet as pq
 
+from cairnfield.operators import segments as S
 from cairnfield.operators import textsearch as T
 
 
@@ -34,3 +38,9 @@ def test_a_refresh_looks_for_large_texts_in_their_lengths(spark, monkeypatch):
     monkeypatch.setattr(T, "salted_join", lambda *a, hot=None, **k: given.append(hot) or join(*a, hot=hot, **k))
     after = T.refresh_postings(index, T.build_postings(texts(spark, 1), "id", ["body"]), texts(spark).filter("id = 8").select("id"))
     assert given[0] is not None and 8 not in {r.id for r in after.postings.collect()}
+
+
+def test_a_segment_is_sorted_task_by_task(spark, tmp_path):
+    S.SegmentedIndex(spark, str(tmp_path), "id").refresh(T.build_postings(texts(spark), "id", ["body"]))
+    files = [pq.read_table(f)["term"].to_pylist() for f in glob.glob(f"{tmp_path}/segment-1/postings/*.parquet")]
+    assert len(files) == 3 and all(f == sorted(f) for f in files)
