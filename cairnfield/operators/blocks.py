@@ -7,13 +7,17 @@ weight, with the largest of all other terms, stays below it holds no result and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfield.operators.textsearch import IDF_FLOOR, K1, B, TextIndex, _words
+from cairnfield.session import cut_lineage
 
 BLOCK_ENTRIES = 128
 LEVELS = 64  # of weight, between 0 and the largest there can be
@@ -35,21 +39,48 @@ def _weight(average: float) -> Column:
 
 
 def build_blocks(index: TextIndex, block_entries: int = BLOCK_ENTRIES) -> BlockIndex:
-    """Blocks of about ``block_entries`` entries at most, of one level of weight each.
+    """Blocks of ``block_entries`` entries at most, of one level of weight each.
 
-    No term is sorted or gathered as a whole: a level with many entries is dealt over blocks by a hash of the key.
+    Entries are dealt by ranges of a hash of term and level, then key, sorted by that hash and cut as they pass. No term
+    is gathered as a whole; where two hashes are equal blocks are shorter.
     """
-    texts, average = index.lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
-    whole = index.postings.groupBy("term", index.key).agg(F.sum("tf").alias("tf")).join(index.lengths, index.key)
+    lengths = cut_lineage(index.lengths)
+    texts, average = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
+    # Once dealt by key for the join, the fields of a text are summed in place; lengths are the small side.
+    whole = index.postings.select("term", index.key, "tf").join(lengths.hint("shuffle_hash"), index.key)
+    if not index.one_field:
+        whole = whole.groupBy("term", index.key, "length").agg(F.sum("tf").alias("tf"))
     level = F.floor(F.col("weight") * (LEVELS / (K1 + 1))).cast("int")
-    rows = whole.withColumn("weight", _weight(average or 1.0)).select("term", index.key, "weight", level.alias("level"))
-    sizes = rows.groupBy("term", "level").agg(F.ceil(F.count(F.lit(1)) / block_entries).cast("long").alias("parts"))
-    dealt = rows.join(sizes, ["term", "level"]).withColumn("part", F.pmod(F.xxhash64(index.key), F.col("parts")))
-    entry = F.struct(F.col(index.key).alias("key"), "weight")
-    blocks = dealt.groupBy("term", "level", "part").agg(
-        F.max("weight").alias("best"), F.count(F.lit(1)).alias("n"), F.collect_list(entry).alias("entries")
-    )
-    return BlockIndex(blocks.select("term", "best", "n", "entries"), texts, index.key)
+    rows = whole.withColumn("weight", _weight(average or 1.0)).select("term", level.alias("level"), F.col(index.key).alias("key"), "weight")
+    # Ranges are drawn from a sample, which would make every row twice. One number is sorted faster than words.
+    spots = cut_lineage(rows).withColumn("spot", F.xxhash64("term", "level"))
+    dealt = spots.repartitionByRange("spot", "key").sortWithinPartitions("spot").drop("spot")
+    kind = rows.schema["key"].dataType.simpleString()
+    blocks = dealt.mapInArrow(_cut(block_entries), f"term string, best double, n bigint, entries array<struct<key: {kind}, weight: double>>")
+    return BlockIndex(blocks, texts, index.key)
+
+
+def _cut(block_entries: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows of ``term, level, key, weight`` cut where term or level change, and after ``block_entries`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            terms, levels = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            same = pc.equal(terms.slice(1), terms.slice(0, n - 1)).to_numpy(zero_copy_only=False) & (levels[1:] == levels[:-1])
+            first = np.flatnonzero(np.append(True, ~same))
+            since = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+            starts = np.flatnonzero(since % block_entries == 0)
+            weights = batch.column(3)
+            best = np.maximum.reduceat(weights.to_numpy(zero_copy_only=False), starts)
+            ends = np.append(starts, n).astype(np.int32)
+            entries = pa.StructArray.from_arrays([batch.column(2), weights], ["key", "weight"])
+            columns = [terms.take(pa.array(starts)), pa.array(best), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), entries)]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "best", "n", "entries"])
+
+    return run
 
 
 def write_blocks(index: BlockIndex, path: str, files: int = 64) -> None:

@@ -5,6 +5,7 @@ import glob
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from cairnfield.operators import blocks as K
 from cairnfield.operators import segments as S
 from cairnfield.operators import textsearch as T
 
@@ -44,3 +45,10 @@ def test_a_segment_is_sorted_task_by_task(spark, tmp_path):
     S.SegmentedIndex(spark, str(tmp_path), "id").refresh(T.build_postings(texts(spark), "id", ["body"]))
     files = [pq.read_table(f)["term"].to_pylist() for f in glob.glob(f"{tmp_path}/segment-1/postings/*.parquet")]
     assert len(files) == 3 and all(f == sorted(f) for f in files)
+
+
+def test_blocks_are_full_at_most(spark):
+    index = T.build_postings(texts(spark, 400), "id", ["body"])
+    rows = K.build_blocks(index, 4).blocks.collect()
+    assert max(r.n for r in rows) == 4 and all(len(r.entries) == r.n and r.best == max(e.weight for e in r.entries) for r in rows)
+    assert sorted((r.term, e.key) for r in rows for e in r.entries) == sorted((r.term, r.id) for r in index.postings.collect())
