@@ -15,6 +15,9 @@ from cairnfield.operators.skew import LISTED_ROWS, listed, lookup_join, oversize
 from cairnfield.session import cut_lineage
 
 
+PAIRS_PER_TASK = 1_000_000
+
+
 def build_edges(df: DataFrame, src: Column, dst: Column, edge_type: str, ts: str = "ts") -> DataFrame:
     """Typed edges ``src, dst, edge_type, weight, ts``: how often and when last."""
     ends = df.select(src.alias("src"), dst.alias("dst"), F.col(ts).alias("ts"))
@@ -34,19 +37,49 @@ def membership(df: DataFrame, group: str, item: str) -> DataFrame:
     return df.select(group, item).filter(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct()
 
 
-def partners_of(members: DataFrame, items: DataFrame, group: str, item: str, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Everything used together with the asked ``items``: ``a`` (asked), ``b`` (partner), ``weight`` (common groups).
+def _weighed(pairs: DataFrame, total: int, items: int, pair_rows: int) -> DataFrame:
+    """``a, b, weight``: how often a pair occurs among ``total`` rows.
+
+    Pairs of few ``items`` are counted where they arise. Those of many hardly repeat there: they are dealt to tasks of about
+    ``pair_rows`` rows each, so that no task holds more of them on larger tables.
+    """
+    if items * items > pair_rows:
+        pairs = pairs.repartition(max(1, -(-total // pair_rows)), "a", "b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def partners_of(
+    members: DataFrame, items: DataFrame | None, group: str, item: str, target_rows: int = TARGET_ROWS, pair_rows: int = PAIRS_PER_TASK
+) -> DataFrame:
+    """Everything used together with the asked ``items`` (all where None): ``a`` (asked), ``b`` (partner), ``weight`` (common groups).
 
     Two hops over the membership edges, exact for groups of any size; groups with very many members are split.
     """
-    asked = salted_join(members, items.select(item).distinct(), [item], "left_semi", spread=[group], target_rows=target_rows)
+    members = cut_lineage(members.select(group, item))
+    return _partners(members, items, group, item, F.col("a") != F.col("b"), target_rows, pair_rows)
+
+
+def all_partners(members: DataFrame, group: str, item: str, target_rows: int = TARGET_ROWS, pair_rows: int = PAIRS_PER_TASK) -> DataFrame:
+    """:func:`partners_of` for all items, each pair once: ``a < b``."""
+    members = cut_lineage(members.select(group, item))
+    return _partners(members, None, group, item, F.col("a") < F.col("b"), target_rows, pair_rows)
+
+
+def _partners(members: DataFrame, items: DataFrame | None, group: str, item: str, keep: Column, target_rows: int, pair_rows: int) -> DataFrame:
+    asked = members
+    if items is not None:
+        asked = cut_lineage(salted_join(members, items.select(item).distinct(), [item], "left_semi", spread=[group], target_rows=target_rows))
+    different = members.agg(F.approx_count_distinct(item)).first()[0]
+    sides = members.select(group, F.lit(1).alias("_m"), F.lit(0).alias("_a")).unionByName(asked.select(group, F.lit(0).alias("_m"), F.lit(1).alias("_a")))
+    total = sides.groupBy(group).agg((F.sum("_m") * F.sum("_a")).alias("_n")).agg(F.sum("_n")).first()[0] or 0
     asked = asked.select(group, F.col(item).alias("a"))
-    both = salted_join(members, asked, [group], "inner", spread=[item], target_rows=target_rows)
-    pairs = both.filter(F.col("a") != F.col(item))
-    return pairs.groupBy("a", F.col(item).alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+    both = salted_join(members.withColumnRenamed(item, "b"), asked, [group], "inner", spread=["b"], target_rows=target_rows)
+    return _weighed(both.filter(keep).select("a", "b"), total, different, pair_rows)
 
 
-def used_near(df: DataFrame, group: str, item: str, position: str, span: int, target_rows: int = TARGET_ROWS) -> DataFrame:
+def used_near(
+    df: DataFrame, group: str, item: str, position: str, span: int, target_rows: int = TARGET_ROWS, pair_rows: int = PAIRS_PER_TASK
+) -> DataFrame:
     """Pairs ``a < b, weight`` of items used at most ``span`` steps apart within a group.
 
     Each item of a group counts once, at its first position. Partners at any distance are :func:`partners_of`.
@@ -58,7 +91,11 @@ def used_near(df: DataFrame, group: str, item: str, position: str, span: int, ta
     partners = linked.select(item, F.explode(F.array(*[F.col(n) for n in ahead])).alias("_other"))
     partners = partners.filter(F.col("_other").isNotNull())
     pairs = partners.select(F.least(item, "_other").alias("a"), F.greatest(item, "_other").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    different = df.agg(F.approx_count_distinct(item)).first()[0]
+    # A group of n rows has at most n - 1 pairs of neighbours, n - 2 two steps apart and so on.
+    steps = F.least(F.col("_n") - 1, F.lit(span))
+    most = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum(F.col("_n") * steps - (steps * (steps + 1) / 2).cast("long"))).first()[0] or 0
+    return _weighed(pairs, most, different, pair_rows)
 
 
 def decay(edges: DataFrame, tau_seconds: float, eps: float, now: Column) -> DataFrame:
@@ -140,8 +177,8 @@ def mentions(
     return lookup_join(found, names.select("entity", "_gram"), ["_gram"], "inner", spread=[key, "pos"]).select(key, "entity", "pos")
 
 
-def mentioned_with(found: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Entities mentioned in the same texts as the asked ``entities``: ``a, b, weight`` (common texts)."""
+def mentioned_with(found: DataFrame, entities: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Entities mentioned in the same texts as the asked ``entities``, by default all: ``a, b, weight`` (common texts)."""
     return partners_of(membership(found, key, "entity"), entities, key, "entity")
 
 

@@ -89,7 +89,7 @@ FROM member x JOIN member y ON y.l_orderkey = x.l_orderkey AND y.l_partkey > x.l
 def used_with_all_pairs(spark, sf):
     """Any two parts ordered together, at any distance, each pair once."""
     members = G.membership(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
-    return G.partners_of(members, members.select("l_partkey"), "l_orderkey", "l_partkey").filter("a < b")
+    return G.all_partners(members, "l_orderkey", "l_partkey")
 
 
 @query(
@@ -118,7 +118,7 @@ SELECT DISTINCT a.output, b.input, 2 FROM lineage a JOIN lineage b ON b.output =
 def graph_2hop(spark, sf):
     """From every customer over its orders to their parts."""
     edges = inputs.lineage(spark, sf).select(F.col("output").alias("src"), F.col("input").alias("dst"))
-    return G.k_hop(edges, edges.filter(F.col("src").startswith("cust:")).select(F.col("src").alias("node")), 2)
+    return G.k_hop(edges, table(spark, sf, "orders").select(G.to_nodes("cust:", "o_custkey").alias("node")).filter("node IS NOT NULL"), 2)
 
 
 CLUSTERS = f"""{inputs.VECTORS},
@@ -210,7 +210,7 @@ FROM member x JOIN member y ON y.doc_id = x.doc_id AND y.entity <> x.entity GROU
 @query("entity_cooccurrence", COOCCURRENCE)
 def entity_cooccurrence(spark, sf):
     """Any two entities of the dictionary in the same documents, at any distance."""
-    return G.mentioned_with(_mentions(spark, sf), _names(spark, sf).select(F.col("name").alias("entity")))
+    return G.mentioned_with(_mentions(spark, sf))
 
 
 # ---- habits
