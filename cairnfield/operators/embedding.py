@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from cairnfield.functions.text import tokens
 from cairnfield.functions.vectors import is_valid, l2_normalize
 from cairnfield.session import cut_lineage
 
+TEXTS_AT_ONCE = 500  # of a Python worker
+
 EmbedFn = Callable[[pd.Series], list]
 
 
@@ -79,12 +84,13 @@ def validate_vectors(df: DataFrame, dim: int, vec: str = "vec") -> tuple[DataFra
 def embed_text(df: DataFrame, dim: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Hashed, idf-weighted bag of words per document, as a unit vector: ``key, vec``.
 
-    Words are counted per document and slot before the shuffle; the idf table has at most ``dim`` rows.
+    Words are counted per document and slot in the task that reads them, each different word of a batch hashed once; the
+    counts are written, as they are read for the idf table, which has at most ``dim`` rows, and for the vectors.
     """
-    words = df.select(key, F.explode_outer(tokens(F.col(text))).alias("word"))
-    words = words.filter(F.col("word").isNotNull())
-    slots = words.withColumn("slot", (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dim).cast("int"))
-    counts = slots.groupBy(key, "slot").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    words = df.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    kind = words.schema[key].dataType.simpleString()
+    slots = words.mapInArrow(_slots(key, dim), f"`{key}` {kind}, slot int, tf double")
+    counts = cut_lineage(slots.groupBy(key, "slot").agg(F.sum("tf").alias("tf")))
     n_docs = df.select(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_one"))
     spread = counts.groupBy("slot").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1))
     spread = spread.join(F.broadcast(n_docs), "_one")
@@ -98,5 +104,24 @@ def embed_text(df: DataFrame, dim: int = 256, key: str = "doc_id", text: str = "
     return by_doc.select(key, dense.alias("_raw")).select(key, _as_floats(l2_normalize(F.col("_raw"))).alias("vec"))
 
 
+def _slots(key: str, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``key, slot, tf`` of batches of a key and its list of words; a word's slot is its md5 modulo ``dim``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                keys, lists = batch.column(0).slice(start, TEXTS_AT_ONCE), batch.column(1).slice(start, TEXTS_AT_ONCE)
+                words = lists.flatten().dictionary_encode()
+                hashed = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in words.dictionary.to_pylist()]
+                text = np.repeat(np.arange(len(keys)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+                spots = text * dim + np.asarray(hashed, dtype=np.int64)[words.indices.to_numpy()]
+                counts = np.bincount(spots, minlength=len(keys) * dim)
+                used = np.flatnonzero(counts)
+                columns = [keys.take(pa.array(used // dim)), pa.array((used % dim).astype(np.int32)), pa.array(counts[used].astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "slot", "tf"])
+
+    return run
+
+
 def _as_floats(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("float"))

@@ -1,11 +1,13 @@
 """What the cost of a job grows with: shuffles that aren't there, tasks of bounded size, joins that are left out."""
 
 import glob
+import hashlib
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from cairnfield.operators import blocks as K
+from cairnfield.operators import embedding as E
 from cairnfield.operators import segments as S
 from cairnfield.operators import textsearch as T
 
@@ -52,3 +54,13 @@ def test_blocks_are_full_at_most(spark):
     rows = K.build_blocks(index, 4).blocks.collect()
     assert max(r.n for r in rows) == 4 and all(len(r.entries) == r.n and r.best == max(e.weight for e in r.entries) for r in rows)
     assert sorted((r.term, e.key) for r in rows for e in r.entries) == sorted((r.term, r.id) for r in index.postings.collect())
+
+
+def test_words_become_slots_where_they_are_read(spark):
+    batch = pa.record_batch([pa.array([5, 6, 7]), pa.array([["b", "a", "b"], [], ["é"]])], ["id", "words"])
+    slot = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64
+    got = [tuple(r.values()) for b in E._slots("id", 64)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert sorted(got) == sorted([(5, slot("a"), 1.0), (5, slot("b"), 2.0), (7, slot("é"), 1.0)])
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "..."), (4, "b")], "id long, body string")
+    made = E.embed_text(rows, 64, "id", "body")
+    assert {r.id for r in made.collect()} == {1, 4} and "Generate" not in made._jdf.queryExecution().executedPlan().toString()
