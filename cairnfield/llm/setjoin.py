@@ -6,7 +6,9 @@ lists are cut into blocks of like sizes and positions; pairs of blocks whose bou
 skipped before members meet. Answers are then derived from those of similar sets:
 
 1. Each list entry is compared with the entry before it and the first of its list only. Equal sets count as one.
-2. Sets that are linked by now need no comparison. For the others, the distance between the sets they are anchored to,
+2. In rounds, entries of longer lists that aren't linked yet are compared with a few chosen ones of their size: those
+   that have been nearest to others so far, and some by chance. A large group of near copies becomes one component in work that grows with its size.
+3. Sets that are linked by now need no comparison. For the others, the distance between the sets they are anchored to,
    less their own distances from these, bounds their distance (Jaccard distance is a metric); only pairs that this
    leaves open are compared. The result is exact.
 """
@@ -33,6 +35,13 @@ BUCKETS = 1 << 22  # counters of shingles by hash
 COUNTER_BLOCK = 1 << 14  # counters that are sent and added up together
 PENDING = 1 << 21  # hashes that wait to be counted
 PARTNERS = 2
+ROUND_PARTNERS = 4  # that a set is compared with in a round
+ROUNDS = 12  # at most; they end when fewer than one comparison in ``LEAST_LINKS`` links
+LEAST_LINKS = 50
+CENTRAL = 8
+PRIOR = 0.3  # a distance that every set counts as one comparison
+SHORT_LIST = 8  # entries up to which a list is left out of the rounds; it has few pairs
+BROADCAST_KEYS = 1_000_000
 CELL_TEXTS = 256
 SALTS = 16  # parts of the index list of a frequent shingle
 LONG_LIST = 64  # entries from which a list is cut into blocks
@@ -205,7 +214,10 @@ class _Verifier:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
         for s in self.steps:
             ids = ids.join(s.df.select("k"), "k", "left_anti")
-        if not self.steps or not ids.isEmpty():
+        asked = ids.count()
+        if not self.steps or asked:
+            if asked <= BROADCAST_KEYS:  # texts stay where they are
+                ids = F.broadcast(ids)
             self.steps.append(Step(self.texts.join(ids, "k", "left_semi"), "texts"))
         texts = self.steps[0].df
         for s in self.steps[1:]:
@@ -251,27 +263,22 @@ def jaccard_components(
     posting = reps.df.select(F.posexplode("codes").alias("pos", "s"), "rep", "n", "rare").withColumn("pos", F.col("pos").cast("long"))
     # Lists of shingles that aren't frequent are short, and most have a single entry.
     by_shingle = Window.partitionBy("s")
-    several = posting.filter("pos < rare").withColumn("df", F.count(F.lit(1)).over(by_shingle)).filter("df > 1").drop("df")
-    salted = several.withColumn("salt", F.lit(-1)).unionByName(posting.filter("pos >= rare").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")))
+    several = posting.filter("pos < rare").withColumn("df", F.count(F.lit(1)).over(by_shingle)).filter("df > 1")
+    several = several.withColumns({"salt": F.lit(-1), "long": F.col("df") > SHORT_LIST}).drop("df")
+    frequent = posting.filter("pos >= rare").withColumns({"salt": F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"), "long": F.lit(True)})
+    salted = several.unionByName(frequent)
     lists = Step(salted.drop("rare"), "lists")
     classes = Step(reps.df.select(*same, "rep"), "classes")
     reps.drop()
 
     compare = _Verifier(texts, size, percent)
     first = compare(_near_entries(lists.df, percent))
-    linked = first.df.filter("linked").select("a", "b")
-    label = Step(components(linked), "labels")
-    second, third = _remaining(lists.df, first, label.df, compare, percent)
+    label = Step(components(first.df.filter("linked").select("a", "b")), "labels")
+    known, label = _rounds(lists.df.filter("long"), first, label, compare, percent)
+    second, third = _remaining(lists.df, known, label.df, compare, percent)
     # Later links join components that are known by now.
     late = second.df.filter("linked").select("a", "b").unionByName(third.df.filter("linked").select("a", "b"))
-    final = label.df
-    if not late.isEmpty():
-        for s in ("a", "b"):
-            late = late.join(label.df.select(F.col("node").alias(s), F.col("component").alias("c")), s, "left").withColumn(s, F.coalesce("c", s)).drop("c")
-        moved = components(late)
-        own = label.df.join(moved.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
-        own = own.select("node", F.coalesce("c", "component").alias("component"))
-        final = own.unionByName(moved.join(label.df.select("node"), "node", "left_anti"))
+    final = label.df if late.isEmpty() else _merged(label.df, late)
 
     classes = classes.df.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select(*[F.col(c).alias(f"r_{c}") for c in same], F.coalesce("component", "rep").alias("c"))
@@ -303,6 +310,61 @@ def _near_entries(lists: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("no", F.row_number().over(most)).filter(F.col("no") <= PARTNERS).select("a", "b", "s")
 
 
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b)."""
+    for s in ("a", "b"):
+        links = links.join(label.select(F.col("node").alias(s), F.col("component").alias("c")), s, "left").withColumn(s, F.coalesce("c", s)).drop("c")
+    moved = components(links)
+    own = label.join(moved.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
+    own = own.select("node", F.coalesce("c", "component").alias("component"))
+    return own.unionByName(moved.join(label.select("node"), "node", "left_anti"))
+
+
+def _both_ends(links: DataFrame) -> DataFrame:
+    return links.select("a", "b", "dist").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
+
+
+def _rounds(lists: DataFrame, first: Step, label: Step, compare: _Verifier, percent: int) -> tuple[DataFrame, Step]:
+    """All pairs compared so far and the components after rounds of comparisons; a round sees the links of those before."""
+    lists = Step(lists.select("s", "rep", "n", "pos"), "long")
+    known = first.df
+    for turn in range(ROUNDS):
+        found = compare(_round_pairs(lists.df, known, label.df, turn, percent))
+        asked, links = found.df.agg(F.count(F.lit(1)), F.count_if("linked")).first()
+        known = known.unionByName(found.df)
+        if links:
+            label = Step(_merged(label.df, found.df.filter("linked").select("a", "b")), "labels")
+        if links * LEAST_LINKS <= asked:
+            break
+    lists.drop()
+    return known, label
+
+
+def _round_pairs(lists: DataFrame, known: DataFrame, label: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b, s) of entries of different components, new ones only, at most ``ROUND_PARTNERS`` for each asking set.
+
+    Every entry may ask some of its list in each quarter octave of sizes next to its own: ``CENTRAL`` that were nearest to
+    what they have been compared with, and two by hashes that differ from round to round; central ones come first.
+    """
+    compared = _both_ends(known).groupBy(F.col("a").alias("rep")).agg(((F.sum("dist") + PRIOR) / (F.count(F.lit(1)) + 1)).alias("mean"))
+    named = lists.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").join(compared, "rep", "left")
+    size = F.floor(4 * F.log2("n"))
+    entries = named.select("s", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"), F.coalesce("mean", F.lit(1.0)).alias("mean"), size.alias("size"))
+    entry = F.struct("rep", "n", "pos", "c", "mean")
+    central = Window.partitionBy("s", "size").orderBy("mean", "rep")
+    best = entries.withColumn("no", F.row_number().over(central)).filter(F.col("no") <= CENTRAL).select("s", "size", entry.alias("y"))
+    chance = [F.min_by(entry, F.struct(F.xxhash64(F.lit(2 * turn + i), "rep"), "rep")) for i in range(2)]
+    picked = best.unionByName(entries.groupBy("s", "size").agg(F.array(*chance).alias("y")).select("s", "size", F.explode("y").alias("y")))
+    asking = entries.select("s", "rep", "n", "pos", "c", F.explode(F.array(*[F.col("size") + i for i in (-1, 0, 1)])).alias("size"))
+    met = asking.join(picked, ["s", "size"]).filter(F.col("c") != F.col("y.c"))
+    met = met.filter(_possible(F.col("n"), F.col("pos"), F.col("y.n"), F.col("y.pos"), percent))
+    met = met.groupBy("rep", F.col("y.rep").alias("y_rep")).agg(F.min("y.mean").alias("mean"), F.min("s").alias("s"))
+    pairs = met.select("rep", F.least("rep", "y_rep").alias("a"), F.greatest("rep", "y_rep").alias("b"), "mean", "s")
+    pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    nearest = Window.partitionBy("rep").orderBy("mean", "a", "b")
+    return pairs.withColumn("no", F.row_number().over(nearest)).filter(F.col("no") <= ROUND_PARTNERS).select("a", "b", "s")
+
+
 def _in_blocks(entries: DataFrame) -> DataFrame:
     """Entries (s, rep, n, pos, c) of lists with several components, with ``minor`` and the ``block`` of their list.
 
@@ -341,16 +403,15 @@ def _members(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("rep", "y_rep").alias("a"), F.greatest("rep", "y_rep").alias("b"), "s")
 
 
-def _remaining(lists: DataFrame, first: Step, label: DataFrame, compare: _Verifier, percent: int) -> tuple[Step, Step]:
+def _remaining(lists: DataFrame, known: DataFrame, label: DataFrame, compare: _Verifier, percent: int) -> tuple[Step, Step]:
     """What is left between sets that aren't linked yet: comparisons of their anchors, then of themselves."""
     label = label.withColumnRenamed("node", "rep")
-    entries = lists.join(label, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component", "salt")
+    entries = lists.join(label, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component", "salt", "long")
     met = _members(_in_blocks(entries), percent).groupBy("a", "b").agg(F.min("s").alias("s"))
-    open_ = Step(met.join(first.df.select("a", "b"), ["a", "b"], "left_anti"), "open")
+    open_ = Step(met.join(known.select("a", "b"), ["a", "b"], "left_anti"), "open")
 
     # The anchor of a set is the most linked set of its component if both are linked, else the set itself.
-    linked = first.df.filter("linked")
-    ends = linked.select("a", "b", "dist").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
+    ends = _both_ends(known.filter("linked"))
     degree = ends.groupBy("a").agg(F.count(F.lit(1)).alias("links")).join(label.withColumnRenamed("rep", "a"), "a", "left")
     leader = degree.groupBy(F.coalesce("component", "a").alias("c")).agg(F.max_by("a", F.struct("links", "a")).alias("anchor"))
     anchored = ends.join(leader.select(F.col("anchor").alias("b")), "b", "left_semi").select(F.col("a").alias("rep"), F.col("b").alias("anchor"), "dist")
@@ -363,9 +424,8 @@ def _remaining(lists: DataFrame, first: Step, label: DataFrame, compare: _Verifi
 
     placed = Step(with_anchor(with_anchor(open_.df, "a"), "b"), "placed")
     asked = placed.df.select(F.least("ax", "bx").alias("a"), F.greatest("ax", "bx").alias("b"), "s").filter("a <> b")
-    known = first.df.select("a", "b")
-    second = compare(asked.join(known, ["a", "b"], "left_anti"))
-    answers = first.df.unionByName(second.df).select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("dist").alias("apart"), "linked")
+    second = compare(asked.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+    answers = known.unionByName(second.df).select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("dist").alias("apart"), "linked")
     judged = placed.df.withColumns({"lo": F.least("ax", "bx"), "hi": F.greatest("ax", "bx")}).join(answers, ["lo", "hi"], "left")
     limit = 1 - percent / 100 + 1e-9
     left_open = judged.filter("not coalesce(linked, false) and lo <> hi").filter(F.col("apart") - F.col("ad") - F.col("bd") <= limit)
