@@ -22,39 +22,47 @@ PARTS = 8  # of a line, for the test before the edit distance
 MIN_CHARS = 20  # shorter lines are repeated only by equal ones
 
 
-def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: int | Column, threshold: int) -> tuple[Column, Column]:
     """Start (from 0) and size of segment ``i`` of a line of this length; the last ones take what doesn't divide."""
     parts = threshold + 1
     base, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
     return i * base + F.greatest(F.lit(0), i - parts + rest), base + F.when(F.lit(i) >= parts - rest, 1).otherwise(0)
 
 
-def _index_keys(line: Column, length: Column, threshold: int) -> Column:
-    keys = []
-    for i in range(threshold + 1):
-        start, size = _segment(length, i, threshold)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)))
-    return F.array(*keys)
+def _index_places(threshold: int) -> list[tuple[int, int, int]]:
+    return [(0, i, 0) for i in range(threshold + 1)]
 
 
-def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Keys of substrings other than the line's own segments, which are keys as well.
+def _probe_places(threshold: int) -> list[tuple[int, int, int]]:
+    """Places other than those of the line's own segments, which are looked up as well.
 
     ``shorter`` is by how much the partner is shorter, ``shift`` by how much its segment stands further on here.
     """
-    keys = []
+    places = []
     for shorter in range(threshold + 1):
-        target = length - shorter
         for i in range(threshold + 1):
-            start, size = _segment(target, i, threshold)
             right = threshold - i
-            for shift in range(max(-i, shorter - right), min(i, shorter + right) + 1):
-                if not shorter and not shift:
-                    continue
-                at = start + shift
-                found = F.xxhash64(target, F.lit(i), F.substring(line, at + 1, size))
-                keys.append(F.when((at >= 0) & (at + size <= length), found))
-    return F.array(*keys)
+            places += [(shorter, i, shift) for shift in range(max(-i, shorter - right), min(i, shorter + right) + 1) if shorter or shift]
+    return places
+
+
+def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """A row (id, letters, key) for each place (shorter, segment, shift) that lies within a line.
+
+    Lines are repeated first, so that one short expression makes all keys; an array of them is too long to be compiled.
+    """
+    fixed = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("shorter", "i", "shift"), place, strict=True)]) for place in places])
+    rows = lines.select("id", "letters", "line", "n", F.explode(fixed).alias("p"))
+    target = F.col("n") - F.col("p.shorter")
+    start, size = _segment(target, F.col("p.i"), threshold)
+    rows = rows.select("id", "letters", "line", "n", target.alias("target"), "p.i", (start + F.col("p.shift")).alias("at"), size.alias("size"))
+    rows = rows.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    return rows.select("id", "letters", F.xxhash64("target", "i", F.substring(F.col("line"), F.col("at") + 1, F.col("size"))).alias("key"))
+
+
+def blank(line: Column) -> Column:
+    """Whether a line has nothing but spaces, tabs and carriage returns; it is read up to the first other character only."""
+    return F.ltrim(line, F.lit(" \t\r")) == ""
 
 
 def let(value: Column, body) -> Column:
@@ -139,11 +147,9 @@ def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     never leave the join.
     """
     sized = lines.filter(F.col("n") > threshold)
-    side = lambda keys, s: sized.select(F.explode(keys).alias(f"{s}_key"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "letters")])
-    index, line, n = side(_index_keys(F.col("line"), F.col("n"), threshold), "y"), F.col("line"), F.col("n")
+    side = lambda places, s: (lambda rows: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in rows.columns]))(_keyed(sized, places, threshold))
     # A line's own segments are among what it probes for; they are shuffled once for both ends.
-    own = index.select(*[F.col(c).alias(c.replace("y_", "x_")) for c in index.columns])
-    probe = side(_probe_keys(line, n, threshold), "x").filter("x_key is not null")
+    own, index, probe = side(_index_places(threshold), "x"), side(_index_places(threshold), "y"), side(_probe_places(threshold), "x")
     close = (F.col("x_key") == F.col("y_key")) & (_letters_differ(F.col("x_letters"), F.col("y_letters")) <= 2 * threshold)
     met = own.join(index, close & (F.col("x_id") < F.col("y_id"))).unionByName(probe.join(index, close & (F.col("x_id") != F.col("y_id"))))
     return met.select(F.least("x_id", "y_id").alias("x_id"), F.greatest("x_id", "y_id").alias("y_id")).distinct()
@@ -187,7 +193,7 @@ def dedup_lines(
     keyed = rows.filter("d is not null")
     # No line has a line feed, so that splitting gives the same places everywhere.
     places = keyed.select("d", F.posexplode(F.split(F.coalesce("t", F.lit("")), "\n", -1)).alias("no", "line"))
-    full = places.filter(F.trim(F.translate("line", "\t\r", "  ")) != "")
+    full = places.filter(~blank(F.col("line")))
     same = [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2")]
     lines = full.groupBy(*same).agg(F.min(F.struct("d", "no")).alias("at"), F.first("line").alias("line"))
     lines = lines.select("id", "at.d", "at.no", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("letters"))
@@ -210,9 +216,9 @@ def dedup_lines(
 
     def kept(lines_: Column) -> Column:
         number = F.sequence(F.lit(0), F.size(lines_) - 1)
-        blank = F.filter(number, lambda i: F.trim(F.translate(F.get(lines_, i), "\t\r", "  ")) == "")
+        empty = F.filter(number, lambda i: blank(F.get(lines_, i)))
         left = F.array_except(F.coalesce("first", none), F.coalesce("gone", none))
-        return let(F.array_sort(F.array_union(left, blank)), lambda k: F.struct(F.transform(k, lambda i: F.get(lines_, i)).alias("lines"), F.size(k).alias("n")))
+        return let(F.array_sort(F.array_union(left, empty)), lambda k: F.struct(F.transform(k, lambda i: F.get(lines_, i)).alias("lines"), F.size(k).alias("n")))
 
     out = marked.withColumn("k", F.when(F.col("t").isNotNull(), let(all_lines, kept)))
     size = F.greatest(F.coalesce(F.size(all_lines), F.lit(0)), F.lit(0))
