@@ -79,7 +79,8 @@ def ingest(
     fresh = cut_lineage(read(spark, todo).select("path", "content").withColumn(KEY, content_hash(F.col("content"))))
 
     first = fresh.groupBy(KEY).agg(F.min("path").alias("path"))
-    unknown = fresh.join(first, [KEY, "path"], "left_semi").join(catalog.items.select(KEY), KEY, "left_anti")
+    # Contents are parted once for all that follows: embedding, facets and words.
+    unknown = cut_lineage(fresh.join(first, [KEY, "path"], "left_semi").join(catalog.items.select(KEY), KEY, "left_anti"))
     vectors, failures = embed_new(unknown, catalog.embeddings, embedder.model, embedder.dim, embedder.fn)
     scan = listing.join(fresh.select("path", KEY), "path", "left").join(failures, KEY, "left")
     # What was not read although it is no larger than the cap was known, or vanished since it was listed.

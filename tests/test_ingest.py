@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from cairnfield.plans import ingest as ingest_job
 from cairnfield.plans.ingest import Embedder, ingest, read_files, search_items, stored_index
 from cairnfield.sources.catalog_store import load_catalog
 from cairnfield.sources.files import scan_corpus
@@ -53,3 +54,13 @@ def test_runs_read_only_what_changed(spark, tmp_path):
     assert search_items(spark, store, all=["desk"]).collect() == []
     assert stored_index(spark, store).lengths.count() == 2
     assert run(spark, root, store, 3, reads) == third and len(reads) == 3
+
+
+def test_contents_are_parted_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "desk.txt").write_text("other")
+    plans = []
+    resolve = ingest_job.resolve_facets
+    monkeypatch.setattr(ingest_job, "resolve_facets", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or resolve(df))
+    assert run(spark, str(tmp_path / "files"), str(tmp_path / "store"), 1, [])["indexed"] == 1
+    assert len(plans) == 1 and "Join" not in plans[0]
