@@ -43,6 +43,16 @@ def test_a_refresh_looks_for_large_texts_in_their_lengths(spark, monkeypatch):
     assert given[0] is not None and 8 not in {r.id for r in after.postings.collect()}
 
 
+def test_large_texts_are_told_without_counting_words(spark, monkeypatch):
+    index = T.build_postings(texts(spark), "id", ["body"])
+    given, found = [], T.hot_keys
+    monkeypatch.setattr(T, "hot_keys", lambda lengths, key: given.append(lengths) or found(lengths, key))
+    T.refresh_postings(index, T.build_postings(texts(spark, 1), "id", ["body"]), texts(spark).filter("id = 8").select("id"))
+    want = {r.id: len(r.body.encode()) for r in texts(spark).collect()}
+    assert {r.id: r.length for r in given[0].collect()} == want
+    assert "regexp" not in given[0]._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_a_segment_is_sorted_task_by_task(spark, tmp_path):
     S.SegmentedIndex(spark, str(tmp_path), "id").refresh(T.build_postings(texts(spark), "id", ["body"]))
     files = [pq.read_table(f)["term"].to_pylist() for f in glob.glob(f"{tmp_path}/segment-1/postings/*.parquet")]
