@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ CENTRAL = 8
 PRIOR = 0.3  # a distance that every set counts as one comparison
 SHORT_LIST = 8  # entries up to which a list is left out of the rounds; it has few pairs
 BROADCAST_KEYS = 1_000_000
+FOREST_NODES = 500_000  # that a task holds at a time
+FOREST_LINKS = 250_000  # of the first comparisons, that make a task
 CELL_TEXTS = 256
 SALTS = 16  # parts of the index list of a frequent shingle
 LONG_LIST = 64  # entries from which a list is cut into blocks
@@ -211,30 +214,34 @@ class _Verifier:
     def __call__(self, pairs: DataFrame) -> Step:
         """Pairs (a, b, s) with ``dist``, 1 - shared / union, and ``linked``."""
         pairs = Step(pairs.groupBy("a", "b").agg(F.min("s").alias("s")), "asked").df
+        kind = pairs.schema["a"].dataType
+        schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("dist", T.DoubleType()), T.StructField("linked", T.BooleanType())])
+        if pairs.isEmpty():
+            return Step(pairs.sparkSession.createDataFrame([], schema), "compared")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        for s in self.steps:
-            ids = ids.join(s.df.select("k"), "k", "left_anti")
-        asked = ids.count()
+        if self.steps:
+            ids = ids.join(self._texts().select("k"), "k", "left_anti")
+        new = Step(ids, "ids")
+        asked = new.df.count()
         if not self.steps or asked:
-            if asked <= BROADCAST_KEYS:  # texts stay where they are
-                ids = F.broadcast(ids)
+            ids = F.broadcast(new.df) if asked <= BROADCAST_KEYS else new.df  # texts stay where they are
             self.steps.append(Step(self.texts.join(ids, "k", "left_semi"), "texts"))
-        texts = self.steps[0].df
-        for s in self.steps[1:]:
-            texts = texts.unionByName(s.df)
+        new.drop()
+        texts = self._texts()
         met = pairs.select("s", F.explode(F.array("a", "b")).alias("k")).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n"))
         blocks = F.ceil(F.col("n") / CELL_TEXTS)
         block = lambda c: F.pmod(F.xxhash64(c), blocks)
         placed = pairs.join(met, "s").select("a", "b", F.xxhash64("s", block("a"), block("b")).alias("cell"))
         wanted = placed.select("cell", F.explode(F.array("a", "b")).alias("k")).distinct().join(texts, "k")
         none = F.lit(None)
-        kind = pairs.schema["a"].dataType
         rows = wanted.select("cell", F.lit(False).alias("is_pair"), F.col("k").alias("a"), none.cast(kind).alias("b"), "t")
         rows = rows.unionByName(placed.select("cell", F.lit(True).alias("is_pair"), "a", "b", none.cast("string").alias("t")))
-        schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("dist", T.DoubleType()), T.StructField("linked", T.BooleanType())])
         dealt = rows.repartition("cell").sortWithinPartitions("cell", "is_pair")
         return Step(dealt.mapInArrow(_compare(self.size, self.percent), schema), "compared")
 
+    def _texts(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [s.df for s in self.steps])
+
     def drop(self) -> None:
         for s in self.steps:
             s.drop()
@@ -273,7 +280,8 @@ def jaccard_components(
 
     compare = _Verifier(texts, size, percent)
     first = compare(_near_entries(lists.df, percent))
-    label = Step(components(first.df.filter("linked").select("a", "b")), "labels")
+    links = first.df.filter("linked").select("a", "b")
+    label = Step(components(_forest(links.coalesce(links.count() // FOREST_LINKS + 1))), "labels")
     known, label = _rounds(lists.df.filter("long"), first, label, compare, percent)
     second, third = _remaining(lists.df, known, label.df, compare, percent)
     # Later links join components that are known by now.
@@ -310,32 +318,104 @@ def _near_entries(lists: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("no", F.row_number().over(most)).filter(F.col("no") <= PARTNERS).select("a", "b", "s")
 
 
-def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) after further links (a, b)."""
+def _forest(links: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same nodes: those of a task become stars around the smallest node of each of its groups.
+
+    Each round of ``components`` is a number of jobs, and what the driver keeps of a run grows with these and their tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict = {}
+        up: list[int] = []
+
+        def find(i: int) -> int:
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        def stars(kind: pa.DataType) -> pa.RecordBatch:
+            nodes, least = list(number), {}
+            for i, x in enumerate(nodes):
+                r = find(i)
+                least[r] = min(least.get(r, x), x)
+            found = [(x, least[find(i)]) for i, x in enumerate(nodes) if x != least[find(i)]]
+            number.clear()
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for pair in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                ends = []
+                for x in pair:
+                    if (i := number.setdefault(x, len(up))) == len(up):
+                        up.append(i)
+                    ends.append(find(i))
+                up[max(ends)] = min(ends)
+            if len(up) > FOREST_NODES:
+                yield stars(batch.schema.field("a").type)
+        if up:
+            yield stars(batch.schema.field("a").type)
+
+    links = links.select("a", "b")
+    return links.mapInArrow(run, links.schema)
+
+
+def _between(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes as links of their components."""
     for s in ("a", "b"):
         links = links.join(label.select(F.col("node").alias(s), F.col("component").alias("c")), s, "left").withColumn(s, F.coalesce("c", s)).drop("c")
-    moved = components(links)
+    return links.filter("a <> b")
+
+
+def _moved(label: DataFrame, moved: DataFrame) -> DataFrame:
+    """Components (node, component) after components have moved to others."""
     own = label.join(moved.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
     own = own.select("node", F.coalesce("c", "component").alias("component"))
     return own.unionByName(moved.join(label.select("node"), "node", "left_anti"))
 
 
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b)."""
+    return _moved(label, components(_forest(_between(label, links))))
+
+
+def _gathered(label: DataFrame, links: DataFrame) -> DataFrame:
+    """As ``_merged``, in few jobs: components move to the smallest one within two links of them, if that one stays.
+
+    What has the same label then is linked, but not all that is linked has the same label.
+    """
+    links = Step(_forest(_between(label, links)).distinct(), "links")
+    both = links.df.unionByName(links.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy(F.col("a").alias("b")).agg(F.least("a", F.min("b")).alias("m"))
+    moved = both.join(least, "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("component")).filter("node <> component")
+    moved = Step(moved, "moved")
+    links.drop()
+    return _moved(label, moved.df.join(moved.df.select(F.col("node").alias("component")), "component", "left_anti").select("node", "component"))
+
+
 def _both_ends(links: DataFrame) -> DataFrame:
     return links.select("a", "b", "dist").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
 
 
 def _rounds(lists: DataFrame, first: Step, label: Step, compare: _Verifier, percent: int) -> tuple[DataFrame, Step]:
-    """All pairs compared so far and the components after rounds of comparisons; a round sees the links of those before."""
+    """All pairs compared so far and the components after rounds of comparisons; a round sees the links of those before.
+
+    Between rounds components are gathered by one step, as what it leaves apart is only asked again; after the last
+    round they are made whole.
+    """
     lists = Step(lists.select("s", "rep", "n", "pos"), "long")
     known = first.df
     for turn in range(ROUNDS):
         found = compare(_round_pairs(lists.df, known, label.df, turn, percent))
         asked, links = found.df.agg(F.count(F.lit(1)), F.count_if("linked")).first()
         known = known.unionByName(found.df)
-        if links:
-            label = Step(_merged(label.df, found.df.filter("linked").select("a", "b")), "labels")
-        if links * LEAST_LINKS <= asked:
+        last = links * LEAST_LINKS <= asked or turn == ROUNDS - 1
+        if links and not last:
+            label = Step(_gathered(label.df, found.df.filter("linked").select("a", "b")), "labels")
+        if last:
             break
+    known = Step(known, "known").df
+    label = Step(_merged(label.df, known.filter("linked").select("a", "b")), "labels")
     lists.drop()
     return known, label
 
